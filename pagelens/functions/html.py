@@ -12,6 +12,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelens.functions.binding import bind
 from pagelens.functions.text import clean
 
 # Rest of a tag after its name. Quotes count only after '=', so that a stray
@@ -29,6 +30,8 @@ _NOISE_TAG = rf"(?i)</?(?:{_NOISE}){_NAME_END}{_TAIL}"
 _ATTRIBUTE = r"""([^\s=>"'/<]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?+"""
 _REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)"
 
+_META_FIELDS = ("name", "property", "content")
+
 BODY_LIMIT = 2000
 
 # How often each signal is repeated in the combined text.
@@ -53,57 +56,72 @@ def markup(html: Column) -> Column:
 
 def decode_references(text: Column) -> Column:
     """Decode character references in one pass, so ``&amp;lt;`` gives ``&lt;``."""
-    pieces = F.split(text, "&")
-    decoded = F.transform(
-        pieces, lambda piece, i: F.when(i == 0, piece).otherwise(_decode_piece(piece))
-    )
-    return F.when(text.contains("&"), F.array_join(decoded, "")).otherwise(text)
+
+    def decode(value: Column) -> Column:
+        decoded = F.transform(
+            F.split(value, "&"),
+            lambda piece, i: F.when(i == 0, piece).otherwise(_decode_piece(piece)),
+        )
+        return F.when(value.contains("&"), F.array_join(decoded, "")).otherwise(value)
+
+    return bind(text, decode)
 
 
 def _decode_piece(piece: Column) -> Column:
     """``piece`` is the text after an ampersand."""
+
+    def decode(reference: Column) -> Column:
+        decoded = F.concat(_referenced(reference), F.substr(piece, F.length(reference) + 1))
+        return F.coalesce(decoded, F.concat(F.lit("&"), piece))
+
+    return bind(F.regexp_extract(piece, _REFERENCE, 0), decode)
+
+
+def _referenced(reference: Column) -> Column:
+    """The character named, '' for a number that names none, null when unknown."""
     named = F.str_to_map(
         F.lit("\u0002".join(f"{k}\u0001{chr(v)}" for k, v in name2codepoint.items())),
         F.lit("\u0002"),
         F.lit("\u0001"),
     )
-    reference = F.regexp_extract(piece, _REFERENCE, 0)
     body = F.rtrim(reference, F.lit(";"))
     hexadecimal = F.regexp_extract(body, r"^#[xX]0*+([0-9a-fA-F]{1,6})\z", 1)
     decimal = F.regexp_extract(body, r"^#0*+([0-9]{1,7})\z", 1)
-    code = F.when(
-        hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int")
-    ).when(decimal != "", decimal.try_cast("int"))
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    value = (
-        # A numeric reference to no character leaves nothing behind.
-        F.when(body.startswith("#"), F.when(valid, _char(code)).otherwise(F.lit("")))
-        .otherwise(F.try_element_at(named, body))
+    code = bind(
+        hexadecimal,
+        lambda digits: F.when(digits != "", F.conv(digits, 16, 10).try_cast("int"))
+        .otherwise(decimal.try_cast("int")),
     )
-    rest = F.substr(piece, F.length(reference) + 1)
-    return F.when(
-        (reference != "") & value.isNotNull(), F.concat(value, rest)
-    ).otherwise(F.concat(F.lit("&"), piece))
+    number = bind(
+        code,
+        lambda n: F.when(n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF), _char(n))
+        .otherwise(F.lit("")),
+    )
+    return F.when(reference.startswith("#"), number).otherwise(F.try_element_at(named, body))
 
 
 def _char(code: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
 
 
-def inner_text(fragment: Column, separator: str) -> Column:
-    """Text nodes of a fragment joined by ``separator``, cleaned."""
-    return clean(decode_references(F.regexp_replace(fragment, _TAG, separator)))
+def strip_tags(fragment: Column, separator: str) -> Column:
+    """Text nodes of a fragment joined by ``separator``, references undecoded."""
+    return F.regexp_replace(fragment, _TAG, separator)
+
 
+def read_text(raw: Column) -> Column:
+    """Final text of stripped markup."""
+    return clean(decode_references(raw))
 
-def title(doc: Column) -> Column:
-    found = F.regexp_extract(
+
+def title_markup(doc: Column) -> Column:
+    return F.regexp_extract(
         doc, rf"(?is)<title{_NAME_END}{_TAIL}(.*?)(?:</title|</head|<body|\z)", 1
     )
-    return inner_text(found, "")
 
 
-def headings(doc: Column, level: int) -> Column:
-    """Every heading of a level in document order, cleaned, blanks dropped.
+def heading_markup(doc: Column, level: int) -> Column:
+    """Insides of every heading of a level, in document order.
 
     A heading ends at its end tag, or where a paragraph, list item, form or a
     heading of another level starts.
@@ -113,9 +131,25 @@ def headings(doc: Column, level: int) -> Column:
         rf"(?is)<h{level}{_NAME_END}{_TAIL}(.*?)"
         rf"(?:</h{level}{_NAME_END}|(?=<(?:p|li|form|h[{others}]){_NAME_END})|\z)"
     )
-    found = F.regexp_extract_all(doc, F.lit(pattern), F.lit(1))
-    texts = F.transform(found, lambda part: inner_text(part, ""))
-    return F.array_join(F.filter(texts, lambda text: text != ""), " ")
+    return F.regexp_extract_all(doc, F.lit(pattern), F.lit(1))
+
+
+def texts(doc: Column, levels: tuple[int, ...]) -> Column:
+    """Texts of the title, of each heading level, and of the body, as arrays.
+
+    Tags vanish inside titles and headings but part words in the body. All texts
+    share one decoding step, which keeps the expression small.
+    """
+    tight = F.array(F.array(title_markup(doc)), *[heading_markup(doc, n) for n in levels])
+    stripped = F.concat(
+        F.transform(tight, lambda group: F.transform(group, lambda part: strip_tags(part, ""))),
+        F.array(F.array(strip_tags(without_noise(doc), " "))),
+    )
+    return F.transform(stripped, lambda group: F.transform(group, read_text))
+
+
+def join_texts(group: Column) -> Column:
+    return F.array_join(F.filter(group, lambda text: text != ""), " ")
 
 
 def metas(doc: Column) -> Column:
@@ -126,15 +160,21 @@ def metas(doc: Column) -> Column:
 
 
 def _meta_struct(tag: Column) -> Column:
-    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
-    values = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2))
+    parsed = F.struct(
+        F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), F.lower).alias("names"),
+        F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2)).alias("values"),
+    )
 
-    def value(name: str) -> Column:
-        raw = F.get(values, F.array_position(names, F.lit(name)).cast("int") - 1)
+    def value(attributes: Column, name: Column) -> Column:
+        position = F.array_position(attributes["names"], name).cast("int")
+        raw = F.get(attributes["values"], position - 1)
         return decode_references(F.regexp_replace(raw, r"""^(["'])(.*)\1\z""", "$2"))
 
-    return F.struct(
-        *[value(name).alias(name) for name in ("name", "property", "content")]
+    wanted = F.array(*map(F.lit, _META_FIELDS))
+    values = bind(parsed, lambda found: F.transform(wanted, lambda name: value(found, name)))
+    return bind(
+        values,
+        lambda got: F.struct(*[F.get(got, i).alias(n) for i, n in enumerate(_META_FIELDS)]),
     )
 
 
@@ -160,7 +200,14 @@ def without_noise(doc: Column) -> Column:
     element is open and how deep it is nested in its own kind. An element left
     open runs to the end. Self-closed tags hold nothing.
     """
-    pieces = F.split(doc, _NOISE_TAG, -1)
+
+    def cut(pieces: Column) -> Column:
+        return F.when(F.size(pieces) == 1, doc).otherwise(_fold_pieces(doc, pieces))
+
+    return bind(F.split(doc, _NOISE_TAG, -1), cut)
+
+
+def _fold_pieces(doc: Column, pieces: Column) -> Column:
     tags = F.regexp_extract_all(doc, F.lit(_NOISE_TAG), F.lit(0))
     steps = F.zip_with(
         tags,
@@ -192,16 +239,7 @@ def without_noise(doc: Column) -> Column:
             .alias("kept"),
         )
 
-    folded = F.aggregate(steps, start, step, lambda state: state["kept"])
-    return F.when(doc.rlike(_NOISE_TAG), folded).otherwise(doc)
-
-
-def body_text(doc: Column, limit: int = BODY_LIMIT) -> Column:
-    """All text outside noise, nodes apart by a space, first ``limit`` characters.
-
-    The whole document is read; the limit is part of the signal's definition.
-    """
-    return F.substring(inner_text(without_noise(doc), " "), 1, limit)
+    return F.aggregate(steps, start, step, lambda state: state["kept"])
 
 
 def combined_text(weights: dict[str, int] | None = None) -> Column:

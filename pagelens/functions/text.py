@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagelens.functions.binding import bind
 from pagelens.functions.unicode_rules import (
     HANGUL_FIRST,
     HANGUL_LAST,
@@ -85,10 +86,13 @@ def strip_accents(text: Column) -> Column:
             .otherwise(F.coalesce(F.try_element_at(wide, char), char)),
         )
 
-    present = F.array_distinct(F.regexp_extract_all(text, F.lit(rare), F.lit(0)))
-    expanded = F.when(text.rlike(rare), F.aggregate(present, text, expand)).otherwise(text)
-    folded = F.translate(expanded, rules.single_from, rules.single_to)
-    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(folded)
+    def fold(value: Column) -> Column:
+        present = F.array_distinct(F.regexp_extract_all(value, F.lit(rare), F.lit(0)))
+        expanded = F.when(value.rlike(rare), F.aggregate(present, value, expand)).otherwise(value)
+        folded = F.translate(expanded, rules.single_from, rules.single_to)
+        return F.when(F.octet_length(value) == F.char_length(value), value).otherwise(folded)
+
+    return bind(text, fold)
 
 
 def _hangul_parts(char: Column) -> Column:
@@ -120,10 +124,14 @@ def tokens(text: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Colu
 
 def ngrams(words: Column) -> Column:
     """The words, then each pair of neighbours joined by a space."""
-    pairs = F.zip_with(
-        words,
-        F.slice(words, 2, F.size(words)),
-        lambda left, right: F.concat(left, F.lit(" "), right),
-    )
-    # The last word has no right neighbour; its pair is null.
-    return F.concat(words, F.filter(pairs, lambda pair: pair.isNotNull()))
+
+    def build(words: Column) -> Column:
+        pairs = F.zip_with(
+            words,
+            F.slice(words, 2, F.size(words)),
+            lambda left, right: F.concat(left, F.lit(" "), right),
+        )
+        # The last word has no right neighbour; its pair is null.
+        return F.concat(words, F.filter(pairs, lambda pair: pair.isNotNull()))
+
+    return bind(words, build)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions import html as H
+from pagelens.schemas import SIGNAL_COLUMNS
 
 HEADING_LEVELS = (1, 2, 3)
 
@@ -18,27 +19,31 @@ def extract_signals(
 ) -> DataFrame:
     """Replace the HTML column by the eight signal columns. No shuffle.
 
-    Work is staged in three projections. Each reads the one before it several
-    times, so Catalyst keeps them apart and every pattern runs once per page.
+    Work is staged in projections that each read the one before several times,
+    so Catalyst keeps them apart and every pattern runs once per page. The whole
+    document is read; ``body_limit`` is part of the body signal's definition.
     """
-    staged = pages.withColumn("_doc", H.markup(F.col(html_col))).drop(html_col)
-    doc, parsed = F.col("_doc"), F.col("_metas")
-    staged = staged.withColumns(
-        {
-            "title": H.title(doc),
-            "_metas": H.metas(doc),
-            **{f"h{level}": H.headings(doc, level) for level in HEADING_LEVELS},
-            "body_text": H.body_text(doc, body_limit),
-        }
-    ).drop("_doc")
-    staged = staged.withColumns(
-        {
-            "description": H.meta_content(parsed, "description"),
-            "keywords": H.meta_content(parsed, "keywords"),
-        }
-    ).drop("_metas")
-    staged = staged.withColumn("combined_text", H.combined_text(weights))
-    kept = [c for c in pages.columns if c != html_col]
-    return staged.select(
-        *kept, "title", "description", "keywords", "h1", "h2", "h3", "body_text", "combined_text"
+    doc, metas, texts = F.col("_doc"), F.col("_metas"), F.col("_texts")
+    staged = (
+        pages.withColumn("_doc", H.markup(F.col(html_col)))
+        .drop(html_col)
+        .withColumns({"_metas": H.metas(doc), "_texts": H.texts(doc, HEADING_LEVELS)})
+        .drop("_doc")
+        .withColumns(
+            {
+                "title": F.get(F.get(texts, 0), 0),
+                "description": H.meta_content(metas, "description"),
+                "keywords": H.meta_content(metas, "keywords"),
+                **{
+                    f"h{level}": H.join_texts(F.get(texts, position))
+                    for position, level in enumerate(HEADING_LEVELS, start=1)
+                },
+                "body_text": F.substring(
+                    F.get(F.get(texts, len(HEADING_LEVELS) + 1), 0), 1, body_limit
+                ),
+            }
+        )
+        .withColumn("combined_text", H.combined_text(weights))
     )
+    kept = [c for c in pages.columns if c != html_col]
+    return staged.select(*kept, *SIGNAL_COLUMNS)
