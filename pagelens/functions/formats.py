@@ -13,3 +13,9 @@ def iso_timestamp(moment: Column) -> Column:
         F.date_format(utc, "SSSSSS") == "000000", F.lit("")
     ).otherwise(F.date_format(utc, ".SSSSSS"))
     return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+
+
+def four_places(number: Column) -> Column:
+    """``0.25``, ``0.0``, ``0.0009``: plain digits, never an exponent."""
+    digits = number.cast("decimal(20,4)").cast("string")
+    return F.regexp_replace(digits, r"(\.\d+?)0+$", "$1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.functions.formats import iso_timestamp
+from pagelens.functions.formats import four_places, iso_timestamp
 from pagelens.schemas import REPORT_COLUMNS
 
 # Quotes are doubled, and nulls and empty strings both print as nothing.
@@ -26,9 +26,11 @@ def report_rows(results: DataFrame) -> DataFrame:
     def cell(name: str):
         if name not in results.columns:
             return F.lit("")
-        column = F.col(name)
-        if dict(results.dtypes)[name] == "timestamp":
+        column, kind = F.col(name), dict(results.dtypes)[name]
+        if kind == "timestamp":
             column = iso_timestamp(column)
+        elif kind == "double":
+            column = four_places(column)
         return F.coalesce(column.cast("string"), F.lit(""))
 
     return results.select(*[cell(name).alias(name) for name in REPORT_COLUMNS])

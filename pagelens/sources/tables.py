@@ -91,3 +91,15 @@ def write_queue(state: DataFrame, path: str) -> None:
 
 def read_queue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.QUEUE).parquet(path).select("list", "url", "seq")
+
+
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Use all cores for row-wise work on an input of too few scan splits.
+
+    A single small file is one split, whatever the work per row. Inputs with a
+    split for every core, as all large ones are, pass through without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(cores, key)
