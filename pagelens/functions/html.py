@@ -21,8 +21,8 @@ _TAIL = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+(?:>|\z)"""
 _NAME_END = r"(?=[\s/>])"
 _TAG = rf"<(?:/?[A-Za-z]{_TAIL}|[!?/][^>]*+(?:>|\z))"
 _RAW = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    rf"|<(script|style|template){_NAME_END}{_TAIL}.*?(?:</\1{_NAME_END}[^>]*+>|\z)"
+    r"(?is)<(?:!--.*?(?:-->|\z)"
+    rf"|(script|style|template){_NAME_END}{_TAIL}.*?(?:</\1{_NAME_END}[^>]*+>|\z))"
 )
 # Elements whose text never describes a page.
 _NOISE = "noscript|header|footer|nav|aside"
@@ -120,27 +120,33 @@ def title_markup(doc: Column) -> Column:
     )
 
 
-def heading_markup(doc: Column, level: int) -> Column:
-    """Insides of every heading of a level, in document order.
+def heading_markup(doc: Column) -> Column:
+    """Headings of levels 1 to 3 in document order, start tag included.
 
     A heading ends at its end tag, or where a paragraph, list item, form or a
     heading of another level starts.
     """
-    others = "".join(str(n) for n in range(1, 7) if n != level)
     pattern = (
-        rf"(?is)<h{level}{_NAME_END}{_TAIL}(.*?)"
-        rf"(?:</h{level}{_NAME_END}|(?=<(?:p|li|form|h[{others}]){_NAME_END})|\z)"
+        rf"(?is)<h([1-3]){_NAME_END}{_TAIL}.*?"
+        rf"(?:</h\1{_NAME_END}|(?=<(?:p|li|form|h(?!\1)[1-6]){_NAME_END})|\z)"
     )
-    return F.regexp_extract_all(doc, F.lit(pattern), F.lit(1))
+    return F.regexp_extract_all(doc, F.lit(pattern), F.lit(0))
 
 
-def texts(doc: Column, levels: tuple[int, ...]) -> Column:
-    """Texts of the title, of each heading level, and of the body, as arrays.
+def texts(doc: Column) -> Column:
+    """Texts of the title, of heading levels 1 to 3, and of the body, as arrays.
 
     Tags vanish inside titles and headings but part words in the body. All texts
     share one decoding step, which keeps the expression small.
     """
-    tight = F.array(F.array(title_markup(doc)), *[heading_markup(doc, n) for n in levels])
+
+    def level(found: Column, number: int) -> Column:
+        return F.filter(found, lambda part: F.substring(part, 3, 1) == str(number))
+
+    tight = bind(
+        heading_markup(doc),
+        lambda found: F.array(F.array(title_markup(doc)), *[level(found, n) for n in (1, 2, 3)]),
+    )
     stripped = F.concat(
         F.transform(tight, lambda group: F.transform(group, lambda part: strip_tags(part, ""))),
         F.array(F.array(strip_tags(without_noise(doc), " "))),

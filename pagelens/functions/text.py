@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,13 +12,26 @@ from pagelens.functions.binding import bind
 from pagelens.functions.unicode_rules import (
     HANGUL_FIRST,
     HANGUL_LAST,
+    OTHER_LATIN_SPACES,
     WHITESPACE,
+    WIDE_SPACES,
     folding,
-    java_class,
 )
 
-# A word is a maximal run of two or more letters, digits or underscores.
-WORD = r"[\p{L}\p{N}_]{2,}"
+# Patterns over whole texts use flat, positive character classes: Java tests a
+# listed class with one bit set, but a negated or nested one with a call chain.
+BEYOND_ASCII = r"[\x80-\x{10ffff}]"
+
+# What separates words once other separators have become spaces.
+ASCII_SEPARATORS = (
+    "[" + "".join(rf"\x{code:02x}" for code in range(128) if not re.match(r"\w", chr(code))) + "]+"
+)
+WIDE_SEPARATOR = r"[^\p{L}\p{N}\x00-\x7f]"
+
+# Whitespace runs other than a lone space, by far the most common run.
+_RUNS = (
+    rf"[{OTHER_LATIN_SPACES}][\x20{OTHER_LATIN_SPACES}]*+|\x20[\x20{OTHER_LATIN_SPACES}]++"
+)
 
 # The English stop list the weights are defined over (318 words).
 ENGLISH_STOP_WORDS = tuple(
@@ -51,6 +65,11 @@ ENGLISH_STOP_WORDS = tuple(
 )
 
 
+def is_ascii(text: Column) -> Column:
+    """Bytes equal characters. Cheap, and opens faster paths to most text."""
+    return F.octet_length(text) == F.char_length(text)
+
+
 def strip_whitespace(text: Column) -> Column:
     # The lookbehind lets the tail match start only where a run starts, which
     # keeps the cost linear on long inner runs.
@@ -60,39 +79,61 @@ def strip_whitespace(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Collapse whitespace runs to one space, trim, and turn null into ''."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), rf"{WHITESPACE}+", " "))
+
+    def collapse(value: Column) -> Column:
+        # The range test is cheap and rules the wide spaces out of most texts.
+        narrow = F.when(
+            value.rlike(r"[\u1680-\u3000]"), F.regexp_replace(value, f"[{WIDE_SPACES}]", " ")
+        ).otherwise(value)
+        return F.trim(F.regexp_replace(narrow, _RUNS, " "))
+
+    return bind(F.coalesce(text, F.lit("")), collapse)
 
 
 def strip_accents(text: Column) -> Column:
-    """Compatibility-decompose and drop combining marks, character by character.
+    """Compatibility-decompose and drop combining marks."""
+    return _map_characters(text, _without_accents)
+
+
+def _map_characters(text: Column, mapped: Callable[[Column], Column]) -> Column:
+    """Map each distinct non-ASCII character once, then replace it in the text.
 
-    Characters with a one-character result go through ``translate``. The rare
-    ones with longer results (ligatures, fractions, Hangul) are replaced one
-    distinct character at a time. ASCII text, the common case, passes untouched.
+    ASCII text, the common case, passes untouched. ``mapped`` must leave its own
+    results alone, so that the order of replacements does not matter.
     """
+
+    def replace(value: Column) -> Column:
+        chars = F.array_distinct(F.regexp_extract_all(value, F.lit(BEYOND_ASCII), F.lit(0)))
+        changes = F.filter(
+            F.transform(
+                chars, lambda char: F.struct(char.alias("old"), mapped(char).alias("new"))
+            ),
+            lambda change: change["old"] != change["new"],
+        )
+        replaced = F.aggregate(
+            changes, value, lambda so_far, change: F.replace(so_far, change["old"], change["new"])
+        )
+        return F.when(is_ascii(value), value).otherwise(replaced)
+
+    return bind(text, replace)
+
+
+def _without_accents(char: Column) -> Column:
     rules = folding()
-    rare = java_class(rules.wide_ranges)
     wide = F.str_to_map(
         F.lit("\u0002".join(f"{k}\u0001{v}" for k, v in rules.wide.items())),
         F.lit("\u0002"),
         F.lit("\u0001"),
     )
-
-    def expand(so_far: Column, char: Column) -> Column:
-        return F.replace(
-            so_far,
-            char,
-            F.when(char.between(HANGUL_FIRST, HANGUL_LAST), _hangul_parts(char))
-            .otherwise(F.coalesce(F.try_element_at(wide, char), char)),
+    single = F.translate(char, rules.single_from, rules.single_to)
+    return F.when(char.between(HANGUL_FIRST, HANGUL_LAST), _hangul_parts(char)).otherwise(
+        bind(
+            single,
+            lambda one: F.when(one != char, one).otherwise(
+                F.coalesce(F.try_element_at(wide, char), char)
+            ),
         )
-
-    def fold(value: Column) -> Column:
-        present = F.array_distinct(F.regexp_extract_all(value, F.lit(rare), F.lit(0)))
-        expanded = F.when(value.rlike(rare), F.aggregate(present, value, expand)).otherwise(value)
-        folded = F.translate(expanded, rules.single_from, rules.single_to)
-        return F.when(F.octet_length(value) == F.char_length(value), value).otherwise(folded)
-
-    return bind(text, fold)
+    )
 
 
 def _hangul_parts(char: Column) -> Column:
@@ -115,11 +156,22 @@ def normalise_text(text: Column) -> Column:
 
 
 def tokens(text: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Column:
-    """Words in order, repeats kept, stop words dropped (hash-set lookup)."""
-    words = F.regexp_extract_all(normalise_text(text), F.lit(WORD), F.lit(0))
-    if not stop_words:
-        return words
-    return F.filter(words, lambda word: ~word.isin(list(stop_words)))
+    """Words in order, repeats kept, stop words dropped (hash-set lookup).
+
+    A word is a run of two or more letters, digits or underscores of the
+    normalised text. Separators beyond ASCII become spaces along with accents,
+    so the split itself needs only a fast ASCII pattern.
+    """
+
+    def words_apart(char: Column) -> Column:
+        return F.regexp_replace(_without_accents(char), WIDE_SEPARATOR, " ")
+
+    def keep(word: Column) -> Column:
+        long_enough = F.char_length(word) > 1
+        return long_enough & ~word.isin(list(stop_words)) if stop_words else long_enough
+
+    words = F.split(_map_characters(F.lower(text), words_apart), ASCII_SEPARATORS)
+    return F.filter(words, keep)
 
 
 def ngrams(words: Column) -> Column:

@@ -10,8 +10,11 @@ import unicodedata
 from functools import lru_cache
 from typing import NamedTuple
 
-# Python's str.isspace() and re's \s, which are wider than Java's \s.
-WHITESPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# Python's str.isspace() and re's \s, which are wider than Java's \s. Latin
+# characters are listed one by one: Java tests those with one bit set.
+OTHER_LATIN_SPACES = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"  # all but the space
+WIDE_SPACES = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITESPACE = rf"[\x20{OTHER_LATIN_SPACES}{WIDE_SPACES}]"
 
 HANGUL_FIRST, HANGUL_LAST = "가", "힣"
 
@@ -22,7 +25,6 @@ class Folding(NamedTuple):
     single_from: str  # characters that become one character or vanish
     single_to: str  # their results; the unmatched tail of single_from vanishes
     wide: dict[str, str]  # characters that become two or more characters
-    wide_ranges: list[tuple[int, int]]  # coarse ranges around those, Hangul included
 
 
 @lru_cache(maxsize=1)
@@ -48,12 +50,7 @@ def folding() -> Folding:
             wide[char] = kept
         elif kept != char:
             replaced[char] = kept
-    return Folding(
-        "".join(replaced) + "".join(removed),
-        "".join(replaced.values()),
-        wide,
-        _merge_ranges([*map(ord, wide), *range(ord(HANGUL_FIRST), ord(HANGUL_LAST) + 1)], gap=16),
-    )
+    return Folding("".join(replaced) + "".join(removed), "".join(replaced.values()), wide)
 
 
 @lru_cache(maxsize=1)
@@ -67,17 +64,3 @@ def delimiter_lookalikes() -> str:
         ):
             found.append(char)
     return "".join(found)
-
-
-def _merge_ranges(codes: list[int], gap: int) -> list[tuple[int, int]]:
-    ranges: list[tuple[int, int]] = []
-    for code in sorted(codes):
-        if ranges and code - ranges[-1][1] <= gap:
-            ranges[-1] = (ranges[-1][0], code)
-        else:
-            ranges.append((code, code))
-    return ranges
-
-
-def java_class(ranges: list[tuple[int, int]]) -> str:
-    return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in ranges) + "]"

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.binding import bind
-from pagelens.functions.text import ngrams, strip_whitespace, tokens
+from pagelens.functions.text import strip_whitespace, tokens
 from pagelens.functions.urls import registered_domain
 from pagelens.operators.lookup import lookup_join
 from pagelens.operators.model import (
@@ -34,10 +34,32 @@ def _vectors(model: CategoryModel) -> Column:
 
 
 def _page_terms(text: Column, model: CategoryModel) -> Column:
-    """Vocabulary terms of a text with repeats; others drop out by hash lookup."""
-    return F.filter(
-        ngrams(tokens(text, model.stop_words)), lambda term: term.isin(list(model.inline_terms))
-    )
+    """Vocabulary terms of a text with repeats; all else drops out by hash lookup.
+
+    A pair is joined only when its words start and end pairs of the vocabulary,
+    which spares building most of a text's pairs.
+    """
+    pairs = [term.split(" ") for term in model.inline_terms if " " in term]
+    first = sorted({left for left, _ in pairs})
+    second = sorted({right for _, right in pairs})
+
+    def known(term: Column) -> Column:
+        return term.isin(list(model.inline_terms))
+
+    def select(words: Column) -> Column:
+        singles = F.filter(words, known)
+        if not pairs:
+            return singles
+        joined = F.zip_with(
+            words,
+            F.slice(words, 2, F.size(words)),
+            lambda left, right: F.when(
+                left.isin(first) & right.isin(second), F.concat(left, F.lit(" "), right)
+            ),
+        )
+        return F.concat(singles, F.filter(joined, known))
+
+    return bind(tokens(text, model.stop_words), select)
 
 
 def page_weights(text: Column, model: CategoryModel) -> Column:

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from pagelens.functions import html as H
 from pagelens.schemas import SIGNAL_COLUMNS
 
-HEADING_LEVELS = (1, 2, 3)
-
 
 def extract_signals(
     pages: DataFrame,
@@ -27,20 +25,15 @@ def extract_signals(
     staged = (
         pages.withColumn("_doc", H.markup(F.col(html_col)))
         .drop(html_col)
-        .withColumns({"_metas": H.metas(doc), "_texts": H.texts(doc, HEADING_LEVELS)})
+        .withColumns({"_metas": H.metas(doc), "_texts": H.texts(doc)})
         .drop("_doc")
         .withColumns(
             {
                 "title": F.get(F.get(texts, 0), 0),
                 "description": H.meta_content(metas, "description"),
                 "keywords": H.meta_content(metas, "keywords"),
-                **{
-                    f"h{level}": H.join_texts(F.get(texts, position))
-                    for position, level in enumerate(HEADING_LEVELS, start=1)
-                },
-                "body_text": F.substring(
-                    F.get(F.get(texts, len(HEADING_LEVELS) + 1), 0), 1, body_limit
-                ),
+                **{f"h{level}": H.join_texts(F.get(texts, level)) for level in (1, 2, 3)},
+                "body_text": F.substring(F.get(F.get(texts, 4), 0), 1, body_limit),
             }
         )
         .withColumn("combined_text", H.combined_text(weights))
