@@ -195,13 +195,10 @@ def seen_urls(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.distinct_urls(parsed)
 
 
-def corpus(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Categories and a fitting corpus: every document under its language."""
-    categories = categories_frame(
-        spark, [{"name": code, "keywords": []} for code in LANGUAGE_CODES]
-    )
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    """A fitting corpus: every document as a text of its language's category."""
     index = (F.array_position(F.lit(LANGUAGE_CODES), F.col("lang")) - 1).cast("int")
-    return categories, documents(spark, sf).select(index.alias("cat_idx"), "text")
+    return documents(spark, sf).select(index.alias("cat_idx"), "text")
 
 
 @lru_cache(maxsize=4)
@@ -331,16 +328,13 @@ def ngram_lists(spark, sf):
 
 
 def vocab_idf(spark, sf):
-    _, texts = corpus(spark, sf)
-    vocab = fitting.vocabulary(fitting.term_counts(texts, "cat_idx"))
-    documents_in_corpus = texts.agg(F.countDistinct("cat_idx")).scalar()
-    return fitting.with_idf(vocab, documents_in_corpus).withColumn("idf", F.round("idf", 8))
+    idf, _ = fitting.fit_tables(corpus(spark, sf))
+    return idf.withColumn("idf", F.round("idf", 8))
 
 
 def corpus_profiles(spark, sf):
-    categories, texts = corpus(spark, sf)
-    fitted = fitting.fit(categories, corpus=texts)
-    return fitted.profiles.select("cat_idx", "term", F.round("weight", 8).alias("weight"))
+    _, profiles = fitting.fit_tables(corpus(spark, sf))
+    return profiles.select("cat_idx", "term", F.round("weight", 8).alias("weight"))
 
 
 def page_term_weights(spark, sf):

@@ -33,6 +33,8 @@ _RUNS = (
     rf"[{OTHER_LATIN_SPACES}][\x20{OTHER_LATIN_SPACES}]*+|\x20[\x20{OTHER_LATIN_SPACES}]++"
 )
 
+NOT_SPACE = rf"[^{WHITESPACE[1:]}"
+
 # The English stop list the weights are defined over (318 words).
 ENGLISH_STOP_WORDS = tuple(
     """

@@ -11,16 +11,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.binding import bind
-from pagelens.functions.text import strip_whitespace, tokens
+from pagelens.functions.text import NOT_SPACE, ngrams, tokens
 from pagelens.functions.urls import registered_domain
-from pagelens.operators.lookup import lookup_join
+from pagelens.operators import lookup
 from pagelens.operators.model import (
     CONFIDENCE_THRESHOLD,
     DOMAIN_BOOST,
     UNCATEGORIZED,
     CategoryModel,
+    inline_bucket,
     sublinear,
-    term_counts,
     unit_vectors,
 )
 
@@ -29,12 +29,16 @@ from pagelens.operators.model import (
 
 
 def _vectors(model: CategoryModel) -> Column:
-    """The model as a map literal; the optimizer folds the parsing away."""
-    return F.from_json(F.lit(model.inline), "map<string,struct<idf:double,w:array<double>>>")
+    """The model as a literal; the optimizer folds the parsing away."""
+    return F.from_json(F.lit(model.inline), "array<map<string,struct<idf:double,w:array<double>>>>")
 
 
-def _page_terms(text: Column, model: CategoryModel) -> Column:
-    """Vocabulary terms of a text with repeats; all else drops out by hash lookup.
+def _find(vectors: Column, term: Column) -> Column:
+    return F.try_element_at(F.get(vectors, inline_bucket(term)), term)
+
+
+def _page_terms(text: Column, model: CategoryModel, vectors: Column) -> Column:
+    """Vocabulary terms of a text with repeats; all others drop out by lookup.
 
     A pair is joined only when its words start and end pairs of the vocabulary,
     which spares building most of a text's pairs.
@@ -44,7 +48,7 @@ def _page_terms(text: Column, model: CategoryModel) -> Column:
     second = sorted({right for _, right in pairs})
 
     def known(term: Column) -> Column:
-        return term.isin(list(model.inline_terms))
+        return _find(vectors, term).isNotNull()
 
     def select(words: Column) -> Column:
         singles = F.filter(words, known)
@@ -57,7 +61,7 @@ def _page_terms(text: Column, model: CategoryModel) -> Column:
                 left.isin(first) & right.isin(second), F.concat(left, F.lit(" "), right)
             ),
         )
-        return F.concat(singles, F.filter(joined, known))
+        return F.concat(singles, F.filter(joined, lambda pair: pair.isNotNull() & known(pair)))
 
     return bind(tokens(text, model.stop_words), select)
 
@@ -68,21 +72,24 @@ def page_weights(text: Column, model: CategoryModel) -> Column:
     ``w`` holds the term's weight in every category.
     """
 
-    def weigh(terms: Column) -> Column:
-        def entry(term: Column) -> Column:
-            tf = F.size(F.filter(terms, lambda other: other == term))
-            return bind(
-                F.try_element_at(_vectors(model), term),
-                lambda vector: F.struct(
-                    term.alias("term"),
-                    (sublinear(tf) * vector["idf"]).alias("weight"),
-                    vector["w"].alias("w"),
-                ),
-            )
+    def weigh(vectors: Column) -> Column:
+        def entries(terms: Column) -> Column:
+            def entry(term: Column) -> Column:
+                tf = F.size(F.filter(terms, lambda other: other == term))
+                return bind(
+                    _find(vectors, term),
+                    lambda vector: F.struct(
+                        term.alias("term"),
+                        (sublinear(tf) * vector["idf"]).alias("weight"),
+                        vector["w"].alias("w"),
+                    ),
+                )
+
+            return F.transform(F.array_distinct(terms), entry)
 
-        return F.transform(F.array_distinct(terms), entry)
+        return bind(_page_terms(text, model, vectors), entries)
 
-    return bind(_page_terms(text, model), weigh)
+    return bind(_vectors(model), weigh)
 
 
 def _length(weights: Column) -> Column:
@@ -141,7 +148,8 @@ def _decide(score: Column, name: Column, blank: Column) -> dict[str, Column]:
 
 
 def _is_blank(text: Column) -> Column:
-    return strip_whitespace(F.coalesce(text, F.lit(""))) == ""
+    """No character but whitespace; the search stops at the first one that is not."""
+    return ~F.coalesce(text, F.lit("")).rlike(NOT_SPACE)
 
 
 def classify(
@@ -189,7 +197,7 @@ def with_boost_index(pages: DataFrame, model: CategoryModel, url_col: str) -> Da
     The requested URL decides, not the one a redirect ended at.
     """
     keyed = pages.withColumn("domain", registered_domain(F.col(url_col)))
-    joined = lookup_join(keyed, model.domains, "domain", model.domain_rows, url_col, "left")
+    joined = lookup.lookup_join(keyed, model.domains, "domain", model.domain_rows, url_col, "left")
     return joined.select(*pages.columns, "boost_idx")
 
 
@@ -197,9 +205,24 @@ def with_boost_index(pages: DataFrame, model: CategoryModel, url_col: str) -> Da
 
 
 def _table_weights(texts: DataFrame, model: CategoryModel, key: str) -> DataFrame:
-    """Unit page vectors by joins. Counting first collapses a term that fills a page."""
-    counts = term_counts(texts, key, stop_words=model.stop_words)
-    weighted = lookup_join(counts, model.vocab, "term", model.vocabulary_size, key).select(
+    """Unit page vectors by joins.
+
+    A vocabulary of broadcast size first drops all other terms, so that only
+    known terms are shuffled. Beyond that size terms are counted per page before
+    the join, which collapses a term that fills its page.
+    """
+    words = tokens(F.col("text"), model.stop_words)
+    terms = texts.select(key, F.explode(ngrams(words)).alias("term"))
+    if model.vocabulary_size <= lookup.BROADCAST_ROWS:
+        counts = (
+            terms.join(F.broadcast(model.vocab), "term")
+            .groupBy(key, "term", "idf")
+            .agg(F.count(F.lit(1)).alias("tf"))
+        )
+    else:
+        counted = terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        counts = lookup.lookup_join(counted, model.vocab, "term", model.vocabulary_size, key)
+    weighted = counts.select(
         key, "term", (sublinear(F.col("tf")) * F.col("idf")).alias("weight")
     )
     return unit_vectors(weighted, key)
@@ -209,7 +232,7 @@ def table_similarities(weights: DataFrame, model: CategoryModel, key: str) -> Da
     """Terms of the cosine sums as ``(key, cat_idx, part)``."""
     profiles = model.profiles.withColumnRenamed("weight", "_profile")
     rows = model.vocabulary_size * model.category_rows
-    return lookup_join(weights, profiles, "term", rows, key).select(
+    return lookup.lookup_join(weights, profiles, "term", rows, key).select(
         key, "cat_idx", (F.col("weight") * F.col("_profile")).alias("part")
     )
 
@@ -217,15 +240,14 @@ def table_similarities(weights: DataFrame, model: CategoryModel, key: str) -> Da
 def _classify_tables(
     pages: DataFrame, model: CategoryModel, text_col: str, url_col: str, key: str
 ) -> DataFrame:
-    scored = pages.filter(~_is_blank(F.col(text_col))).select(
-        key, F.col(text_col).alias("text"), F.col(url_col).alias("url")
-    )
+    # Blank pages need no filter here: they have no terms, and a boost of theirs
+    # is overruled at the end. Only the first of these two reads the text.
     parts = table_similarities(
-        _table_weights(scored.select(key, "text"), model, key), model, key
+        _table_weights(pages.select(key, F.col(text_col).alias("text")), model, key), model, key
     ).withColumn("boosted", F.lit(False))
     # A boost counts even for a page that shares no term with the category.
     boosts = (
-        with_boost_index(scored.select(key, "url"), model, "url")
+        with_boost_index(pages.select(key, F.col(url_col).alias("url")), model, "url")
         .filter("boost_idx is not null")
         .select(
             key,
@@ -248,7 +270,7 @@ def _classify_tables(
     best = scores.groupBy(key).agg(
         F.max_by(F.struct("cat_idx", "score"), F.struct("score", -F.col("cat_idx"))).alias("_best")
     )
-    named = lookup_join(
+    named = lookup.lookup_join(
         best.select(key, "_best.cat_idx", "_best.score"),
         model.names.withColumnRenamed("name", "_name"),
         "cat_idx",

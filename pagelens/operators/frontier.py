@@ -109,14 +109,15 @@ def start_state(fresh: DataFrame, state: DataFrame | None = None) -> DataFrame:
 def advance_state(state: DataFrame, results: DataFrame) -> DataFrame:
     """Take processed URLs off the pending list and record their outcomes."""
     outcomes = record_outcomes(results)
-    still = state.join(
-        outcomes.select("url").distinct(),
-        (state["url"] == outcomes["url"]) & (state["list"] == "pending"),
-        "left_anti",
-    )
+    pending = state.filter("list = 'pending'")
+    still = pending.join(outcomes.select("url").distinct(), "url", "left_anti")
     recorded = outcomes.select("list", "url", F.lit(None).cast("long").alias("seq"))
     return (
-        still.unionByName(recorded).groupBy("list", "url").agg(F.min("seq").alias("seq"))
+        state.filter("list <> 'pending'")
+        .unionByName(still)
+        .unionByName(recorded)
+        .groupBy("list", "url")
+        .agg(F.min("seq").alias("seq"))
     )
 
 

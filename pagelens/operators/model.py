@@ -24,9 +24,11 @@ CONFIDENCE_THRESHOLD = 0.05
 UNCATEGORIZED = "Uncategorized"
 
 # Above these sizes the model is joined as tables and not put into the plan.
-INLINE_ENTRIES = 1_000_000
+INLINE_ENTRIES = 200_000
 INLINE_CATEGORIES = 256
 INLINE_DOMAINS = 100_000
+# Inline vectors are spread over buckets by hash: a map is searched end to end.
+INLINE_BUCKETS = 1024
 
 
 def category_corpus(categories: DataFrame) -> DataFrame:
@@ -42,6 +44,9 @@ def term_counts(
 ) -> DataFrame:
     """Occurrences of each word and word pair per key: ``(key, term, tf)``."""
     terms = texts.select(key, F.explode(ngrams(tokens(F.col(text_col), stop_words))).alias("term"))
+    # Never null. A join adds this filter below its own copy of the counts only,
+    # and then the two copies would not share a shuffle.
+    terms = terms.filter(F.col("term").isNotNull())
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -77,13 +82,28 @@ def unit_vectors(weighted: DataFrame, key: str) -> DataFrame:
 
 
 def category_profiles(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """Unit vector per category as ``(cat_idx, term, weight)``."""
+    """Unit vector per category as ``(cat_idx, term, weight)``, with each term's ``idf``."""
     weighted = counts.join(idf.select("term", "idf"), "term").select(
-        "cat_idx", "term", (sublinear(F.col("tf")) * F.col("idf")).alias("weight")
+        "cat_idx", "term", "idf", (sublinear(F.col("tf")) * F.col("idf")).alias("weight")
     )
     return unit_vectors(weighted, "cat_idx")
 
 
+def fit_tables(
+    corpus: DataFrame,
+    max_features: int = MAX_FEATURES,
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+) -> tuple[DataFrame, DataFrame]:
+    """``(term, corpus_count, df, idf)`` and ``(cat_idx, term, weight)`` of a corpus.
+
+    Both come from one table of counts, whose shuffle Spark runs once and reuses.
+    """
+    counts = term_counts(corpus, "cat_idx", stop_words=stop_words)
+    documents = corpus.agg(F.countDistinct("cat_idx")).scalar()
+    idf = with_idf(vocabulary(counts, max_features), documents)
+    return idf, category_profiles(counts, idf)
+
+
 def domain_index(categories: DataFrame) -> DataFrame:
     """Lower-cased domain to category; the last category naming it wins."""
     return (
@@ -127,10 +147,7 @@ def fit(
     at most ``max_features`` terms, each with one weight per category.
     """
     corpus = category_corpus(categories) if corpus is None else corpus
-    counts = term_counts(corpus, "cat_idx", stop_words=stop_words)
-    documents = corpus.agg(F.countDistinct("cat_idx")).scalar()
-    idf = with_idf(vocabulary(counts, max_features), documents).select("term", "df", "idf")
-    profiles = category_profiles(counts, idf)
+    idf, profiles = fit_tables(corpus, max_features, stop_words)
 
     sizes = categories.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -150,34 +167,41 @@ def fit(
     tables = {
         "names": categories.select("cat_idx", "name"),
         "vocab": idf.select("term", "idf"),
-        "profiles": profiles,
+        "profiles": profiles.select("cat_idx", "term", "weight"),
         "domains": domains,
         "stop_words": tuple(stop_words),
         "category_rows": sizes["rows"],
         "domain_rows": sizes["domains"],
     }
-    if sizes["rows"] > INLINE_CATEGORIES or sizes["rows"] * max_features > inline_entries:
-        return CategoryModel(vocabulary_size=_require_terms(idf.count()), **tables)
-
+    # One row more than fits is enough to know that the vectors are too many.
+    most_terms = inline_entries // sizes["rows"] if sizes["rows"] <= INLINE_CATEGORIES else 0
     vectors = (
-        profiles.join(idf.select("term", "idf"), "term")
-        .groupBy("term", "idf")
+        profiles.groupBy("term", "idf")
         .agg(F.map_from_entries(F.collect_list(F.struct("cat_idx", "weight"))).alias("weights"))
-        .collect()
+        .withColumn("bucket", inline_bucket(F.col("term")))
+        .limit(most_terms + 1)
     )
-    entries = {
-        term: {"idf": idf_value, "w": [weights.get(i, 0.0) for i in range(sizes["rows"])]}
-        for term, idf_value, weights in sorted(vectors, key=lambda row: row["term"])
-    }
+    rows = vectors.collect() if most_terms else []
+    if not most_terms or len(rows) > most_terms:
+        return CategoryModel(vocabulary_size=_require_terms(idf.count()), **tables)
+
+    buckets: list[dict] = [{} for _ in range(INLINE_BUCKETS)]
+    for row in rows:
+        weights = [row["weights"].get(i, 0.0) for i in range(sizes["rows"])]
+        buckets[row["bucket"]][row["term"]] = {"idf": row["idf"], "w": weights}
     return CategoryModel(
-        vocabulary_size=_require_terms(len(entries)),
+        vocabulary_size=_require_terms(len(rows)),
         inline_names=tuple(row["name"] for row in sorted(tables["names"].collect())),
-        inline_terms=tuple(entries),
-        inline=json.dumps(entries, ensure_ascii=False),
+        inline_terms=tuple(sorted(row["term"] for row in rows)),
+        inline=json.dumps(buckets, ensure_ascii=False),
         **tables,
     )
 
 
+def inline_bucket(term: Column) -> Column:
+    return F.pmod(F.hash(term), F.lit(INLINE_BUCKETS))
+
+
 def _require_terms(size: int) -> int:
     if size == 0:
         raise ValueError("empty vocabulary: the categories hold no words besides stop words")

@@ -144,6 +144,11 @@ def test_inline_plan_has_no_shuffle_and_no_parsing(pages, inline):
     assert "INSET" in plan
 
 
+def test_a_model_of_many_terms_stays_inline_or_not_by_size(categories):
+    assert M.fit(categories, inline_entries=8 * 403).inline is not None
+    assert M.fit(categories, inline_entries=8 * 403 - 1).inline is None
+
+
 def test_max_features_keeps_frequent_then_alphabetical(spark):
     config = [
         {"name": "A", "keywords": ["red", "red blue", "green"]},
