@@ -19,7 +19,7 @@ from pagelens.operators import model as fitting
 from pagelens.operators.classify import classify, similarities, term_weights, with_boost_index
 from pagelens.operators.fetches import normalise_outcomes
 from pagelens.operators.signals import extract_signals
-from pagelens.plans.runs import categorise_fetches, categorise_pages, plan_run, write_run
+from pagelens.plans.runs import categorise_fetches, categorise_pages, run
 from pagelens.session import scratch_path
 from pagelens.sources import sinks, tables
 from pagelens.sources.categories import categories_frame, read_categories, write_categories
@@ -513,7 +513,7 @@ def full_run(spark, sf):
     lines, fetches = url_lines(spark, sf), fetched(spark, sf)
     normal = fetches.withColumn("url", F.regexp_replace("url", "/+$", ""))
     path = scratch_path(spark, "run")
-    write_run(plan_run(lines, normal, language_model(spark)), path)
+    run(lines, normal, language_model(spark), path)
     return sinks.read_report(spark, f"{path}/report").select(
         "url", "final_url", "category", "status", "http_code", "error"
     )

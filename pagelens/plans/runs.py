@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.operators import frontier
 from pagelens.operators.classify import classify
 from pagelens.operators.fetches import page_results
+from pagelens.operators.lookup import BROADCAST_ROWS
 from pagelens.operators.model import CategoryModel
 from pagelens.operators.signals import extract_signals
 from pagelens.schemas import RESULT_COLUMNS
@@ -26,53 +25,75 @@ def categorise_pages(pages: DataFrame, model: CategoryModel, key: str = "page_id
     return classify(extract_signals(pages), model, key=key)
 
 
-@dataclass(frozen=True)
-class Run:
-    """Lazy outputs of one run."""
-
-    counters: DataFrame  # added, invalid, duplicate
-    begun: DataFrame  # queue state with the new URLs
-    results: DataFrame  # RESULT_COLUMNS
-
-
-def plan_run(
-    lines: DataFrame, fetches: DataFrame, model: CategoryModel, state: DataFrame | None = None
-) -> Run:
-    """Queue new URLs behind those pending, and categorise their fetches.
+def queue_lines(
+    lines: DataFrame, state: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Queue state with the new URLs behind those pending, and the load counters.
 
     URLs already seen are not queued again, so finished and failed ones are not
-    redone. Results are matched to pending URLs after signals are extracted: the
-    shuffle then carries short texts and not HTML.
+    redone.
     """
     parsed = frontier.parse_lines(lines)
     seen = None if state is None else state.filter("list = 'seen'")
     begun = frontier.start_state(frontier.new_urls(parsed, seen), state)
-    pending = begun.filter("list = 'pending'").select("url").distinct()
-    return Run(
-        counters=frontier.load_counters(parsed, seen),
-        begun=begun,
-        results=categorise_fetches(fetches, model).join(pending, "url", "left_semi"),
-    )
+    return begun, frontier.load_counters(parsed, seen)
 
 
-def write_run(run: Run, path: str, json_export: bool = False) -> DataFrame:
-    """Write results once, then derive report, export and queue from that table.
+def results_for(
+    fetches: DataFrame, pending: DataFrame, model: CategoryModel, pending_rows: int
+) -> DataFrame:
+    """Results of the fetches whose URL is pending.
 
-    Returns the queue state after the run. Raises when nothing is pending.
+    A queue of counted, broadcast size picks its fetches in the scan. A larger
+    one is joined to the results, so that the shuffle carries short texts and not
+    HTML. That is an inner join on purpose: the optimizer moves a semi join below
+    the extraction, and the pending URLs are distinct anyway.
+    """
+    urls = pending.select("url").distinct()
+    if pending_rows <= BROADCAST_ROWS:
+        wanted = fetches.join(F.broadcast(urls), "url", "left_semi")
+        return categorise_fetches(wanted, model)
+    return categorise_fetches(fetches, model).join(urls, "url")
+
+
+def run(
+    lines: DataFrame,
+    fetches: DataFrame,
+    model: CategoryModel,
+    path: str,
+    state: DataFrame | None = None,
+    json_export: bool = False,
+) -> DataFrame:
+    """One run below ``path``; returns the queue state after it.
+
+    Each step is written before the next reads it, so nothing is computed twice
+    and a lost executor costs one step's tasks: first the queue, then the
+    results, then report, export and new queue from the results table. Raises
+    when nothing is pending.
     """
-    spark = run.results.sparkSession
-    if run.begun.filter("list = 'pending'").isEmpty():
+    spark = fetches.sparkSession
+    begun, counters = queue_lines(lines, state)
+    tables.write_queue(begun, f"{path}/queue_before")
+    counters.write.mode("overwrite").json(f"{path}/counters")
+    begun = tables.read_queue(spark, f"{path}/queue_before")
+    pending = begun.filter("list = 'pending'")
+    pending_rows = pending.count()
+    if pending_rows == 0:
         raise ValueError("no valid URLs to process")
-    run.results.write.mode("overwrite").parquet(f"{path}/results")
-    results = spark.read.schema(run.results.schema).parquet(f"{path}/results")
+
+    computed = results_for(fetches, pending, model, pending_rows)
+    computed.write.mode("overwrite").parquet(f"{path}/results")
+    results = spark.read.schema(computed.schema).parquet(f"{path}/results")
     sinks.write_report(results, f"{path}/report")
     if json_export:
         sinks.write_json_export(results, f"{path}/export")
-    tables.write_queue(frontier.advance_state(run.begun, results), f"{path}/queue")
+    tables.write_queue(frontier.advance_state(begun, results), f"{path}/queue")
     return tables.read_queue(spark, f"{path}/queue")
 
 
-def batched_results(results: DataFrame, queue: DataFrame, size: int = frontier.BATCH_SIZE):
+def batched_results(
+    results: DataFrame, queue: DataFrame, size: int = frontier.BATCH_SIZE
+) -> DataFrame:
     """Results labelled with the batch their URL was queued in."""
-    batches = frontier.assign_batches(queue, size).select("url", F.col("batch"))
+    batches = frontier.assign_batches(queue, size).select("url", "batch")
     return results.join(batches, "url")

@@ -11,7 +11,7 @@ from pagelens import schemas
 from pagelens.defaults import DEFAULT_CATEGORIES
 from pagelens.operators import frontier, summary
 from pagelens.operators.model import fit
-from pagelens.plans.runs import batched_results, categorise_pages, plan_run, write_run
+from pagelens.plans.runs import batched_results, categorise_pages, queue_lines, results_for, run
 from pagelens.sources import sinks
 from pagelens.sources.categories import categories_frame
 from pagelens.streaming import pages as S
@@ -55,8 +55,11 @@ def lines(spark, numbers):
 
 
 def test_run_then_resume(spark, model, tmp_path):
-    first = plan_run(lines(spark, [0, 1, 1, 3]), fetches(spark, 10), model)
-    state = write_run(first, str(tmp_path / "one"), json_export=True)
+    def go(numbers, fetched, name, state=None, **options):
+        path = str(tmp_path / name)
+        return run(lines(spark, numbers), fetches(spark, fetched), model, path, state, **options)
+
+    state = go([0, 1, 1, 3], 10, "one", json_export=True)
     assert frontier.frontier_stats(state).first().asDict() == {
         "pending": 0, "completed": 2, "failed": 1, "total_seen": 3, "is_empty": True,
     }
@@ -69,23 +72,35 @@ def test_run_then_resume(spark, model, tmp_path):
     }
 
     # Seen URLs are not redone, the failed one included; pending ones stay queued.
-    second = plan_run(lines(spark, [3, 0, 4, 99]), fetches(spark, 10), model, state)
-    assert second.counters.first().asDict() == {"added": 2, "invalid": 0, "duplicate": 2}
-    state = write_run(second, str(tmp_path / "two"))
+    state = go([3, 0, 4, 99], 10, "two", state)
+    counters = spark.read.json(str(tmp_path / "two" / "counters")).first()
+    assert (counters.added, counters.invalid, counters.duplicate) == (2, 0, 2)
     stats = frontier.frontier_stats(state).first()
     assert (stats.pending, stats.completed, stats.total_seen) == (1, 3, 5)
 
-    third = plan_run(lines(spark, [0]), fetches(spark, 100), model, state)
-    state = write_run(third, str(tmp_path / "three"))
+    state = go([0], 100, "three", state)
     assert frontier.frontier_stats(state).first().is_empty
     with pytest.raises(ValueError, match="no valid URLs"):
-        write_run(plan_run(lines(spark, [0]), fetches(spark, 10), model, state), str(tmp_path / "4"))
+        go([0], 10, "four", state)
+
+
+def test_both_ways_of_matching_agree(spark, model):
+    begun, _ = queue_lines(lines(spark, [1, 2, 50]))
+    pending = begun.filter("list = 'pending'")
+    small = results_for(fetches(spark, 10), pending, model, 3)
+    large = results_for(fetches(spark, 10), pending, model, 10**9)
+    assert sorted(small.collect(), key=str) == sorted(large.select(small.columns).collect(), key=str)
+    assert sorted(r.url for r in small.collect()) == ["http://x.org/1", "http://x.org/2"]
+    # The large way must not carry HTML through the join.
+    plan = large._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("html")
 
 
 def test_batches_of_a_run(spark, model):
-    run = plan_run(lines(spark, range(10)), fetches(spark, 10), model)
-    queue = run.begun.filter("list = 'pending'")
-    rows = summary.batch_progress(batched_results(run.results, queue, 4)).orderBy("batch").collect()
+    begun, _ = queue_lines(lines(spark, range(10)))
+    queue = begun.filter("list = 'pending'")
+    results = results_for(fetches(spark, 10), queue, model, 10)
+    rows = summary.batch_progress(batched_results(results, queue, 4)).orderBy("batch").collect()
     assert [(r.urls, r.succeeded, r.processed) for r in rows] == [(4, 3, 4), (4, 3, 8), (2, 2, 10)]
 
 
