@@ -202,34 +202,38 @@ def meta_content(parsed: Column, word: str) -> Column:
 def without_noise(doc: Column) -> Column:
     """Cut the noise elements, nested ones included.
 
-    The document is split at noise tags, and a fold over the pieces tracks which
+    The document is split at noise tags, and a fold over the tags tracks which
     element is open and how deep it is nested in its own kind. An element left
     open runs to the end. Self-closed tags hold nothing.
     """
 
     def cut(pieces: Column) -> Column:
-        return F.when(F.size(pieces) == 1, doc).otherwise(_fold_pieces(doc, pieces))
+        kept = F.zip_with(
+            pieces, _kept_flags(doc), lambda piece, flag: F.when(flag == "1", piece)
+        )
+        # Joining skips the nulls.
+        return F.when(F.size(pieces) == 1, doc).otherwise(F.array_join(kept, " "))
 
     return bind(F.split(doc, _NOISE_TAG, -1), cut)
 
 
-def _fold_pieces(doc: Column, pieces: Column) -> Column:
-    tags = F.regexp_extract_all(doc, F.lit(_NOISE_TAG), F.lit(0))
-    steps = F.zip_with(
-        tags,
-        F.slice(pieces, 2, F.size(pieces)),
-        lambda tag, after: F.struct(
+def _kept_flags(doc: Column) -> Column:
+    """For each piece between noise tags, "1" when it lies outside noise.
+
+    The fold carries one character per piece and not the pieces, so a page made
+    of nothing but noise tags stays cheap.
+    """
+    tags = F.transform(
+        F.regexp_extract_all(doc, F.lit(_NOISE_TAG), F.lit(0)),
+        lambda tag: F.struct(
             F.lower(F.regexp_extract(tag, r"^</?([A-Za-z]+)", 1)).alias("name"),
             F.when(tag.startswith("</"), -1)
             .when(tag.endswith("/>"), 0)
             .otherwise(1)
             .alias("change"),
-            after.alias("after"),
         ),
     )
-    start = F.struct(
-        F.lit("").alias("open"), F.lit(0).alias("depth"), F.element_at(pieces, 1).alias("kept")
-    )
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("depth"), F.lit("1").alias("flags"))
 
     def step(state: Column, tag: Column) -> Column:
         depth = (
@@ -240,12 +244,12 @@ def _fold_pieces(doc: Column, pieces: Column) -> Column:
         return F.struct(
             F.when(state["depth"] == 0, tag["name"]).otherwise(state["open"]).alias("open"),
             depth.alias("depth"),
-            F.when(depth == 0, F.concat(state["kept"], F.lit(" "), tag["after"]))
-            .otherwise(state["kept"])
-            .alias("kept"),
+            F.concat(
+                state["flags"], F.when(depth == 0, F.lit("1")).otherwise(F.lit("0"))
+            ).alias("flags"),
         )
 
-    return F.aggregate(steps, start, step, lambda state: state["kept"])
+    return F.split(F.aggregate(tags, start, step, lambda state: state["flags"]), "")
 
 
 def combined_text(weights: dict[str, int] | None = None) -> Column:

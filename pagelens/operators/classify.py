@@ -66,6 +66,35 @@ def _page_terms(text: Column, model: CategoryModel, vectors: Column) -> Column:
     return bind(tokens(text, model.stop_words), select)
 
 
+def _counted(terms: Column) -> Column:
+    """Distinct terms with their number, as ``(term, tf)``.
+
+    Sorting puts equal terms side by side, and a count is the distance between
+    two starts. Counting each term by a search would be quadratic on long texts.
+    """
+
+    def runs(ordered: Column) -> Column:
+        size = F.size(ordered)
+        bounds = F.filter(
+            F.sequence(F.lit(0), size),
+            lambda i: (i == 0) | (i == size) | (F.get(ordered, i) != F.get(ordered, i - 1)),
+        )
+        return bind(bounds, lambda starts: counts(ordered, starts))
+
+    def counts(ordered: Column, starts: Column) -> Column:
+        pairs = F.zip_with(
+            starts,
+            F.slice(starts, 2, F.size(starts)),
+            lambda start, end: F.struct(
+                F.get(ordered, start).alias("term"), (end - start).alias("tf")
+            ),
+        )
+        # The last bound ends the last run and starts none.
+        return F.filter(pairs, lambda pair: pair["tf"].isNotNull())
+
+    return bind(F.sort_array(terms), runs)
+
+
 def page_weights(text: Column, model: CategoryModel) -> Column:
     """Unnormalised page vector: array of ``(term, weight, w)``.
 
@@ -73,21 +102,17 @@ def page_weights(text: Column, model: CategoryModel) -> Column:
     """
 
     def weigh(vectors: Column) -> Column:
-        def entries(terms: Column) -> Column:
-            def entry(term: Column) -> Column:
-                tf = F.size(F.filter(terms, lambda other: other == term))
-                return bind(
-                    _find(vectors, term),
-                    lambda vector: F.struct(
-                        term.alias("term"),
-                        (sublinear(tf) * vector["idf"]).alias("weight"),
-                        vector["w"].alias("w"),
-                    ),
-                )
-
-            return F.transform(F.array_distinct(terms), entry)
-
-        return bind(_page_terms(text, model, vectors), entries)
+        def entry(counted: Column) -> Column:
+            return bind(
+                _find(vectors, counted["term"]),
+                lambda vector: F.struct(
+                    counted["term"].alias("term"),
+                    (sublinear(counted["tf"]) * vector["idf"]).alias("weight"),
+                    vector["w"].alias("w"),
+                ),
+            )
+
+        return F.transform(_counted(_page_terms(text, model, vectors)), entry)
 
     return bind(_vectors(model), weigh)
 

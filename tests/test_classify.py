@@ -137,6 +137,13 @@ def test_term_weights_agree_between_forms(pages, inline, tables):
     assert all(total == pytest.approx(1) for total in by_page.values())
 
 
+def test_long_texts_are_scored_in_linear_time(spark, inline, brute):
+    text = "health research policy market hotel news " * 100_000
+    page = spark.createDataFrame([(text, "")], "combined_text string, url string")
+    row = classify(page, inline).first()
+    assert (row.category, row.confidence) == brute.classify(text)
+
+
 def test_inline_plan_has_no_shuffle_and_no_parsing(pages, inline):
     plan = classify(pages, inline)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan

@@ -103,6 +103,8 @@ def test_large_hostile_pages_finish(spark):
         "<script>" * 20_000,
         "<p a=\"b\" " * 30_000,
         "<nav>" * 3_000 + "x" + "</nav>" * 3_000 + "tail",
+        "<header>some text here</header>and some more outside it" * 20_000,
+        "<aside/>" * 50_000,
     ]
     frame = spark.createDataFrame([(p,) for p in pages], "html string")
     assert extract_signals(frame).agg(F.count("combined_text")).first()[0] == len(pages)
