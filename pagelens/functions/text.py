@@ -13,7 +13,9 @@ from pagelens.functions.unicode_rules import (
     HANGUL_FIRST,
     HANGUL_LAST,
     OTHER_LATIN_SPACES,
+    REMOVED,
     WHITESPACE,
+    WIDE,
     WIDE_SPACES,
     folding,
 )
@@ -94,48 +96,57 @@ def clean(text: Column) -> Column:
 
 def strip_accents(text: Column) -> Column:
     """Compatibility-decompose and drop combining marks."""
-    return _map_characters(text, _without_accents)
+    return _fold_characters(text, lambda char: char)
 
 
-def _map_characters(text: Column, mapped: Callable[[Column], Column]) -> Column:
-    """Map each distinct non-ASCII character once, then replace it in the text.
+def _fold_characters(text: Column, finish: Callable[[Column], Column]) -> Column:
+    """Fold each distinct non-ASCII character once, then replace it in the text.
 
-    ASCII text, the common case, passes untouched. ``mapped`` must leave its own
-    results alone, so that the order of replacements does not matter.
+    ASCII text, the common case, passes untouched. Results are stable under
+    folding, so the order of replacements does not matter.
     """
 
-    def replace(value: Column) -> Column:
-        chars = F.array_distinct(F.regexp_extract_all(value, F.lit(BEYOND_ASCII), F.lit(0)))
-        changes = F.filter(
-            F.transform(
-                chars, lambda char: F.struct(char.alias("old"), mapped(char).alias("new"))
-            ),
-            lambda change: change["old"] != change["new"],
+    def replace_all(value: Column, chars: Column) -> Column:
+        return F.aggregate(
+            _changes(chars, finish),
+            value,
+            lambda so_far, change: F.replace(so_far, change["old"], change["new"]),
         )
-        replaced = F.aggregate(
-            changes, value, lambda so_far, change: F.replace(so_far, change["old"], change["new"])
+
+    def fold(value: Column) -> Column:
+        chars = F.array_distinct(F.regexp_extract_all(value, F.lit(BEYOND_ASCII), F.lit(0)))
+        return F.when(is_ascii(value), value).otherwise(
+            bind(chars, lambda found: replace_all(value, found))
         )
-        return F.when(is_ascii(value), value).otherwise(replaced)
 
-    return bind(text, replace)
+    return bind(text, fold)
+
 
+def _changes(chars: Column, finish: Callable[[Column], Column]) -> Column:
+    """``(old, new)`` of the characters that change.
 
-def _without_accents(char: Column) -> Column:
+    All of them are translated in one hash-based call. Only those with a longer
+    result need a search in the map of such results.
+    """
     rules = folding()
     wide = F.str_to_map(
         F.lit("\u0002".join(f"{k}\u0001{v}" for k, v in rules.wide.items())),
         F.lit("\u0002"),
         F.lit("\u0001"),
     )
-    single = F.translate(char, rules.single_from, rules.single_to)
-    return F.when(char.between(HANGUL_FIRST, HANGUL_LAST), _hangul_parts(char)).otherwise(
-        bind(
-            single,
-            lambda one: F.when(one != char, one).otherwise(
-                F.coalesce(F.try_element_at(wide, char), char)
-            ),
+
+    def change(old: Column, single: Column) -> Column:
+        new = (
+            F.when(single == WIDE, F.try_element_at(wide, old))
+            .when(single == REMOVED, F.lit(""))
+            .when(old.between(HANGUL_FIRST, HANGUL_LAST), _hangul_parts(old))
+            .otherwise(single)
         )
-    )
+        return F.struct(old.alias("old"), finish(new).alias("new"))
+
+    singles = F.split(F.translate(F.array_join(chars, ""), rules.source, rules.target), "")
+    pairs = F.zip_with(chars, singles, change)
+    return F.filter(pairs, lambda pair: pair["old"] != pair["new"])
 
 
 def _hangul_parts(char: Column) -> Column:
@@ -165,14 +176,14 @@ def tokens(text: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Colu
     so the split itself needs only a fast ASCII pattern.
     """
 
-    def words_apart(char: Column) -> Column:
-        return F.regexp_replace(_without_accents(char), WIDE_SEPARATOR, " ")
+    def words_apart(folded: Column) -> Column:
+        return F.regexp_replace(folded, WIDE_SEPARATOR, " ")
 
     def keep(word: Column) -> Column:
         long_enough = F.char_length(word) > 1
         return long_enough & ~word.isin(list(stop_words)) if stop_words else long_enough
 
-    words = F.split(_map_characters(F.lower(text), words_apart), ASCII_SEPARATORS)
+    words = F.split(_fold_characters(F.lower(text), words_apart), ASCII_SEPARATORS)
     return F.filter(words, keep)
 
 

@@ -19,38 +19,41 @@ WHITESPACE = rf"[\x20{OTHER_LATIN_SPACES}{WIDE_SPACES}]"
 HANGUL_FIRST, HANGUL_LAST = "가", "힣"
 
 
+# Stand-ins in ``Folding.target`` for results that are not one character.
+REMOVED, WIDE = "\x01", "\x02"
+
+
 class Folding(NamedTuple):
     """How compatibility decomposition without combining marks changes text."""
 
-    single_from: str  # characters that become one character or vanish
-    single_to: str  # their results; the unmatched tail of single_from vanishes
+    source: str  # every character that changes, Hangul apart
+    target: str  # its result, or REMOVED or WIDE, at the same position
     wide: dict[str, str]  # characters that become two or more characters
 
 
 @lru_cache(maxsize=1)
 def folding() -> Folding:
-    replaced: dict[str, str] = {}
-    removed: list[str] = []
+    source: list[str] = []
+    target: list[str] = []
     wide: dict[str, str] = {}
     for code in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= code <= 0xDFFF:
             continue
         char = chr(code)
         if HANGUL_FIRST <= char <= HANGUL_LAST:
-            continue  # decomposed by arithmetic, see text.strip_accents
-        combining = unicodedata.combining(char)
-        if not combining and not unicodedata.decomposition(char):
+            continue  # decomposed by arithmetic, see text.py
+        if not unicodedata.combining(char) and not unicodedata.decomposition(char):
             continue
         kept = "".join(
             part for part in unicodedata.normalize("NFKD", char) if not unicodedata.combining(part)
         )
-        if not kept:
-            removed.append(char)
-        elif len(kept) > 1:
+        if kept == char:
+            continue
+        source.append(char)
+        target.append(kept if len(kept) == 1 else WIDE if kept else REMOVED)
+        if len(kept) > 1:
             wide[char] = kept
-        elif kept != char:
-            replaced[char] = kept
-    return Folding("".join(replaced) + "".join(removed), "".join(replaced.values()), wide)
+    return Folding("".join(source), "".join(target), wide)
 
 
 @lru_cache(maxsize=1)

@@ -14,7 +14,7 @@ def _label_counts(frame: DataFrame, label: str, count: str) -> DataFrame:
     return (
         frame.select(
             normalise_url(F.col("url")).alias("url"),
-            F.coalesce("category", F.lit(UNCATEGORIZED)).alias(label),
+            F.coalesce(F.nullif("category", F.lit("")), F.lit(UNCATEGORIZED)).alias(label),
         )
         .groupBy("url", label)
         .agg(F.count(F.lit(1)).alias(count))

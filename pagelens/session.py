@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     # Coalesces small shuffle partitions and splits skewed join partitions.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A scan holds a batch of rows per task, and these rows are whole pages: the
+    # default of 4,096 rows would be 400 MB at 100 KB each.
+    "spark.sql.parquet.columnarReaderBatchSize": "256",
     # Deduplication state is unbounded, so it lives on disk and not on the heap.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

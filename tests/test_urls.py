@@ -44,7 +44,7 @@ CASES = [
 ]
 
 
-def reference_valid(url):
+def parsed_valid(url):
     try:
         parsed = urlparse(url.strip())
         return parsed.scheme in ("http", "https") and parsed.netloc != ""
@@ -52,7 +52,7 @@ def reference_valid(url):
         return False
 
 
-def reference_domain(url):
+def parsed_domain(url):
     try:
         return urlparse(url).netloc.lower().removeprefix("www.")
     except ValueError:
@@ -66,12 +66,12 @@ def evaluate(spark, values, build):
 
 def test_validity(spark):
     got = dict(zip(CASES, evaluate(spark, CASES, urls.is_valid_url)))
-    assert got == {c: reference_valid(c) for c in CASES}
+    assert got == {c: parsed_valid(c) for c in CASES}
 
 
 def test_domain(spark):
     got = dict(zip(CASES, evaluate(spark, CASES, urls.registered_domain)))
-    assert got == {c: reference_domain(c) for c in CASES}
+    assert got == {c: parsed_domain(c) for c in CASES}
 
 
 def test_null_is_invalid_and_has_no_domain(spark):
