@@ -19,6 +19,7 @@ from pagelens.operators.model import (
     DOMAIN_BOOST,
     UNCATEGORIZED,
     CategoryModel,
+    explode_terms,
     inline_bucket,
     sublinear,
     unit_vectors,
@@ -127,13 +128,15 @@ def term_weights(pages: DataFrame, model: CategoryModel, key: str, text_col: str
     """Unit page vectors as ``(key, term, weight)``, computed within each row."""
     if model.inline is None:
         return _table_weights(pages.select(key, F.col(text_col).alias("text")), model, key)
-    weights = page_weights(F.col(text_col), model)
     unit = bind(
-        weights,
-        lambda vector: F.transform(
-            vector,
-            lambda x: F.struct(
-                x["term"].alias("term"), (x["weight"] / _length(vector)).alias("weight")
+        page_weights(F.col(text_col), model),
+        lambda vector: bind(
+            _length(vector),
+            lambda length: F.transform(
+                vector,
+                lambda x: F.struct(
+                    x["term"].alias("term"), (x["weight"] / length).alias("weight")
+                ),
             ),
         ),
     )
@@ -236,8 +239,7 @@ def _table_weights(texts: DataFrame, model: CategoryModel, key: str) -> DataFram
     known terms are shuffled. Beyond that size terms are counted per page before
     the join, which collapses a term that fills its page.
     """
-    words = tokens(F.col("text"), model.stop_words)
-    terms = texts.select(key, F.explode(ngrams(words)).alias("term"))
+    terms = explode_terms(texts, key, ngrams(tokens(F.col("text"), model.stop_words)))
     if model.vocabulary_size <= lookup.BROADCAST_ROWS:
         counts = (
             terms.join(F.broadcast(model.vocab), "term")

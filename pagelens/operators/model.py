@@ -43,13 +43,22 @@ def term_counts(
     texts: DataFrame, key: str, text_col: str = "text", stop_words: Sequence[str] = ENGLISH_STOP_WORDS
 ) -> DataFrame:
     """Occurrences of each word and word pair per key: ``(key, term, tf)``."""
-    terms = texts.select(key, F.explode(ngrams(tokens(F.col(text_col), stop_words))).alias("term"))
+    terms = explode_terms(texts, key, ngrams(tokens(F.col(text_col), stop_words)))
     # Never null. A join adds this filter below its own copy of the counts only,
     # and then the two copies would not share a shuffle.
     terms = terms.filter(F.col("term").isNotNull())
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def explode_terms(texts: DataFrame, key: str, terms: Column) -> DataFrame:
+    """One row per term.
+
+    The array is built inside the generator on purpose. As a column of its own it
+    would also be computed by the "is not empty" filter Spark puts below it.
+    """
+    return texts.select(key, F.explode(terms).alias("term"))
+
+
 def vocabulary(counts: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
     """The most frequent terms of the corpus: ``(term, corpus_count, df)``.
 

@@ -11,7 +11,7 @@ from pagelens.functions import urls
 
 CASES = [
     "http://example.com",
-    "https://github.com/deepti",
+    "https://github.com/someone",
     "github.com",
     "ftp://files.example.com",
     "",
