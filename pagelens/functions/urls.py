@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import strip_whitespace
-from pagelens.functions.unicode_rules import delimiter_lookalikes
+from pagelens.functions.unicode_rules import WHITESPACE, delimiter_lookalikes
 
 
 def normalise_url(url: Column) -> Column:
@@ -18,11 +18,6 @@ def normalise_url(url: Column) -> Column:
     return F.regexp_replace(strip_whitespace(url), r"/++\z", "")
 
 
-def _parser_view(url: Column) -> Column:
-    """What a URL parser sees: no leading control characters, no tabs or newlines."""
-    return F.regexp_replace(url, r"^[\x00-\x20]++|[\t\r\n]", "")
-
-
 def _h16_groups(most: int) -> str:
     return rf"(?:(?:[0-9a-f]{{1,4}}:){{0,{most}}}[0-9a-f]{{1,4}})?"
 
@@ -38,21 +33,28 @@ def _ipv6() -> str:
     return "(?:" + "|".join(forms) + ")"
 
 
-_BRACKETED = rf"(?i)^(?:.*@)?\[(?:v[0-9a-f]+\.[^\]]+|{_ipv6()}(?:%[^\]%]+)?)\](?::.*)?$"
+def _authority() -> str:
+    """A well-formed authority up to its end, as one pattern.
 
+    Brackets may only hold an IP literal, and no character may look like a URL
+    delimiter once its compatibility form is taken.
+    """
+    char = rf"[^/?#\[\]{delimiter_lookalikes()}]"
+    literal = rf"\[(?:v[0-9a-f]+\.[^\]/?#]+|{_ipv6()}(?:%[^\]%/?#]+)?)\]"
+    return rf"(?:{char}++|(?:{char}*@)?{literal}(?::{char}*)?)(?=[/?#]|\z)"
 
-def _well_formed(authority: Column) -> Column:
-    has_bracket = authority.contains("[") | authority.contains("]")
-    lookalike = authority.rlike("[" + delimiter_lookalikes() + "]")
-    return (~has_bracket | authority.rlike(_BRACKETED)) & ~lookalike
+
+def _without_breaks(url: Column) -> Column:
+    """A URL parser ignores tabs and line breaks wherever they are."""
+    return F.regexp_replace(url, r"[\t\r\n]", "")
 
 
 def is_valid_url(url: Column) -> Column:
     """True for http and https URLs with a non-empty, well-formed authority."""
-    authority = F.regexp_extract(
-        _parser_view(strip_whitespace(url)), r"(?i)^https?://([^/?#]*)", 1
+    pattern = (
+        rf"(?i)^{WHITESPACE}*+[\x00-\x20]*+https?://(?!{WHITESPACE}*+\z){_authority()}"
     )
-    return F.coalesce((authority != "") & _well_formed(authority), F.lit(False))
+    return F.coalesce(_without_breaks(url).rlike(pattern), F.lit(False))
 
 
 def registered_domain(url: Column) -> Column:
@@ -60,8 +62,6 @@ def registered_domain(url: Column) -> Column:
 
     User info and port stay, so ``github.com:443`` is not ``github.com``.
     """
-    authority = F.regexp_extract(
-        _parser_view(F.coalesce(url, F.lit(""))), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1
-    )
-    domain = F.regexp_replace(F.lower(authority), r"^www\.", "")
-    return F.when(_well_formed(authority), domain).otherwise(F.lit(""))
+    pattern = rf"(?i)^[\x00-\x20]*+(?:[a-z][a-z0-9+.\-]*+:)?//({_authority()})"
+    authority = F.regexp_extract(_without_breaks(F.coalesce(url, F.lit(""))), pattern, 1)
+    return F.regexp_replace(F.lower(authority), r"^www\.", "")

@@ -41,6 +41,15 @@ CASES = [
     "https://?q",
     "mailto:a@b.c",
     "http://WWW.Shouting.ORG",
+    "http:// ",
+    "http://\u3000",
+    " \u3000http://padded.org ",
+    "\x00http://control.org",
+    "http://\t",
+    "http://\n/x",
+    "http://a@b@c.org/",
+    "http://a＠b.org/",
+    "http://[]/",
 ]
 
 
