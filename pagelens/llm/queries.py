@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pagelens.llm import op1, op9
+from pagelens.llm import op1, op10, op9
 
 QUERIES = {
     "op1_exact_dedup": op1.query,
+    "op10_language_id": op10.query,
     "op9_packing": op9.query,
 }
 
