@@ -30,6 +30,8 @@ SAMPLE_CHARACTERS = 2000
 #: Letters that have a symbol of their own, the most frequent of the sample. The rest share one.
 ALPHABET = 250
 STRIP = 2048
+#: Texts that are read side by side.
+TOGETHER = 2000
 UNKNOWN = "und"
 FOLDS = 5
 
@@ -155,6 +157,24 @@ def learn(
     return found
 
 
+def answers(texts: list[str | None], samples: dict[str, str]) -> tuple[list[str], list[float]]:
+    """The language and the score of each text."""
+    langs = sorted(samples)
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if not langs:
+        return names, scores
+    own = reader(tuple(samples[x] for x in langs))
+    coded = [own.encode(t or "") for t in texts]
+    counts = own.phrases(coded)
+    order = np.argsort(counts, axis=1, kind="stable")
+    for i, symbols in enumerate(coded):
+        if symbols.any():
+            two = counts[i, order[i, :2]].tolist()
+            names[i] = langs[order[i, 0]]
+            scores[i] = two[1] / (two[0] + two[1]) if len(two) > 1 else 1.0
+    return names, scores
+
+
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     """``(doc_id, lang_pred, score)`` for each row of ``docs(doc_id, text)``.
 
@@ -166,26 +186,13 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     * Ties go to the language that sorts first. Repeated rows get equal answers.
     * A null doc_id is kept. Other columns are ignored, whatever their names.
     """
-    langs = sorted(samples)
-    texts_of = tuple(samples[x] for x in langs)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        own = reader(texts_of) if langs else None
         for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
-                names, scores = [UNKNOWN] * part.num_rows, [0.0] * part.num_rows
-                if own:
-                    coded = [own.encode(t or "") for t in part.column(1).to_pylist()]
-                    counts = own.phrases(coded)
-                    order = np.argsort(counts, axis=1, kind="stable")
-                    for i, symbols in enumerate(coded):
-                        if not symbols.any():
-                            continue
-                        names[i] = langs[order[i, 0]]
-                        two = counts[i, order[i, :2]].tolist()
-                        scores[i] = two[1] / (two[0] + two[1]) if len(two) > 1 else 1.0
+            for low in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(low, TOGETHER)
+                names, scores = answers(part.column(1).to_pylist(), samples)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column(0),
@@ -199,6 +206,20 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     )
 
 
+def keep_identified(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
+    """The rows of ``docs`` in a learned language, with all columns. Nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(low, TOGETHER)
+                names, _ = answers(part.column(at).to_pylist(), samples)
+                yield part.filter(pa.array([name != UNKNOWN for name in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), FOLDS) == 0

@@ -227,6 +227,26 @@ def classify(stats: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def keep_good(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, with all columns; no shuffle."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            rows = [statistics(t or "") for t in batch.column(at).to_pylist()]
+            scores = model.score(np.array(rows).reshape(-1, NUMBER))
+            yield batch.filter(pa.array(scores >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """A model fitted to the labelled documents outside the held-out fold."""
+    # Statistics are cheap beside a shuffle of all texts to find the labelled ones.
+    rows = docs.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
+    return fit(document_statistics(rows), labels)
+
+
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for each row of ``docs(doc_id, text)``.
 
