@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pagelens.llm import op1, op6, op8, op2, op5, op3, op7, op10, op9
+from pagelens.llm import op1, op4, op6, op8, op2, op5, op3, op7, op10, op9
 
 QUERIES = {
     "op1_exact_dedup": op1.query,
+    "op4_lm_scoring": op4.query,
     "op6_chat_format": op6.query,
     "op8_embedding_dedup": op8.query,
     "op2_byte_bpe": op2.query,
