@@ -32,8 +32,6 @@ _REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)"
 
 _META_FIELDS = ("name", "property", "content")
 
-BODY_LIMIT = 2000
-
 # How often each signal is repeated in the combined text.
 SIGNAL_WEIGHTS = {
     "title": 5,
@@ -79,8 +77,10 @@ def _decode_piece(piece: Column) -> Column:
 
 def _referenced(reference: Column) -> Column:
     """The character named, '' for a number that names none, null when unknown."""
+    # The names of HTML 4, and the one for the apostrophe that came later.
+    characters = {**name2codepoint, "apos": ord("'")}
     named = F.str_to_map(
-        F.lit("\u0002".join(f"{k}\u0001{chr(v)}" for k, v in name2codepoint.items())),
+        F.lit("\u0002".join(f"{k}\u0001{chr(v)}" for k, v in characters.items())),
         F.lit("\u0002"),
         F.lit("\u0001"),
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,16 +13,13 @@ from pagelens.functions.unicode_rules import (
     HANGUL_FIRST,
     HANGUL_LAST,
     OTHER_LATIN_SPACES,
-    REMOVED,
     WHITESPACE,
-    WIDE,
     WIDE_SPACES,
     folding,
 )
 
 # Patterns over whole texts use flat, positive character classes: Java tests a
 # listed class with one bit set, but a negated or nested one with a call chain.
-BEYOND_ASCII = r"[\x80-\x{10ffff}]"
 
 # What separates words once other separators have become spaces.
 ASCII_SEPARATORS = (
@@ -96,57 +93,36 @@ def clean(text: Column) -> Column:
 
 def strip_accents(text: Column) -> Column:
     """Compatibility-decompose and drop combining marks."""
-    return _fold_characters(text, lambda char: char)
+    return bind(text, lambda value: F.when(is_ascii(value), value).otherwise(_folded(value)))
 
 
-def _fold_characters(text: Column, finish: Callable[[Column], Column]) -> Column:
-    """Fold each distinct non-ASCII character once, then replace it in the text.
+def _folded(value: Column) -> Column:
+    """Fold a text that holds other characters than ASCII, in time linear in its length.
 
-    ASCII text, the common case, passes untouched. Results are stable under
-    folding, so the order of replacements does not matter.
+    Characters that become several are cut out, folded one by one and joined back. The
+    others become one character or none, in one hash-based call for the whole text.
     """
-
-    def replace_all(value: Column, chars: Column) -> Column:
-        return F.aggregate(
-            _changes(chars, finish),
-            value,
-            lambda so_far, change: F.replace(so_far, change["old"], change["new"]),
-        )
-
-    def fold(value: Column) -> Column:
-        chars = F.array_distinct(F.regexp_extract_all(value, F.lit(BEYOND_ASCII), F.lit(0)))
-        return F.when(is_ascii(value), value).otherwise(
-            bind(chars, lambda found: replace_all(value, found))
-        )
-
-    return bind(text, fold)
+    rules = folding()
+    expanding = F.lit(rules.expanding)
+    parts = F.transform(F.regexp_extract_all(value, expanding, F.lit(0)), _expanded)
+    joined = F.zip_with(
+        F.split(value, rules.expanding, -1),
+        F.concat(parts, F.array(F.lit(""))),
+        lambda plain, expanded: F.concat(plain, expanded),
+    )
+    whole = F.when(value.rlike(rules.expanding), F.array_join(joined, "")).otherwise(value)
+    return F.translate(whole, rules.source, rules.target)
 
 
-def _changes(chars: Column, finish: Callable[[Column], Column]) -> Column:
-    """``(old, new)`` of the characters that change.
+def _expanded(char: Column) -> Column:
+    """What a character becomes that becomes several.
 
-    All of them are translated in one hash-based call. Only those with a longer
-    result need a search in the map of such results.
+    They are spread over buckets by code point, since a map is searched end to end.
     """
     rules = folding()
-    wide = F.str_to_map(
-        F.lit("\u0002".join(f"{k}\u0001{v}" for k, v in rules.wide.items())),
-        F.lit("\u0002"),
-        F.lit("\u0001"),
-    )
-
-    def change(old: Column, single: Column) -> Column:
-        new = (
-            F.when(single == WIDE, F.try_element_at(wide, old))
-            .when(single == REMOVED, F.lit(""))
-            .when(old.between(HANGUL_FIRST, HANGUL_LAST), _hangul_parts(old))
-            .otherwise(single)
-        )
-        return F.struct(old.alias("old"), finish(new).alias("new"))
-
-    singles = F.split(F.translate(F.array_join(chars, ""), rules.source, rules.target), "")
-    pairs = F.zip_with(chars, singles, change)
-    return F.filter(pairs, lambda pair: pair["old"] != pair["new"])
+    buckets = F.from_json(F.lit(rules.wide), "array<map<string,string>>")
+    found = F.try_element_at(F.get(buckets, F.ascii(char) % rules.buckets), char)
+    return F.when(char.between(HANGUL_FIRST, HANGUL_LAST), _hangul_parts(char)).otherwise(found)
 
 
 def _hangul_parts(char: Column) -> Column:
@@ -176,14 +152,15 @@ def tokens(text: Column, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> Colu
     so the split itself needs only a fast ASCII pattern.
     """
 
-    def words_apart(folded: Column) -> Column:
-        return F.regexp_replace(folded, WIDE_SEPARATOR, " ")
+    def words_apart(value: Column) -> Column:
+        apart = F.regexp_replace(_folded(value), WIDE_SEPARATOR, " ")
+        return F.when(is_ascii(value), value).otherwise(apart)
 
     def keep(word: Column) -> Column:
         long_enough = F.char_length(word) > 1
         return long_enough & ~word.isin(list(stop_words)) if stop_words else long_enough
 
-    words = F.split(_fold_characters(F.lower(text), words_apart), ASCII_SEPARATORS)
+    words = F.split(bind(F.lower(text), words_apart), ASCII_SEPARATORS)
     return F.filter(words, keep)
 
 

@@ -5,6 +5,7 @@ They are computed once on the driver and reach the plan as literals.
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -19,22 +20,31 @@ WHITESPACE = rf"[\x20{OTHER_LATIN_SPACES}{WIDE_SPACES}]"
 HANGUL_FIRST, HANGUL_LAST = "가", "힣"
 
 
-# Stand-ins in ``Folding.target`` for results that are not one character.
-REMOVED, WIDE = "\x01", "\x02"
-
-
 class Folding(NamedTuple):
     """How compatibility decomposition without combining marks changes text."""
 
-    source: str  # every character that changes, Hangul apart
-    target: str  # its result, or REMOVED or WIDE, at the same position
-    wide: dict[str, str]  # characters that become two or more characters
+    source: str  # characters that become one character or none, the latter last
+    target: str  # what they become, in the same order
+    wide: str  # JSON of buckets of characters that become several, Hangul apart
+    buckets: int
+    expanding: str  # pattern of one character that becomes several
+
+
+def _ranges(chars: list[str]) -> str:
+    """The characters, ascending, as the inside of a pattern's class."""
+    out: list[list[int]] = []
+    for code in map(ord, chars):
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in out)
 
 
 @lru_cache(maxsize=1)
-def folding() -> Folding:
-    source: list[str] = []
-    target: list[str] = []
+def folding(buckets: int = 256) -> Folding:
+    single: dict[str, str] = {}
+    removed: list[str] = []
     wide: dict[str, str] = {}
     for code in range(0x80, sys.maxunicode + 1):
         if 0xD800 <= code <= 0xDFFF:
@@ -47,13 +57,22 @@ def folding() -> Folding:
         kept = "".join(
             part for part in unicodedata.normalize("NFKD", char) if not unicodedata.combining(part)
         )
-        if kept == char:
-            continue
-        source.append(char)
-        target.append(kept if len(kept) == 1 else WIDE if kept else REMOVED)
         if len(kept) > 1:
             wide[char] = kept
-    return Folding("".join(source), "".join(target), wide)
+        elif not kept:
+            removed.append(char)
+        elif kept != char:
+            single[char] = kept
+    spread: list[dict[str, str]] = [{} for _ in range(buckets)]
+    for char, kept in wide.items():
+        spread[ord(char) % buckets][char] = kept
+    return Folding(
+        "".join([*single, *removed]),
+        "".join(single.values()),
+        json.dumps(spread, ensure_ascii=False),
+        buckets,
+        f"[{_ranges(sorted(wide))}{HANGUL_FIRST}-{HANGUL_LAST}]",
+    )
 
 
 @lru_cache(maxsize=1)

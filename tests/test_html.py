@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelens.operators.signals import extract_signals
+from pagelens.schemas import SIGNAL_COLUMNS
 
 CASES = [
     ("<h1>foo<b>bar</b></h1>", {"h1": "foobar", "body_text": "foo bar"}),
@@ -88,8 +89,14 @@ def test_case(extracted, i):
 def test_body_limit_counts_characters_after_cleaning(spark):
     html = "<p>" + "é \n " * 3000 + "</p>"
     frame = spark.createDataFrame([(html,)], "html string")
-    got = extract_signals(frame).first().body_text
-    assert got == ("é " * 3000).strip()[:2000]
+    whole = ("é " * 3000).strip()
+    assert extract_signals(frame).first().body_text == whole
+    assert extract_signals(frame, body_limit=2000).first().body_text == whole[:2000]
+
+
+def test_apostrophe_by_name(spark):
+    frame = spark.createDataFrame([("<title>don&apos;t</title>",)], "html string")
+    assert extract_signals(frame).first().title == "don't"
 
 
 def test_large_hostile_pages_finish(spark):
@@ -107,4 +114,7 @@ def test_large_hostile_pages_finish(spark):
         "<aside/>" * 50_000,
     ]
     frame = spark.createDataFrame([(p,) for p in pages], "html string")
-    assert extract_signals(frame).agg(F.count("combined_text")).first()[0] == len(pages)
+    # Lengths of all signals, so that none of the work can be left out.
+    lengths = sum(F.length(c) for c in SIGNAL_COLUMNS)
+    got = extract_signals(frame).agg(F.count_if(lengths >= 0), F.sum(lengths)).first()
+    assert got[0] == len(pages) and got[1] > 1_000_000

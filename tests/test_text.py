@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -49,6 +50,22 @@ def test_strip_whitespace_is_linear_on_long_runs(spark):
     assert column(spark, [value], text.strip_whitespace) == [value]
 
 
+def test_folding_is_linear_in_distinct_characters(spark):
+    """Every Hangul syllable and every wide character, many times over."""
+    syllables = "".join(chr(0xAC00 + i % 11172) for i in range(100_000))
+    wide = "".join(c for c in map(chr, range(0x80, 0x30000)) if c.isprintable() and len(fold(c)) > 1)
+
+    def seconds(value):
+        started = time.perf_counter()
+        assert column(spark, [value], text.strip_accents) == [fold(value)]
+        return time.perf_counter() - started
+
+    seconds(syllables[:100])
+    once, thrice = seconds(syllables), seconds(syllables * 3)
+    assert once < 5 and thrice < 6 * once + 1
+    assert seconds(wide * 10) < 5
+
+
 def words(value: str) -> list[str]:
     stop = set(text.ENGLISH_STOP_WORDS)
     return [w for w in re.findall(r"(?u)\b\w\w+\b", fold(value.lower())) if w not in stop]
