@@ -99,11 +99,18 @@ def record_outcomes(results: DataFrame) -> DataFrame:
 
 
 def start_state(fresh: DataFrame, state: DataFrame | None = None) -> DataFrame:
-    """Add new URLs to the pending and seen lists, behind those already there."""
+    """Add new URLs to the pending and seen lists, behind those already there.
+
+    Positions of a new list start at zero again, so they are moved behind the last one of
+    the stored state.
+    """
     entries = fresh.select(
         F.explode(F.array(F.lit("pending"), F.lit("seen"))).alias("list"), "url", "seq"
     )
-    return entries if state is None else state.unionByName(entries)
+    if state is None:
+        return entries
+    behind = F.coalesce(state.agg(F.max("seq") + 1).scalar(), F.lit(0))
+    return state.unionByName(entries.withColumn("seq", F.col("seq") + behind))
 
 
 def advance_state(state: DataFrame, results: DataFrame) -> DataFrame:

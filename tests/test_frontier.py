@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,23 +25,35 @@ def stats(state):
     return Q.frontier_stats(state).first().asDict()
 
 
-def test_file_load_counts(spark, tmp_path):
-    path = tmp_path / "urls.txt"
-    path.write_text(
-        "https://github.com\nhttps://stackoverflow.com\r\n# comment line\n\n  # other\nnot-a-url\n"
-    )
+def test_lines_of_a_file_are_counted_by_kind(spark, tmp_path):
+    path = tmp_path / "list.txt"
+    path.write_text("http://one.test/a\n\n   # later: http://two.test\nHTTP://two.test/b/\r\n#\nwww.three\n")
     parsed = Q.parse_lines(tables.read_url_list(spark, str(path)))
     assert Q.load_counters(parsed).first().asDict() == {"added": 2, "invalid": 1, "duplicate": 0}
-    state = Q.start_state(Q.new_urls(parsed))
-    assert stats(state)["pending"] == 2
+    assert stats(Q.start_state(Q.new_urls(parsed)))["pending"] == 2
 
 
-def test_deduplication_after_normalising(spark):
-    parsed = Q.parse_lines(
-        lines(spark, ["https://github.com", "https://github.com", "https://github.com/"])
-    )
-    assert urls(Q.new_urls(parsed)) == ["https://github.com"]
-    assert Q.load_counters(parsed).first().asDict() == {"added": 1, "invalid": 0, "duplicate": 2}
+def test_spellings_of_a_url_are_one(spark):
+    spellings = ["http://one.test/a//", " http://one.test/a", "http://one.test/b", "http://one.test/a/"]
+    parsed = Q.parse_lines(lines(spark, spellings))
+    assert urls(Q.new_urls(parsed)) == ["http://one.test/a", "http://one.test/b"]
+    assert Q.load_counters(parsed).first().asDict() == {"added": 2, "invalid": 0, "duplicate": 2}
+
+
+def test_new_urls_stand_behind_stored_ones(spark):
+    def parsed(letter, n):
+        return Q.parse_lines(lines(spark, [f"http://{letter}.test/{i}" for i in range(n)]))
+
+    state = Q.start_state(Q.new_urls(parsed("old", 6)))
+    both = Q.start_state(Q.new_urls(parsed("new", 6)), state).filter("list = 'pending'")
+    assert urls(Q.pop_batch(both, 4)[0]) == [f"http://old.test/{i}" for i in range(4)]
+    sizes = Counter(r.batch for r in Q.assign_batches(both, 5).collect())
+    assert sizes == {1: 5, 2: 5, 3: 2}
+
+
+def test_equal_positions_do_not_share_a_rank(spark):
+    frame = spark.createDataFrame([(f"u{i}", i // 4) for i in range(20)], "url string, seq long")
+    assert Counter(r.batch for r in Q.assign_batches(frame, 6).collect()) == {1: 6, 2: 6, 3: 6, 4: 2}
 
 
 def test_order_is_first_occurrence(spark):
@@ -49,13 +62,11 @@ def test_order_is_first_occurrence(spark):
     assert urls(Q.new_urls(parsed)) == ["http://b.x", "http://a.x", "http://c.x"]
 
 
-def test_pop_batch(spark):
-    frontier = Q.distinct_urls(
-        Q.parse_lines(lines(spark, ["https://a.com", "https://b.com", "https://c.com"]))
-    )
-    batch, rest = Q.pop_batch(frontier, 2)
-    assert urls(batch) == ["https://a.com", "https://b.com"]
-    assert urls(rest) == ["https://c.com"]
+def test_a_popped_batch_leaves_the_rest(spark):
+    queue = spark.createDataFrame([(f"http://{c}.test", i * 9) for i, c in enumerate("zyxwv")], "url string, seq long")
+    batch, rest = Q.pop_batch(queue, 3)
+    assert urls(batch) == [f"http://{c}.test" for c in "zyx"]
+    assert urls(rest) == [f"http://{c}.test" for c in "wv"]
 
 
 def test_outcomes_and_resume(spark):
