@@ -3,79 +3,294 @@
 from __future__ import annotations
 
 # The eight default categories with their keywords and domains.
-_DEFAULTS = [
-    (
-        "Technology",
-        """software, programming, developer, API, cloud, artificial intelligence,
-        machine learning, data science, cybersecurity, open source, framework,
-        algorithm, database, infrastructure, DevOps, computing, network, hardware,
-        startup, SaaS, platform, code, engineering, tech""",
-        "github.com, stackoverflow.com, techcrunch.com, wired.com",
-    ),
-    (
-        "Finance",
-        """banking, investment, insurance, loan, premium, policy, stock, equity,
-        mutual fund, interest rate, credit, debit, portfolio, revenue, profit,
-        financial, trading, market, economy, tax, budget, asset, liability,
-        mortgage, wealth, retirement""",
-        "rbi.org.in, sebi.gov.in, moneycontrol.com, economictimes.com",
-    ),
-    (
-        "Healthcare",
-        """hospital, medicine, doctor, diagnosis, treatment, health, patient,
-        surgery, pharmacy, drug, clinical, therapy, wellness, nutrition, disease,
-        symptom, medical, healthcare, vaccine, research, mental health, fitness,
-        rehabilitation, specialist, prescription, laboratory""",
-        "aiims.edu, who.int, webmd.com, mayoclinic.org",
-    ),
-    (
-        "Education",
-        """university, college, school, course, learning, student, teacher,
-        curriculum, degree, diploma, examination, scholarship, research, academic,
-        lecture, tutorial, e-learning, online course, training, certification,
-        study, knowledge, classroom, campus, admission""",
-        "coursera.org, edx.org, khanacademy.org, udemy.com",
-    ),
-    (
-        "E-Commerce",
-        """shop, buy, sell, product, price, discount, cart, checkout, delivery,
-        shipping, order, review, rating, brand, retail, marketplace, offer, deal,
-        payment, refund, inventory, merchant, customer, subscription, catalogue,
-        store""",
-        "amazon.in, flipkart.com, myntra.com, snapdeal.com",
-    ),
-    (
-        "News & Media",
-        """news, breaking, headline, report, journalist, media, press, editorial,
-        article, interview, opinion, analysis, politics, government, election,
-        world, national, local, broadcast, journalism, magazine, newspaper,
-        current affairs, update""",
-        "bbc.com, ndtv.com, thehindu.com, hindustantimes.com",
-    ),
-    (
-        "Travel & Tourism",
-        """travel, tourism, hotel, flight, booking, destination, vacation, holiday,
-        tour, resort, visa, passport, itinerary, explore, adventure, backpacking,
-        cruise, beach, mountain, guide, airport, accommodation, hostel,
-        sightseeing, trip""",
-        "makemytrip.com, tripadvisor.com, booking.com, airbnb.com",
-    ),
-    (
-        "Government & Legal",
-        """government, ministry, department, policy, regulation, law, legal, act,
-        bill, parliament, legislation, court, judge, attorney, compliance, license,
-        permit, certificate, public service, civic, municipality, authority, rights,
-        constitution, judiciary""",
-        "india.gov.in, mca.gov.in, incometax.gov.in, nic.in",
-    ),
-]
-
-
-def _items(text: str) -> list[str]:
-    return [" ".join(item.split()) for item in text.split(",")]
-
-
 DEFAULT_CATEGORIES = [
-    {"name": name, "keywords": _items(keywords), "domains": _items(domains)}
-    for name, keywords, domains in _DEFAULTS
+    {
+        "name": "Technology",
+        "keywords": [
+            "software",
+            "programming",
+            "developer",
+            "API",
+            "cloud",
+            "artificial intelligence",
+            "machine learning",
+            "data science",
+            "cybersecurity",
+            "open source",
+            "framework",
+            "algorithm",
+            "database",
+            "infrastructure",
+            "DevOps",
+            "computing",
+            "network",
+            "hardware",
+            "startup",
+            "SaaS",
+            "platform",
+            "code",
+            "engineering",
+            "tech",
+        ],
+        "domains": [
+            "github.com",
+            "stackoverflow.com",
+            "techcrunch.com",
+            "wired.com",
+        ],
+    },
+    {
+        "name": "Finance",
+        "keywords": [
+            "banking",
+            "investment",
+            "insurance",
+            "loan",
+            "premium",
+            "policy",
+            "stock",
+            "equity",
+            "mutual fund",
+            "interest rate",
+            "credit",
+            "debit",
+            "portfolio",
+            "revenue",
+            "profit",
+            "financial",
+            "trading",
+            "market",
+            "economy",
+            "tax",
+            "budget",
+            "asset",
+            "liability",
+            "mortgage",
+            "wealth",
+            "retirement",
+        ],
+        "domains": [
+            "rbi.org.in",
+            "sebi.gov.in",
+            "moneycontrol.com",
+            "economictimes.com",
+        ],
+    },
+    {
+        "name": "Healthcare",
+        "keywords": [
+            "hospital",
+            "medicine",
+            "doctor",
+            "diagnosis",
+            "treatment",
+            "health",
+            "patient",
+            "surgery",
+            "pharmacy",
+            "drug",
+            "clinical",
+            "therapy",
+            "wellness",
+            "nutrition",
+            "disease",
+            "symptom",
+            "medical",
+            "healthcare",
+            "vaccine",
+            "research",
+            "mental health",
+            "fitness",
+            "rehabilitation",
+            "specialist",
+            "prescription",
+            "laboratory",
+        ],
+        "domains": [
+            "aiims.edu",
+            "who.int",
+            "webmd.com",
+            "mayoclinic.org",
+        ],
+    },
+    {
+        "name": "Education",
+        "keywords": [
+            "university",
+            "college",
+            "school",
+            "course",
+            "learning",
+            "student",
+            "teacher",
+            "curriculum",
+            "degree",
+            "diploma",
+            "examination",
+            "scholarship",
+            "research",
+            "academic",
+            "lecture",
+            "tutorial",
+            "e-learning",
+            "online course",
+            "training",
+            "certification",
+            "study",
+            "knowledge",
+            "classroom",
+            "campus",
+            "admission",
+        ],
+        "domains": [
+            "coursera.org",
+            "edx.org",
+            "khanacademy.org",
+            "udemy.com",
+        ],
+    },
+    {
+        "name": "E-Commerce",
+        "keywords": [
+            "shop",
+            "buy",
+            "sell",
+            "product",
+            "price",
+            "discount",
+            "cart",
+            "checkout",
+            "delivery",
+            "shipping",
+            "order",
+            "review",
+            "rating",
+            "brand",
+            "retail",
+            "marketplace",
+            "offer",
+            "deal",
+            "payment",
+            "refund",
+            "inventory",
+            "merchant",
+            "customer",
+            "subscription",
+            "catalogue",
+            "store",
+        ],
+        "domains": [
+            "amazon.in",
+            "flipkart.com",
+            "myntra.com",
+            "snapdeal.com",
+        ],
+    },
+    {
+        "name": "News & Media",
+        "keywords": [
+            "news",
+            "breaking",
+            "headline",
+            "report",
+            "journalist",
+            "media",
+            "press",
+            "editorial",
+            "article",
+            "interview",
+            "opinion",
+            "analysis",
+            "politics",
+            "government",
+            "election",
+            "world",
+            "national",
+            "local",
+            "broadcast",
+            "journalism",
+            "magazine",
+            "newspaper",
+            "current affairs",
+            "update",
+        ],
+        "domains": [
+            "bbc.com",
+            "ndtv.com",
+            "thehindu.com",
+            "hindustantimes.com",
+        ],
+    },
+    {
+        "name": "Travel & Tourism",
+        "keywords": [
+            "travel",
+            "tourism",
+            "hotel",
+            "flight",
+            "booking",
+            "destination",
+            "vacation",
+            "holiday",
+            "tour",
+            "resort",
+            "visa",
+            "passport",
+            "itinerary",
+            "explore",
+            "adventure",
+            "backpacking",
+            "cruise",
+            "beach",
+            "mountain",
+            "guide",
+            "airport",
+            "accommodation",
+            "hostel",
+            "sightseeing",
+            "trip",
+        ],
+        "domains": [
+            "makemytrip.com",
+            "tripadvisor.com",
+            "booking.com",
+            "airbnb.com",
+        ],
+    },
+    {
+        "name": "Government & Legal",
+        "keywords": [
+            "government",
+            "ministry",
+            "department",
+            "policy",
+            "regulation",
+            "law",
+            "legal",
+            "act",
+            "bill",
+            "parliament",
+            "legislation",
+            "court",
+            "judge",
+            "attorney",
+            "compliance",
+            "license",
+            "permit",
+            "certificate",
+            "public service",
+            "civic",
+            "municipality",
+            "authority",
+            "rights",
+            "constitution",
+            "judiciary",
+        ],
+        "domains": [
+            "india.gov.in",
+            "mca.gov.in",
+            "incometax.gov.in",
+            "nic.in",
+        ],
+    },
 ]

@@ -56,6 +56,7 @@ QUEUE = T.StructType(
     ]
 )
 
+# The signals of a page, in order.
 SIGNAL_COLUMNS = [
     "title",
     "description",
@@ -67,6 +68,7 @@ SIGNAL_COLUMNS = [
     "combined_text",
 ]
 
+# The fields of a page result, in order.
 RESULT_COLUMNS = [
     "url",
     "final_url",
