@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import duckdb  # noqa: E402
 
+from checks.local import with_scratch  # noqa: E402
 from checks.oracle import ORACLE  # noqa: E402
 from checks.queries import QUERIES  # noqa: E402
 from pagelens.session import build_session  # noqa: E402
@@ -18,6 +19,7 @@ from pagelens.session import build_session  # noqa: E402
 def main(sf: str, names: list[str]) -> int:
     spark = build_session("compare", "local[8]", 8, {"spark.ui.enabled": "false"})
     spark.sparkContext.setLogLevel("ERROR")
+    with_scratch(spark)
     duck = duckdb.connect()
     for path in Path(sf).glob("*.parquet"):
         duck.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")

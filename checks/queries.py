@@ -6,8 +6,6 @@ derived from every row of ``pages`` with plain column expressions.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +22,7 @@ from pagelens.session import scratch_path
 from pagelens.sources import sinks, tables
 from pagelens.sources.categories import categories_frame, read_categories, write_categories
 from pagelens.streaming import pages as streams
+from pagelens.streaming import runs as stream_runs
 
 # The tables hold invented text in four languages, so languages are the categories.
 LANGUAGES = [
@@ -58,13 +57,8 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_pages(spark, f"{sf}/pages.parquet")
 
 
-def spread_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.spread(pages(spark, sf), "page_id")
-
-
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    frame = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
-    return tables.spread(frame, "doc_id")
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
 
 
 def url_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +83,7 @@ def url_lines(spark: SparkSession, sf: str) -> DataFrame:
 def fetched(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as fetches, with failures decided by what the URL looks like."""
     url = F.col("url")
-    return spread_pages(spark, sf).select(
+    return pages(spark, sf).select(
         "url",
         F.when(url.contains("page=2"), F.concat(url, F.lit("&to=1"))).alias("final_url"),
         F.when(url.endswith("#top"), 404)
@@ -123,7 +117,7 @@ def rich_pages(spark: SparkSession, sf: str) -> DataFrame:
         url,
         F.lit("</p></article>"),
     )
-    return spread_pages(spark, sf).select(
+    return pages(spark, sf).select(
         "page_id", "url", F.replace(F.col("html"), F.lit("</article>"), extra).alias("html")
     )
 
@@ -163,7 +157,7 @@ def meta_pages(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.lit('<meta name="viewport" content="description">'))
     )
     anchor = '<meta charset="utf-8">'
-    return spread_pages(spark, sf).select(
+    return pages(spark, sf).select(
         "page_id",
         "url",
         F.replace(F.col("html"), F.lit(anchor), F.concat(F.lit(anchor), extra)).alias("html"),
@@ -201,16 +195,17 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select(index.alias("cat_idx"), "text")
 
 
-@lru_cache(maxsize=4)
-def _language_models(application: str, inline: bool) -> fitting.CategoryModel:
-    spark = SparkSession.getActiveSession()
-    entries = fitting.INLINE_ENTRIES if inline else 0
-    return fitting.fit(categories_frame(spark, LANGUAGES), inline_entries=entries)
+_MODELS: dict[tuple, fitting.CategoryModel] = {}
 
 
 def language_model(spark: SparkSession, inline: bool = True) -> fitting.CategoryModel:
-    """Fitted once per application, as a service fits its model at start-up."""
-    return _language_models(spark.sparkContext.applicationId, inline)
+    """Fitted once per session, as a service fits its model at start-up."""
+    key = (spark.sparkContext.applicationId, id(spark), inline)
+    if key not in _MODELS:
+        entries = fitting.INLINE_ENTRIES if inline else 0
+        categories = categories_frame(spark, LANGUAGES)
+        _MODELS[key] = fitting.fit(categories, inline_entries=entries)
+    return _MODELS[key]
 
 
 # Frontier
@@ -245,6 +240,15 @@ def frontier_batches(spark, sf):
     return frontier.assign_batches(pages(spark, sf).select("url", F.col("page_id").alias("seq")))
 
 
+def frontier_resume_batches(spark, sf):
+    """URLs queued by an earlier run come before new ones, in batches of seven."""
+    old = frontier.start_state(seen_urls(spark, sf))
+    parsed = frontier.parse_lines(url_lines(spark, sf))
+    state = frontier.start_state(frontier.new_urls(parsed, old.filter("list = 'seen'")), old)
+    queue = state.filter("list = 'pending'").select("url", "seq")
+    return frontier.assign_batches(queue, 7).select("url", "batch")
+
+
 def frontier_pop(spark, sf):
     queue = pages(spark, sf).select("url", F.col("page_id").alias("seq"))
     batch, rest = frontier.pop_batch(queue)
@@ -275,6 +279,24 @@ def queue_round_trip(spark, sf):
     return tables.read_queue(spark, path)
 
 
+def queue_document(spark, sf):
+    """Queue documents of the old format, one file for each sixteenth of the pages."""
+    url = F.col("url")
+    part = F.col("page_id") % 16
+    lists = {"pending": url.contains("//m."), "seen": F.lit(True), "failed": url.endswith("#top")}
+    ordered = {
+        name: F.transform(
+            F.array_sort(F.collect_list(F.when(chosen, F.struct("page_id", "url")))), lambda x: x["url"]
+        )
+        for name, chosen in lists.items()
+    }
+    documents = pages(spark, sf).groupBy(part).agg(*[c.alias(n) for n, c in ordered.items()])
+    path = scratch_path(spark, "queue-documents")
+    lines = documents.select(F.to_json(F.struct(*lists)).alias("value"))
+    lines.write.option("maxRecordsPerFile", 1).text(path)
+    return tables.read_queue_document(spark, path)
+
+
 # Fetches and signals
 
 
@@ -285,7 +307,11 @@ def fetch_outcomes(spark, sf):
 
 
 def page_signals(spark, sf):
-    return extract_signals(spread_pages(spark, sf)).drop("url")
+    return extract_signals(pages(spark, sf)).drop("url")
+
+
+def page_signals_limited(spark, sf):
+    return extract_signals(pages(spark, sf), body_limit=2000).drop("url")
 
 
 def rich_signals(spark, sf):
@@ -332,6 +358,11 @@ def vocab_idf(spark, sf):
     return idf.withColumn("idf", F.round("idf", 8))
 
 
+def vocab_idf_limited(spark, sf):
+    idf, _ = fitting.fit_tables(corpus(spark, sf), max_features=8000)
+    return idf.withColumn("idf", F.round("idf", 8))
+
+
 def corpus_profiles(spark, sf):
     _, profiles = fitting.fit_tables(corpus(spark, sf))
     return profiles.select("cat_idx", "term", F.round("weight", 8).alias("weight"))
@@ -377,8 +408,18 @@ def classify_documents(spark, sf):
     )
 
 
+def model_round_trip(spark, sf):
+    """Documents classified by a model that was saved and read back."""
+    path = scratch_path(spark, "model")
+    fitting.write_model(language_model(spark), path)
+    texts = documents(spark, sf).select("doc_id", "text", F.lit("").alias("url"))
+    return classify(texts, fitting.read_model(spark, path), text_col="text").select(
+        "doc_id", "category", "confidence"
+    )
+
+
 def _categorised(spark, sf) -> DataFrame:
-    return categorise_pages(spread_pages(spark, sf), language_model(spark))
+    return categorise_pages(pages(spark, sf), language_model(spark))
 
 
 def classify_pages(spark, sf):
@@ -386,8 +427,8 @@ def classify_pages(spark, sf):
 
 
 def classify_pages_tables(spark, sf):
-    signals = extract_signals(spread_pages(spark, sf))
-    return classify(signals, language_model(spark, inline=False), key="page_id").select(
+    signals = extract_signals(pages(spark, sf))
+    return classify(signals, language_model(spark, inline=False)).select(
         "page_id", "url", "category", "confidence"
     )
 
@@ -398,6 +439,12 @@ def classify_fetches(spark, sf):
     )
 
 
+def classify_fetches_tables(spark, sf):
+    return categorise_fetches(fetched(spark, sf), language_model(spark, inline=False)).select(
+        "url", "status", "category", "confidence"
+    )
+
+
 # Summaries
 
 
@@ -444,6 +491,19 @@ def evaluation_report(spark, sf):
     return evaluate.report_rows(_matrix(spark, sf))
 
 
+def evaluate_files(spark, sf):
+    """Predictions from a written report and labels from a file, both with line breaks."""
+    path = scratch_path(spark, "evaluate")
+    broken = F.concat("error", F.lit('\n"line" two, with a comma'))
+    results = categorise_fetches(fetched(spark, sf), language_model(spark))
+    sinks.write_report(results.withColumn("error", broken), f"{path}/report")
+    note = F.lit('first\n"second", third')
+    labelled = truth(spark, sf).select(note.alias("note"), "url", "category")
+    labelled.write.options(**sinks.CSV_OPTIONS).csv(f"{path}/labels")
+    predictions = sinks.read_report(spark, f"{path}/report").select("url", "category")
+    return evaluate.confusion(predictions, tables.read_labels(spark, f"{path}/labels"))
+
+
 # Sources and sinks
 
 
@@ -473,7 +533,7 @@ def label_scan(spark, sf):
 
 def json_export(spark, sf):
     path = scratch_path(spark, "export")
-    results = _results(spark, sf).drop("body_text", "combined_text")
+    results = _results(spark, sf)
     sinks.write_json_export(results, path)
     schema = results.withColumn("crawled_at", F.lit("")).schema
     rows, _ = sinks.read_json_export(spark, path, schema)
@@ -508,54 +568,110 @@ def config_scan(spark, sf):
     )
 
 
-def full_run(spark, sf):
+def _full_run(spark, sf, model) -> DataFrame:
     """URL list and fetches through every stage, read back from the report."""
-    lines, fetches = url_lines(spark, sf), fetched(spark, sf)
-    normal = fetches.withColumn("url", F.regexp_replace("url", "/+$", ""))
     path = scratch_path(spark, "run")
-    run(lines, normal, language_model(spark), path)
-    return sinks.read_report(spark, f"{path}/report").select(
-        "url", "final_url", "category", "status", "http_code", "error"
-    )
+    run(url_lines(spark, sf), fetched(spark, sf), model, path)
+    return sinks.read_report(spark, f"{path}/report")
+
+
+def full_run(spark, sf):
+    return _full_run(spark, sf, language_model(spark))
+
+
+def full_run_tables(spark, sf):
+    return _full_run(spark, sf, language_model(spark, inline=False))
 
 
-# Streams. A trailing glob lets the source be one file or a folder of files.
+# Streams, over several files and batches
+
+
+def _files(frame: DataFrame, label: str) -> str:
+    """The rows in six files, so that a stream of two files a batch has three batches."""
+    path = scratch_path(frame.sparkSession, label)
+    frame.repartition(6, "url").write.parquet(path)
+    return path
 
 
 def _page_stream(spark, sf) -> DataFrame:
-    return streams.read_page_stream(spark, f"{sf}/pages.parquet*")
+    path = _files(pages(spark, sf), "page-files")
+    return streams.read_page_stream(spark, path, files_per_trigger=2)
 
 
-def stream_classify(spark, sf):
+def _stream_classify(spark, sf, model) -> DataFrame:
     path = scratch_path(spark, "stream")
-    results = streams.categorise_stream(_page_stream(spark, sf), language_model(spark))
-    streams.drain(streams.append_stream(results, f"{path}/out", f"{path}/checkpoint"))
-    return spark.read.schema(results.schema).parquet(f"{path}/out").select(
-        "page_id", "url", "category", "confidence"
+    stream = _page_stream(spark, sf)
+    streams.drain(
+        stream_runs.categorise_stream(stream, model, f"{path}/out", f"{path}/checkpoint")
     )
+    return spark.read.parquet(f"{path}/out").select("page_id", "url", "category", "confidence")
+
+
+def stream_classify(spark, sf):
+    return _stream_classify(spark, sf, language_model(spark))
+
+
+def stream_classify_tables(spark, sf):
+    return _stream_classify(spark, sf, language_model(spark, inline=False))
 
 
 def stream_dedup(spark, sf):
-    """Each page's URL twice, once with a slash; one of them must come out."""
+    """Each page's URL twice, once with a slash; one comes out, unless seen before."""
     path = scratch_path(spark, "stream")
     twice = F.explode(F.array(F.col("url"), F.concat("url", F.lit("/"))))
     urls = _page_stream(spark, sf).select(twice.alias("url"), "page_id")
-    unique = streams.distinct_url_stream(urls, "page_id")
+    unique = streams.distinct_url_stream(urls, "page_id", seen=seen_urls(spark, sf))
     streams.drain(streams.append_stream(unique, f"{path}/out", f"{path}/checkpoint"))
     return spark.read.schema("url string").parquet(f"{path}/out")
 
 
+def _fetch_stream(spark, path) -> DataFrame:
+    return streams.read_page_stream(spark, path, schemas.FETCH, files_per_trigger=2)
+
+
+def stream_run(spark, sf):
+    """Report rows of a run over a stream of fetches."""
+    path = scratch_path(spark, "stream")
+    stream = _fetch_stream(spark, _files(fetched(spark, sf), "fetch-files"))
+    model = language_model(spark)
+    streams.drain(stream_runs.run_stream(stream, model, f"{path}/out", f"{path}/checkpoint"))
+    return stream_runs.stream_report(spark, f"{path}/out")
+
+
 def stream_counts(spark, sf):
+    """Running counters of the results as a stream makes them."""
     path = scratch_path(spark, "stream")
-    failed = F.col("url").endswith("#top")
-    marked = _page_stream(spark, sf).select(
-        F.when(failed, F.lit("ERROR")).otherwise(F.lit("SUCCESS")).alias("status")
-    )
-    counts = streams.status_counts(marked)
+    stream = _fetch_stream(spark, _files(fetched(spark, sf), "fetch-files"))
+    counts = streams.status_counts(normalise_outcomes(stream))
     streams.drain(streams.count_stream(counts, f"{path}/out", f"{path}/checkpoint"))
     return streams.latest_counts(spark, f"{path}/out")
 
 
+def stream_resume(spark, sf):
+    """Stopped after some of the files and started again with the rest added.
+
+    Pages on ``www.`` hosts were seen by a run before. The first files come a second time,
+    under other names, and must not be done again.
+    """
+    path, source = scratch_path(spark, "stream"), scratch_path(spark, "fetch-files")
+    state = tables.store(frontier.start_state(seen_urls(spark, sf)), "state")
+    all_fetches = fetched(spark, sf)
+    some = all_fetches.filter(F.length("url") % 2 == 0).repartition(4, "url")
+    for arriving in (some, all_fetches.repartition(4, "url")):
+        arriving.write.mode("append").parquet(source)
+        streams.drain(
+            stream_runs.run_stream(
+                _fetch_stream(spark, source), language_model(spark), f"{path}/out",
+                f"{path}/checkpoint", state,
+            )
+        )
+    counted = stream_runs.stream_counters(spark, f"{path}/out")
+    outcomes = stream_runs.stream_outcomes(spark, f"{path}/out")
+    return counted.select(F.col("status").alias("name"), "n").union(
+        outcomes.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -565,12 +681,15 @@ QUERIES = {
         url_domain,
         frontier_resume,
         frontier_batches,
+        frontier_resume_batches,
         frontier_pop,
         frontier_outcomes,
         frontier_stats,
         queue_round_trip,
+        queue_document,
         fetch_outcomes,
         page_signals,
+        page_signals_limited,
         rich_signals,
         page_meta,
         clean_text,
@@ -578,6 +697,7 @@ QUERIES = {
         token_lists,
         ngram_lists,
         vocab_idf,
+        vocab_idf_limited,
         corpus_profiles,
         page_term_weights,
         similarity,
@@ -587,6 +707,8 @@ QUERIES = {
         classify_pages,
         classify_pages_tables,
         classify_fetches,
+        classify_fetches_tables,
+        model_round_trip,
         category_distribution,
         run_distribution,
         run_summary,
@@ -595,6 +717,7 @@ QUERIES = {
         per_class,
         overall,
         evaluation_report,
+        evaluate_files,
         result_projection,
         csv_round_trip,
         label_scan,
@@ -602,7 +725,11 @@ QUERIES = {
         json_manifest,
         config_scan,
         full_run,
+        full_run_tables,
         stream_classify,
+        stream_classify_tables,
+        stream_run,
+        stream_resume,
         stream_dedup,
         stream_counts,
     )

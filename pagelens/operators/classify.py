@@ -1,13 +1,14 @@
 """Score pages against category profiles and pick the best category.
 
 Two forms give the same answers. The row-local form evaluates a small model
-inside each row: no shuffle, no state, and it runs unchanged on a stream. The
-table form joins a model of any size and needs a unique key per page.
+inside each row: no shuffle, no state. The table form joins a model of any size; it
+stores the pages with a number of its own for each row, so that it reads them twice at
+no cost, and rows need no key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions.binding import bind
@@ -22,8 +23,8 @@ from pagelens.operators.model import (
     explode_terms,
     inline_bucket,
     sublinear,
-    unit_vectors,
 )
+from pagelens.sources.tables import store
 
 
 # Row-local form
@@ -185,17 +186,10 @@ def classify(
     model: CategoryModel,
     text_col: str = "combined_text",
     url_col: str = "url",
-    key: str | None = None,
 ) -> DataFrame:
-    """Add ``category`` and ``confidence`` to every page.
-
-    ``key``, a unique column, is needed only when the model is too large to
-    travel in the plan.
-    """
+    """Add ``category`` and ``confidence`` to every page, whatever the model's size."""
     if model.inline is None:
-        if key is None:
-            raise ValueError("a model of this size needs a unique key column")
-        return _classify_tables(pages, model, text_col, url_col, key)
+        return _classify_tables(pages, model, text_col, url_col)
 
     boosted = with_boost_index(pages, model, url_col).withColumn(
         "_scores",
@@ -224,8 +218,9 @@ def with_boost_index(pages: DataFrame, model: CategoryModel, url_col: str) -> Da
 
     The requested URL decides, not the one a redirect ended at.
     """
-    keyed = pages.withColumn("domain", registered_domain(F.col(url_col)))
-    joined = lookup.lookup_join(keyed, model.domains, "domain", model.domain_rows, url_col, "left")
+    keyed = pages.withColumn("_domain", registered_domain(F.col(url_col)))
+    domains = model.domains.withColumnRenamed("domain", "_domain")
+    joined = lookup.lookup_join(keyed, domains, "_domain", model.domain_rows, url_col, "left")
     return joined.select(*pages.columns, "boost_idx")
 
 
@@ -242,7 +237,7 @@ def _table_weights(texts: DataFrame, model: CategoryModel, key: str) -> DataFram
     terms = explode_terms(texts, key, ngrams(tokens(F.col("text"), model.stop_words)))
     if model.vocabulary_size <= lookup.BROADCAST_ROWS:
         counts = (
-            terms.join(F.broadcast(model.vocab), "term")
+            terms.join(model.vocab, "term")
             .groupBy(key, "term", "idf")
             .agg(F.count(F.lit(1)).alias("tf"))
         )
@@ -252,7 +247,9 @@ def _table_weights(texts: DataFrame, model: CategoryModel, key: str) -> DataFram
     weighted = counts.select(
         key, "term", (sublinear(F.col("tf")) * F.col("idf")).alias("weight")
     )
-    return unit_vectors(weighted, key)
+    # A row's terms are of its own text, so a row bounds the window.
+    length = F.sqrt(F.sum(F.col("weight") ** 2).over(Window.partitionBy(key)))
+    return weighted.withColumn("weight", F.col("weight") / length)
 
 
 def table_similarities(weights: DataFrame, model: CategoryModel, key: str) -> DataFrame:
@@ -265,8 +262,10 @@ def table_similarities(weights: DataFrame, model: CategoryModel, key: str) -> Da
 
 
 def _classify_tables(
-    pages: DataFrame, model: CategoryModel, text_col: str, url_col: str, key: str
+    pages: DataFrame, model: CategoryModel, text_col: str, url_col: str
 ) -> DataFrame:
+    key = "_row"
+    pages = store(pages.withColumn(key, F.monotonically_increasing_id()), "pages")
     # Blank pages need no filter here: they have no terms, and a boost of theirs
     # is overruled at the end. Only the first of these two reads the text.
     parts = table_similarities(
@@ -304,9 +303,11 @@ def _classify_tables(
         model.category_rows,
         key,
     )
-    joined = pages.join(named.select(key, "_name", "score"), key, "left")
-    score = F.coalesce("score", F.lit(0.0))
+    named = named.select(key, "_name", F.col("score").alias("_score"))
+    joined = pages.join(named, key, "left")
+    score = F.coalesce("_score", F.lit(0.0))
     blank = _is_blank(F.col(text_col))
+    kept = [c for c in pages.columns if c != key]
     return joined.withColumns(_decide(score, F.col("_name"), blank)).select(
-        *pages.columns, "category", "confidence"
+        *kept, "category", "confidence"
     )

@@ -14,12 +14,12 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``table`` of at most ``table_rows`` rows to ``large`` on ``on``.
 
-    A table of known, small size is broadcast. A larger one is copied to
-    ``SALTS`` salt values and the large side is salted by ``spread_by``, so a key
+    A table of few rows is left to Spark, which broadcasts it if its bytes allow and
+    splits hot keys if not. A larger one is copied to ``SALTS`` salt values and the large side is salted by ``spread_by``, so a key
     holding a third of all rows is spread over that many tasks.
     """
     if table_rows <= BROADCAST_ROWS:
-        return large.join(F.broadcast(table), on, how)
+        return large.join(table, on, how)
     salt = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return large.withColumn("_salt", salt).join(copies, [on, "_salt"], how).drop("_salt")

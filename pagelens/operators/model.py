@@ -12,13 +12,13 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import ENGLISH_STOP_WORDS, ngrams, tokens
+from pagelens.sources.tables import store
 
 # Fixed values.
-MAX_FEATURES = 8000
 DOMAIN_BOOST = 0.25
 CONFIDENCE_THRESHOLD = 0.05
 UNCATEGORIZED = "Uncategorized"
@@ -26,7 +26,6 @@ UNCATEGORIZED = "Uncategorized"
 # Above these sizes the model is joined as tables and not put into the plan.
 INLINE_ENTRIES = 200_000
 INLINE_CATEGORIES = 256
-INLINE_DOMAINS = 100_000
 # Inline vectors are spread over buckets by hash: a map is searched end to end.
 INLINE_BUCKETS = 1024
 
@@ -59,17 +58,18 @@ def explode_terms(texts: DataFrame, key: str, terms: Column) -> DataFrame:
     return texts.select(key, F.explode(terms).alias("term"))
 
 
-def vocabulary(counts: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    """The most frequent terms of the corpus: ``(term, corpus_count, df)``.
+def vocabulary(counts: DataFrame, max_features: int | None = None) -> DataFrame:
+    """The terms of the corpus: ``(term, corpus_count, df)``.
 
-    The bounded sort keeps ``max_features`` rows per task.
+    ``max_features`` keeps the most frequent, first by count and then by term; its bounded
+    sort holds that many rows per task.
     """
-    return (
-        counts.groupBy("term")
-        .agg(F.sum("tf").alias("corpus_count"), F.count(F.lit(1)).alias("df"))
-        .orderBy(F.desc("corpus_count"), "term")
-        .limit(max_features)
+    terms = counts.groupBy("term").agg(
+        F.sum("tf").alias("corpus_count"), F.count(F.lit(1)).alias("df")
     )
+    if max_features is None:
+        return terms
+    return terms.orderBy(F.desc("corpus_count"), "term").limit(max_features)
 
 
 def with_idf(vocab: DataFrame, documents: Column) -> DataFrame:
@@ -81,35 +81,38 @@ def sublinear(tf: Column) -> Column:
     return F.log(tf) + 1
 
 
-def unit_vectors(weighted: DataFrame, key: str) -> DataFrame:
-    """Scale each key's weights to length one. A zero vector has no rows.
+def category_profiles(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """Unit vector per category as ``(cat_idx, term, weight)``, with each term's ``idf``.
 
-    A key has at most one row per vocabulary term, which bounds the window.
+    A category's length is a sum that combines before the shuffle; its terms, of any
+    number, are never gathered. A zero vector has no rows.
     """
-    length = F.sqrt(F.sum(F.col("weight") ** 2).over(Window.partitionBy(key)))
-    return weighted.withColumn("weight", F.col("weight") / length)
-
-
-def category_profiles(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """Unit vector per category as ``(cat_idx, term, weight)``, with each term's ``idf``."""
     weighted = counts.join(idf.select("term", "idf"), "term").select(
         "cat_idx", "term", "idf", (sublinear(F.col("tf")) * F.col("idf")).alias("weight")
     )
-    return unit_vectors(weighted, "cat_idx")
+    lengths = weighted.groupBy("cat_idx").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length"))
+    return weighted.join(lengths, "cat_idx").select(
+        "cat_idx", "term", "idf", (F.col("weight") / F.col("length")).alias("weight")
+    )
 
 
 def fit_tables(
     corpus: DataFrame,
-    max_features: int = MAX_FEATURES,
+    max_features: int | None = None,
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
     """``(term, corpus_count, df, idf)`` and ``(cat_idx, term, weight)`` of a corpus.
 
-    Both come from one table of counts, whose shuffle Spark runs once and reuses.
+    The corpus is read once, to count its terms; both tables come from the stored counts.
+    An empty term marks each text, so that categories without a term are counted too.
     """
-    counts = term_counts(corpus, "cat_idx", stop_words=stop_words)
-    documents = corpus.agg(F.countDistinct("cat_idx")).scalar()
-    idf = with_idf(vocabulary(counts, max_features), documents)
+    marked = F.concat(ngrams(tokens(F.col("text"), stop_words)), F.array(F.lit("")))
+    terms = explode_terms(corpus, "cat_idx", F.coalesce(marked, F.array(F.lit(""))))
+    counted = terms.groupBy("cat_idx", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = store(counted, "term-counts")
+    documents = counted.where("term = '' AND cat_idx IS NOT NULL").agg(F.count(F.lit(1))).scalar()
+    counts = counted.where("term <> ''")
+    idf = store(with_idf(vocabulary(counts, max_features), documents), "idf")
     return idf, category_profiles(counts, idf)
 
 
@@ -126,8 +129,9 @@ def domain_index(categories: DataFrame) -> DataFrame:
 class CategoryModel:
     """A fitted model. Categories are numbered from 0 without gaps.
 
-    The tables are always there. ``inline`` holds the same vectors as one JSON
-    text when they are small enough to travel inside the plan.
+    The tables are always there, as stored files. ``inline`` holds the same vectors as
+    one JSON text when they are small enough to travel inside the plan. Which form is used
+    changes the plan and nothing else.
     """
 
     names: DataFrame  # cat_idx, name
@@ -143,20 +147,38 @@ class CategoryModel:
     inline: str | None = None
 
 
+MODEL_TABLES = {
+    "names": "cat_idx int, name string",
+    "vocab": "term string, idf double",
+    "profiles": "cat_idx int, term string, weight double",
+    "domains": "domain string, boost_idx int",
+}
+MODEL_VALUES = (
+    "stop_words",
+    "category_rows",
+    "vocabulary_size",
+    "domain_rows",
+    "inline_names",
+    "inline_terms",
+    "inline",
+)
+
+
 def fit(
     categories: DataFrame,
     corpus: DataFrame | None = None,
-    max_features: int = MAX_FEATURES,
+    max_features: int | None = None,
     stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
     inline_entries: int = INLINE_ENTRIES,
 ) -> CategoryModel:
     """Fit profiles on the categories' keywords, or on a given corpus.
 
-    Sizes are counted before any vector comes to the driver. The vocabulary has
-    at most ``max_features`` terms, each with one weight per category.
+    Sizes are counted before any vector comes to the driver. The tables are written
+    once; no later use fits anything again.
     """
     corpus = category_corpus(categories) if corpus is None else corpus
     idf, profiles = fit_tables(corpus, max_features, stop_words)
+    profiles = store(profiles, "profiles")
 
     sizes = categories.agg(
         F.count(F.lit(1)).alias("rows"),
@@ -168,16 +190,11 @@ def fit(
     if not sizes["rows"] == sizes["indices"] == (sizes["last"] or 0) + 1 or sizes["negative"]:
         raise ValueError("categories must be numbered from 0 without gaps or repeats")
 
-    domains = domain_index(categories)
-    if sizes["domains"] <= INLINE_DOMAINS:
-        domains = categories.sparkSession.createDataFrame(
-            domains.collect(), "domain string, boost_idx int"
-        )
     tables = {
-        "names": categories.select("cat_idx", "name"),
+        "names": store(categories.select("cat_idx", "name"), "names"),
         "vocab": idf.select("term", "idf"),
         "profiles": profiles.select("cat_idx", "term", "weight"),
-        "domains": domains,
+        "domains": store(domain_index(categories), "domains"),
         "stop_words": tuple(stop_words),
         "category_rows": sizes["rows"],
         "domain_rows": sizes["domains"],
@@ -207,6 +224,27 @@ def fit(
     )
 
 
+def write_model(model: CategoryModel, path: str) -> None:
+    """Save a fitted model as tables and one line of JSON below ``path``."""
+    for name in MODEL_TABLES:
+        getattr(model, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    values = {name: getattr(model, name) for name in MODEL_VALUES}
+    line = model.names.sparkSession.createDataFrame([(json.dumps(values),)], "value string")
+    line.write.mode("overwrite").text(f"{path}/values")
+
+
+def read_model(spark: SparkSession, path: str) -> CategoryModel:
+    """A model that ``write_model`` saved."""
+    values = json.loads(spark.read.text(f"{path}/values").first()["value"])
+    for name in ("stop_words", "inline_names", "inline_terms"):
+        values[name] = None if values[name] is None else tuple(values[name])
+    tables = {
+        name: spark.read.schema(schema).parquet(f"{path}/{name}")
+        for name, schema in MODEL_TABLES.items()
+    }
+    return CategoryModel(**tables, **values)
+
+
 def inline_bucket(term: Column) -> Column:
     return F.pmod(F.hash(term), F.lit(INLINE_BUCKETS))
 

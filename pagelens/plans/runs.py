@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.functions.urls import normalise_url
 from pagelens.operators import frontier
 from pagelens.operators.classify import classify
 from pagelens.operators.fetches import page_results
-from pagelens.operators.lookup import BROADCAST_ROWS
 from pagelens.operators.model import CategoryModel
 from pagelens.operators.signals import extract_signals
 from pagelens.schemas import RESULT_COLUMNS
 from pagelens.sources import sinks, tables
 
 
+#: A queue whose URLs are that many bytes together is sent to all executors.
+BROADCAST_BYTES = 64 << 20
+
+
 def categorise_fetches(fetches: DataFrame, model: CategoryModel) -> DataFrame:
     """The 16 result columns of every fetch. Row by row with a small model."""
-    return classify(page_results(fetches), model, key="url").select(*RESULT_COLUMNS)
+    return classify(page_results(fetches), model).select(*RESULT_COLUMNS)
 
 
-def categorise_pages(pages: DataFrame, model: CategoryModel, key: str = "page_id") -> DataFrame:
+def categorise_pages(pages: DataFrame, model: CategoryModel) -> DataFrame:
     """Signals and category of pages that are known to be good HTML."""
-    return classify(extract_signals(pages), model, key=key)
+    return classify(extract_signals(pages), model)
 
 
 def queue_lines(
@@ -40,17 +44,18 @@ def queue_lines(
 
 
 def results_for(
-    fetches: DataFrame, pending: DataFrame, model: CategoryModel, pending_rows: int
+    fetches: DataFrame, pending: DataFrame, model: CategoryModel, pending_bytes: int
 ) -> DataFrame:
-    """Results of the fetches whose URL is pending.
+    """Results of the fetches whose URL, normalised, is pending.
 
     A queue of counted, broadcast size picks its fetches in the scan. A larger
     one is joined to the results, so that the shuffle carries short texts and not
     HTML. That is an inner join on purpose: the optimizer moves a semi join below
     the extraction, and the pending URLs are distinct anyway.
     """
+    fetches = fetches.withColumn("url", normalise_url(F.col("url")))
     urls = pending.select("url").distinct()
-    if pending_rows <= BROADCAST_ROWS:
+    if pending_bytes <= BROADCAST_BYTES:
         wanted = fetches.join(F.broadcast(urls), "url", "left_semi")
         return categorise_fetches(wanted, model)
     return categorise_fetches(fetches, model).join(urls, "url")
@@ -77,11 +82,11 @@ def run(
     counters.write.mode("overwrite").json(f"{path}/counters")
     begun = tables.read_queue(spark, f"{path}/queue_before")
     pending = begun.filter("list = 'pending'")
-    pending_rows = pending.count()
-    if pending_rows == 0:
+    size = pending.agg(F.sum(F.octet_length("url") + 16).alias("bytes")).first()["bytes"]
+    if size is None:
         raise ValueError("no valid URLs to process")
 
-    computed = results_for(fetches, pending, model, pending_rows)
+    computed = results_for(fetches, pending, model, size)
     computed.write.mode("overwrite").parquet(f"{path}/results")
     results = spark.read.schema(computed.schema).parquet(f"{path}/results")
     sinks.write_report(results, f"{path}/report")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: The same where the first is unset and can no longer be set, as in tests.
+SCRATCH_DIR = "pagelens.scratch.dir"
 
 # Runtime settings every job relies on; all can be set on a live session.
 RUNTIME_CONF = {
@@ -44,13 +45,8 @@ def build_session(
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder named by ``spark.checkpoint.dir``.
-
-    A machine-local folder is used only in local mode with the setting unset.
-    """
-    root = spark.conf.get(CHECKPOINT_DIR, None)
+    """A new path in the shared folder named by ``spark.checkpoint.dir``."""
+    root = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get(SCRATCH_DIR, None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="pagelens-")
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
     return f"{root.rstrip('/')}/pagelens-{label}-{uuid.uuid4().hex}"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens import schemas
+from pagelens.session import scratch_path
 
 # Cell texts that a label file may use for a missing value.
 MISSING_CELLS = (
@@ -50,15 +51,23 @@ def read_fetches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Columns ``url`` and ``category`` of a CSV file with a header.
+    """Columns ``url`` and ``category`` of CSV files with a header.
 
-    Other columns are pruned in the scan. Cells that mean "missing" become null.
+    Cells may hold line breaks, so a file is parsed across lines, by one task. Other
+    columns are pruned, cells that mean "missing" become null, and a file without the two
+    columns is refused.
     """
-    frame = spark.read.option("header", True).option("escape", '"').csv(path)
+    frame = spark.read.options(header=True, escape='"', multiLine=True).csv(path)
+    missing = [f.name for f in schemas.LABEL if f.name not in frame.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
     return frame.select(
         *[
-            F.when(F.col(c).isin(list(MISSING_CELLS)), F.lit(None)).otherwise(F.col(c)).alias(c)
-            for c in ("url", "category")
+            F.when(F.col(f.name).isin(list(MISSING_CELLS)), F.lit(None))
+            .otherwise(F.col(f.name))
+            .cast(f.dataType)
+            .alias(f.name)
+            for f in schemas.LABEL
         ]
     )
 
@@ -93,13 +102,12 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.QUEUE).parquet(path).select("list", "url", "seq")
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Use all cores for row-wise work on an input of too few scan splits.
+def store(frame: DataFrame, label: str) -> DataFrame:
+    """Write a step to the shared folder and read it back.
 
-    A single small file is one split, whatever the work per row. Inputs with a
-    split for every core, as all large ones are, pass through without a shuffle.
+    What follows starts from files every executor can read: no step is computed
+    twice, and a lost executor costs only its running tasks.
     """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.rdd.getNumPartitions() >= cores:
-        return frame
-    return frame.repartition(cores, key)
+    path = scratch_path(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

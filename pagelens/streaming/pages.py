@@ -1,8 +1,4 @@
-"""Page streams: read, categorise, deduplicate, count, write.
-
-Categorising with an inline model is a projection plus a broadcast join, so a
-stream uses the batch functions as they are and needs no state for it.
-"""
+"""Page streams: read, deduplicate, count, write."""
 
 from __future__ import annotations
 
@@ -13,8 +9,6 @@ from pyspark.sql.types import StructType
 
 from pagelens import schemas
 from pagelens.functions.urls import is_valid_url, normalise_url
-from pagelens.operators.model import CategoryModel
-from pagelens.plans.runs import categorise_pages
 
 SALTS = 16
 
@@ -33,17 +27,17 @@ def read_page_stream(
     )
 
 
-def categorise_stream(pages: DataFrame, model: CategoryModel) -> DataFrame:
-    if model.inline is None:
-        raise ValueError("a stream needs a model that fits into the plan")
-    return categorise_pages(pages, model)
-
-
 def distinct_url_stream(
-    pages: DataFrame, spread_by: str, event_time: str | None = None, delay: str | None = None
+    pages: DataFrame,
+    spread_by: str,
+    event_time: str | None = None,
+    delay: str | None = None,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """Valid URLs, each emitted once over the whole life of the stream.
 
+    URLs of the stored table ``seen`` are not emitted at all.
+
     A stream deduplicates after the shuffle, so rows are first deduplicated per
     salt: a URL filling a third of the stream is spread over ``SALTS`` tasks, and
     at most that many copies go on to the second step. State grows with the
@@ -53,6 +47,8 @@ def distinct_url_stream(
     kept = [] if event_time is None else [F.col(event_time)]
     urls = pages.select(normalise_url(F.col("url")).alias("url"), salt.alias("_salt"), *kept)
     urls = urls.filter(is_valid_url(F.col("url")))
+    if seen is not None:
+        urls = urls.join(seen.select("url").distinct(), "url", "left_anti")
     if event_time is None:
         return urls.dropDuplicates(["url", "_salt"]).dropDuplicates(["url"]).select("url")
     return (

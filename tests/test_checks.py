@@ -8,10 +8,7 @@ import pytest
 
 from checks.oracle import ORACLE
 from checks.queries import QUERIES
-from pagelens.operators.signals import extract_signals
-from pagelens.schemas import PAGE
 from pagelens.session import scratch_path
-from pagelens.sources.tables import spread
 
 DATA = Path("/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
@@ -60,25 +57,13 @@ def test_outcomes_prune_the_html(spark):
     assert "html:string" not in plan(QUERIES["frontier_outcomes"](spark, str(DATA)))
 
 
-def test_inputs_with_enough_splits_are_not_shuffled(spark, tmp_path):
-    rows = [(i, f"http://a/{i}", "<p>x</p>") for i in range(64)]
-    few, many = str(tmp_path / "few"), str(tmp_path / "many")
-    spark.createDataFrame(rows, PAGE).coalesce(1).write.parquet(few)
-    cores = spark.sparkContext.defaultParallelism
-    spark.createDataFrame(rows, PAGE).repartition(cores * 2).write.option(
-        "maxRecordsPerFile", 1
-    ).parquet(many)
-    read = spark.read.schema(PAGE)
-    assert "Exchange" in plan(extract_signals(spread(read.parquet(few), "page_id")))
-    before = spark.conf.get("spark.sql.files.openCostInBytes")
-    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
-    try:
-        assert "Exchange" not in plan(extract_signals(spread(read.parquet(many), "page_id")))
-    finally:
-        spark.conf.set("spark.sql.files.openCostInBytes", before)
-
-
 def test_scratch_goes_to_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     one, two = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert one.startswith(shared) and one != two
+
+
+def test_scratch_without_a_folder_is_refused(spark, monkeypatch):
+    monkeypatch.setattr("pagelens.session.CHECKPOINT_DIR", "pagelens.unset.dir")
+    with pytest.raises(ValueError, match="shared|folder"):
+        scratch_path(spark, "x")

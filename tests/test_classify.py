@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import pytest
@@ -99,7 +100,7 @@ def test_repeated_terms(categories):
 @pytest.mark.parametrize("form", ["inline", "tables"])
 def test_answers(form, request, pages, brute):
     model = request.getfixturevalue(form)
-    rows = classify(pages, model, key="page_id").orderBy("page_id").collect()
+    rows = classify(pages, model).orderBy("page_id").collect()
     got = [(r.category, r.confidence) for r in rows]
     assert got == expected(brute)
     for (category, confidence), (_, _, name, score) in zip(got, TEXTS):
@@ -111,7 +112,7 @@ def test_table_form_with_salted_lookups(monkeypatch, pages, tables, brute):
     from pagelens.operators import lookup
 
     monkeypatch.setattr(lookup, "BROADCAST_ROWS", -1)
-    rows = classify(pages, tables, key="page_id").orderBy("page_id").collect()
+    rows = classify(pages, tables).orderBy("page_id").collect()
     assert [(r.category, r.confidence) for r in rows] == expected(brute)
 
 
@@ -187,9 +188,39 @@ def test_empty_vocabulary_is_an_error(spark):
         M.fit(categories_frame(spark, [{"name": "A", "keywords": ["the", "a"]}]))
 
 
-def test_large_model_needs_a_key(pages, tables):
-    with pytest.raises(ValueError, match="key"):
-        classify(pages, tables)
+def test_repeated_and_null_rows_get_equal_answers_in_both_forms(spark, inline, tables):
+    rows = [(None, "software cloud", None), (1, "hospital", "u"), (1, "hotel flight", "u")] * 2
+    pages = spark.createDataFrame(rows, "page_id long, combined_text string, url string")
+    pages = pages.withColumns({"term": F.lit("x"), "score": F.lit(1), "cat_idx": F.lit(2)})
+    assert sorted(map(str, classify(pages, inline).collect())) == sorted(
+        map(str, classify(pages, tables).collect())
+    )
+
+
+def test_model_round_trip(spark, pages, inline, tables, tmp_path):
+    for name, model in (("inline", inline), ("tables", tables)):
+        path = str(tmp_path / name)
+        M.write_model(model, path)
+        back = M.read_model(spark, path)
+        assert back.inline == model.inline and back.stop_words == model.stop_words
+        assert sorted(map(str, classify(pages, back).collect())) == sorted(
+            map(str, classify(pages, model).collect())
+        )
+
+
+def test_classifying_reads_no_corpus(spark, categories, pages, tmp_path):
+    path = str(tmp_path / "corpus")
+    rows = [(i % 8, f"word{i} software hospital") for i in range(40)]
+    spark.createDataFrame(rows, "cat_idx int, text string").write.parquet(path)
+    fitted = M.fit(categories, corpus=spark.read.parquet(path), inline_entries=0)
+    plan = classify(pages, fitted)._jdf.queryExecution().toString()
+    assert path not in plan
+
+
+def test_categories_without_terms_count_as_documents(spark):
+    corpus = spark.createDataFrame([(0, "red"), (1, ""), (2, None)], "cat_idx int, text string")
+    idf, _ = M.fit_tables(corpus)
+    assert idf.first().idf == pytest.approx(1 + math.log(4 / 2))
 
 
 def test_category_file_round_trip(spark, tmp_path):

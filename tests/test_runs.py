@@ -15,6 +15,7 @@ from pagelens.plans.runs import batched_results, categorise_pages, queue_lines,
 from pagelens.sources import sinks
 from pagelens.sources.categories import categories_frame
 from pagelens.streaming import pages as S
+from pagelens.streaming import runs as R
 
 WORDS = ["software cloud", "hospital doctor", "stock market", "hello", "hotel flight"]
 
@@ -88,7 +89,7 @@ def test_both_ways_of_matching_agree(spark, model):
     begun, _ = queue_lines(lines(spark, [1, 2, 50]))
     pending = begun.filter("list = 'pending'")
     small = results_for(fetches(spark, 10), pending, model, 3)
-    large = results_for(fetches(spark, 10), pending, model, 10**9)
+    large = results_for(fetches(spark, 10), pending, model, 10**12)
     assert sorted(small.collect(), key=str) == sorted(large.select(small.columns).collect(), key=str)
     assert sorted(r.url for r in small.collect()) == ["http://x.org/1", "http://x.org/2"]
     # The large way must not carry HTML through the join.
@@ -96,6 +97,12 @@ def test_both_ways_of_matching_agree(spark, model):
     assert plan.index("Join") < plan.index("html")
 
 
+def test_run_matches_fetches_by_normalised_url(spark, model, tmp_path):
+    stored = fetches(spark, 4).withColumn("url", F.concat("url", F.lit("/")))
+    state = run(lines(spark, range(4)), stored, model, str(tmp_path / "r"))
+    assert frontier.frontier_stats(state).first().pending == 0
+
+
 def test_batches_of_a_run(spark, model):
     begun, _ = queue_lines(lines(spark, range(10)))
     queue = begun.filter("list = 'pending'")
@@ -104,34 +111,54 @@ def test_batches_of_a_run(spark, model):
     assert [(r.urls, r.succeeded, r.processed) for r in rows] == [(4, 3, 4), (4, 3, 8), (2, 2, 10)]
 
 
-def test_stream_equals_batch(spark, model, page_files, tmp_path):
+@pytest.fixture(scope="module")
+def large(spark):
+    return fit(categories_frame(spark, DEFAULT_CATEGORIES), inline_entries=0)
+
+
+@pytest.mark.parametrize("form", ["model", "large"])
+def test_stream_equals_batch(spark, request, form, page_files, tmp_path):
+    model = request.getfixturevalue(form)
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
-    stream = S.categorise_stream(S.read_page_stream(spark, page_files, files_per_trigger=2), model)
-    query = S.append_stream(stream, out, checkpoint)
-    S.drain(query)
-    assert query.lastProgress is not None and len(query.recentProgress) >= 3
+
+    def go():
+        stream = S.read_page_stream(spark, page_files, files_per_trigger=2)
+        query = R.categorise_stream(stream, model, out, checkpoint)
+        S.drain(query)
+        return query
+
+    assert len(go().recentProgress) >= 3
     batch = categorise_pages(spark.read.schema(schemas.PAGE).parquet(page_files), model)
-    got = spark.read.schema(batch.schema).parquet(out)
+    got = spark.read.schema(batch.schema).parquet(out).drop("batch")
     assert sorted(got.collect()) == sorted(batch.collect())
 
     # A restart with nothing new adds nothing.
-    S.drain(S.append_stream(stream, out, checkpoint))
+    go()
     assert spark.read.schema(batch.schema).parquet(out).count() == 60
 
 
-def test_stream_resumes_with_new_files_only(spark, model, tmp_path):
+def test_run_stream_stops_and_goes_on(spark, model, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("src", "out", "cp"))
-    rows = [(i, f"http://a.org/{i}", html(i)) for i in range(8)]
-    spark.createDataFrame(rows[:5], schemas.PAGE).write.parquet(source)
+    state = frontier.start_state(
+        frontier.distinct_urls(frontier.parse_lines(lines(spark, range(20))))
+    )
+    known = state.where("url = 'http://x.org/2'")
 
     def go():
-        stream = S.categorise_stream(S.read_page_stream(spark, source), model)
-        S.drain(S.append_stream(stream, out, checkpoint))
-        return sorted(r.page_id for r in spark.read.parquet(out).collect())
-
-    assert go() == [0, 1, 2, 3, 4]
-    spark.createDataFrame(rows[5:], schemas.PAGE).write.mode("append").parquet(source)
-    assert go() == list(range(8))
+        stream = S.read_page_stream(spark, source, schemas.FETCH, files_per_trigger=1)
+        S.drain(R.run_stream(stream, model, out, checkpoint, known))
+        counts = {r.status: r.n for r in R.stream_counters(spark, out).collect()}
+        return counts, sorted(r.url for r in R.stream_report(spark, out).collect())
+
+    fetches(spark, 6).repartition(3, "url").write.parquet(source)
+    assert go() == ({"SUCCESS": 4, "ERROR": 1}, [f"http://x.org/{i}" for i in (0, 1, 3, 4, 5)])
+    # The first ones come again, with a slash; only the rest is done.
+    again = fetches(spark, 12).withColumn("url", F.concat("url", F.lit("/")))
+    again.repartition(3, "url").write.mode("append").parquet(source)
+    counts, urls = go()
+    assert counts == {"SUCCESS": 8, "ERROR": 3} and len(urls) == len(set(urls)) == 11
+    queue = frontier.frontier_stats(R.stream_queue(spark, out, state)).first()
+    assert (queue.pending, queue.completed, queue.failed) == (9, 8, 3)
 
 
 def test_stream_deduplicates_across_batches(spark, page_files, tmp_path):
