@@ -83,23 +83,21 @@ def _cut_texts(docs: DataFrame, size: int, digest_bytes: int) -> DataFrame:
     return docs.select("text", *rest.columns).mapInArrow(run, schema)
 
 
-def _block_names(
-    texts: DataFrame, docs: DataFrame, size: int, digest_bytes: int
-) -> DataFrame:
+def _by_digest(texts: DataFrame, names: DataFrame) -> DataFrame:
     """``(rid, pos, name, n)``: the name of each block of each text."""
     places = texts.select(
         "rid", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "digest")
     )
-    names = store(_distinct_blocks(docs, size, digest_bytes).select("name", "digest"), "block-names")
-    if names.groupBy("digest").count().where("count > 1").isEmpty():
-        return store(places.join(names, "digest").select("rid", "pos", "name", "n"), "names")
+    return store(places.join(names, "digest").select("rid", "pos", "name", "n"), "names")
+
+
+def _by_content(docs: DataFrame, size: int) -> DataFrame:
+    """The same with the blocks themselves as the key, for digests that contents share."""
 
-    # Two contents share a digest: contents are the key, in the names and in the texts.
     def run(batches):
         for batch in batches:
-            for rid, data in zip(
-                batch.column(0).to_pylist(), _normalised(batch.column(1)), strict=True
-            ):
+            texts = _normalised(batch.column(1))
+            for rid, data in zip(batch.column(0).to_pylist(), texts, strict=True):
                 blocks = _cut(data, size)
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -111,7 +109,7 @@ def _block_names(
                 )
 
     places = docs.select("rid", "text").mapInArrow(run, "rid long, n int, pos int, block binary")
-    names = store(_distinct_blocks(docs, size, digest_bytes).select("name", "block"), "block-names")
+    names = store(_distinct_blocks(docs, size, 1).select("name", "block"), "block-names")
     return store(places.join(names, "block").select("rid", "pos", "name", "n"), "names")
 
 
@@ -127,8 +125,15 @@ def identities(
     SHA-256 is tried as its key before the content itself.
     """
     texts = store(_cut_texts(docs, size, digest_bytes), "cut-texts")
+    names = _distinct_blocks(docs, size, digest_bytes).select("name", "digest")
+    names = store(names, "block-names")
+    if names.groupBy("digest").count().where("count > 1").isEmpty():
+        parts = _by_digest(texts, names)
+    else:
+        docs = store(docs, "texts")  # so that rows keep their numbers
+        texts = store(_cut_texts(docs, size, digest_bytes), "cut-texts")
+        parts = _by_content(docs, size)
     longest = texts.agg(F.max(F.size("blocks"))).first()[0] or 1
-    parts = _block_names(texts, docs, size, digest_bytes)
     done = [parts.where("n = 1").select("rid", F.lit(0).alias("level"), "name")]
     parts = parts.where("n > 1")
     for level in range(1, (longest - 1).bit_length() + 1):
