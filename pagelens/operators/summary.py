@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelens.operators.fetches import SUCCESS
 from pagelens.operators.ranks import CHUNK_WIDTH, running_total
+from pagelens.sources.tables import store
 
 
 def batch_progress(
@@ -17,6 +18,8 @@ def batch_progress(
         F.count(F.lit(1)).alias("urls"),
         F.count_if(F.col("status") == SUCCESS).alias("succeeded"),
     )
+    # Stored, as the running total reads it twice.
+    per_batch = store(per_batch, "batches")
     return running_total(per_batch, batch_col, F.col("urls"), "processed", chunk_width)
 
 
