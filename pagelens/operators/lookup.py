@@ -15,8 +15,9 @@ def lookup_join(
     """Join ``table`` of at most ``table_rows`` rows to ``large`` on ``on``.
 
     A table of few rows is left to Spark, which broadcasts it if its bytes allow and
-    splits hot keys if not. A larger one is copied to ``SALTS`` salt values and the large side is salted by ``spread_by``, so a key
-    holding a third of all rows is spread over that many tasks.
+    splits hot keys if not. A larger one is copied to ``SALTS`` salt values and the large
+    side is salted by ``spread_by``, so a key holding a third of all rows is spread over
+    that many tasks.
     """
     if table_rows <= BROADCAST_ROWS:
         return large.join(table, on, how)

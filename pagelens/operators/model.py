@@ -39,7 +39,10 @@ def category_corpus(categories: DataFrame) -> DataFrame:
 
 
 def term_counts(
-    texts: DataFrame, key: str, text_col: str = "text", stop_words: Sequence[str] = ENGLISH_STOP_WORDS
+    texts: DataFrame,
+    key: str,
+    text_col: str = "text",
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
 ) -> DataFrame:
     """Occurrences of each word and word pair per key: ``(key, term, tf)``."""
     terms = explode_terms(texts, key, ngrams(tokens(F.col(text_col), stop_words)))
