@@ -17,8 +17,8 @@ import public_tokenizers
 
 from pagelens.llm.shared import CHUNK
 
-#: Entries of a memo; about 100 MB.
-MEMO_ENTRIES = 400_000
+#: Entries of a generation of a memo; two are about 60 MB.
+MEMO_ENTRIES = 120_000
 
 
 @cache
@@ -49,15 +49,23 @@ def ids_of(path: str, text: str) -> list[int]:
 
 
 class Memo(dict):
-    """A dict that fills itself by ``make(key)`` and is emptied when it holds too much."""
+    """A dict that fills itself by ``make(key)``, in two generations of ``limit`` entries.
+
+    A full generation becomes the old one, and the one before it is dropped. What is met
+    again moves on, so that frequent keys stay.
+    """
 
     def __init__(self, make: Callable, limit: int = MEMO_ENTRIES):
         super().__init__()
         self.make, self.limit = make, limit
+        self.old: dict = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value

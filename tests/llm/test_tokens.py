@@ -56,8 +56,12 @@ def test_piece_counts_are_the_librarys():
 
 
 def test_memo_stays_bounded():
-    memo = Memo(lambda k: k + 1, 3)
-    assert [memo[i] for i in range(10)] == list(range(1, 11)) and len(memo) <= 3
+    made = []
+    memo = Memo(lambda k: made.append(k) or k + 1, 3)
+    for i in range(10):
+        assert (memo[0], memo[i]) == (1, i + 1)
+        assert len(memo) <= 3 and len(memo.old) <= 3
+    assert made.count(0) == 1  # met again and again, so kept
 
 
 def test_codec_over_hard_rows(hard, hard_rows, nothing):
