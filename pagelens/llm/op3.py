@@ -307,7 +307,9 @@ def _links(nodes: DataFrame, docs: DataFrame, k: int, short: int) -> DataFrame:
                 [batch.column(0), pa.array(packed, pa.binary())], ["node", "packed"]
             )
 
-    found = docs.select("row_key", "text").join(keys, "row_key").select("node", "text")
+    # The same plan at every size: all texts meet the keys of the few that are wanted.
+    found = docs.select("row_key", "text").join(keys.hint("merge"), "row_key")
+    found = found.select("node", "text")
     packed = found.mapInArrow(pack, "node long, packed binary")
     texts = store(packed.dropDuplicates(["node"]), "packed-texts")
 
