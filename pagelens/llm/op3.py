@@ -38,7 +38,7 @@ SKETCH = 64
 MISS = 1e-9
 #: Members of a list that are compared pair by pair; longer ones are compared in blocks.
 SHORT = 24
-BLOCK = 512
+BLOCK = 1024
 
 # Fixed odd factors that tell the words of a shingle apart by their place.
 FACTORS = np.array(
@@ -289,8 +289,13 @@ def _links(nodes: DataFrame, docs: DataFrame, k: int, short: int) -> DataFrame:
     lists = entries.groupBy("value").agg(
         F.count(F.lit(1)).alias("count"),
         F.min(F.struct(F.xxhash64("value", "node").alias("draw"), "node")).alias("centre"),
+        F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"),
     )
-    lists = lists.where("count > 1").select("value", "count", F.col("centre.node").alias("centre"))
+    # Lists with the same members, by 128 bits of them, are one.
+    lists = lists.where("count > 1").groupBy("count", "one", "two")
+    lists = lists.agg(F.min(F.struct("value", "centre.node")).alias("list"))
+    lists = lists.select("list.value", "count", F.col("list.node").alias("centre"))
     entries = store(entries.join(store(lists, "lists"), "value"), "listed")
 
     listed = nodes.join(entries.select("node").distinct(), "node", "left_semi")
