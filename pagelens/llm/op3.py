@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import connected_components, store, table
+from pagelens.llm.shared import connected_components, forest, store, table
 from pagelens.llm.tokens import Memo
 
 WORDS = 5
@@ -223,22 +223,6 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _forest(pairs) -> list[tuple[int, int]]:
-    """Of the pairs, some that join the same nodes; at most one a node."""
-    parent: dict[int, int] = {}
-    kept = []
-    for a, b in pairs:
-        x, y = a, b
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        while parent.setdefault(y, y) != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[x] = y
-            kept.append((a, b))
-    return kept
-
-
 def _block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between members of long lists that lie in different components.
 
@@ -271,7 +255,7 @@ def _block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
             common = _overlaps(x, y)
             sizes = np.add.outer([len(s) for s in x], [len(s) for s in y])
             hit = (100 * common >= PERCENT * (sizes - common)) & (p[:, None] != q[None, :])
-            found = _forest((a[i], b[j]) for i, j in np.argwhere(hit).tolist())
+            found = forest((a[i], b[j]) for i, j in np.argwhere(hit).tolist())
         return pa.table(
             {
                 "a": pa.array([a for a, _ in found], pa.int64()),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import connected_components, store, table
+from pagelens.llm.shared import connected_components, forest, store, table
 
 LIMIT = 0.98
 BANDS, BAND_BITS = 40, 18
@@ -176,21 +176,6 @@ def _compare(rows: dict[str, list], limit: float) -> tuple[dict[int, int], list[
     return counts, links
 
 
-def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    parent: dict[int, int] = {}
-    kept = []
-    for a, b in pairs:
-        x, y = a, b
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        while parent.setdefault(y, y) != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[x] = y
-            kept.append((a, b))
-    return kept
-
-
 def _linked(nodes: DataFrame, limit: float) -> DataFrame:
     """``(a, b, n)``: partial link counts of node a where b is null, else joining links."""
     coded = store(_coded(nodes), "codes")
@@ -218,7 +203,7 @@ def _linked(nodes: DataFrame, limit: float) -> DataFrame:
             rows = dict(zip(names[4:], map(list, columns[4:]), strict=True))
             rows["group"] = list(zip(*columns[:4], strict=True))
             counts, links = _compare(rows, limit)
-            links = _forest(links)
+            links = forest(links)
             return pa.RecordBatch.from_pydict(
                 {
                     "a": pa.array([*counts, *(a for a, _ in links)], pa.int64()),

@@ -1,13 +1,14 @@
-"""Helpers of several operators: stored steps, components, text rules."""
+"""Helpers of several operators: tables, folds, components, text rules."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.session import scratch_path
+from pagelens.sources.tables import store
 
 # The Unicode White_Space characters, as a character class.
 WHITE_SPACE = "\t-\r \x85\xa0  -     　"
@@ -21,22 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(frame: DataFrame, label: str) -> DataFrame:
-    """Write a step to the shared folder and read it back.
-
-    What follows starts from files every executor can read: no step is computed
-    twice, and a lost executor costs only its running tasks.
-    """
-    path = scratch_path(frame.sparkSession, label)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def fold(key: Column, parts: int) -> Column:
     """crc32 of the key's text modulo ``parts``; a null key is in fold 0."""
     return F.coalesce(F.crc32(key.cast("string")) % parts, F.lit(0))
 
 
+def forest(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the pairs, some that join the same nodes; fewer than nodes."""
+    parent: dict[int, int] = {}
+    kept = []
+    for a, b in pairs:
+        x, y = a, b
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        while parent.setdefault(y, y) != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[x] = y
+            kept.append((a, b))
+    return kept
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; the smallest node names it.
 
