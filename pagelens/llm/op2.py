@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from collections.abc import Callable
 from functools import cache
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelens.llm.shared import CHUNK, table
-from pagelens.llm.tokens import BYTE_CHARACTERS, Memo, default_path
+from pagelens.llm.tokens import BYTE_CHARACTERS, PLAIN, Memo, default_path
 
 # Fixed value: how byte-level BPE of this vocabulary cuts a text before merging.
 PRE_TOKEN = regex.compile(
@@ -43,10 +44,13 @@ class Codec:
         }
         byte_of = {c: b for b, c in BYTE_CHARACTERS.items()}
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
-        self.strings: dict[int, bytes] = {
-            i: bytes(byte_of[c] for c in s) if all(c in byte_of for c in s) else s.encode()
-            for s, i in [*vocabulary.items(), *self.special.items()]
-        }
+        known = {**vocabulary, **self.special}
+        self.strings = [b""] * (max(known.values()) + 1)
+        for token, i in known.items():
+            plain = all(c in byte_of for c in token)
+            self.strings[i] = bytes(byte_of[c] for c in token) if plain else token.encode()
+        # One object for each id, however often it is in a memo.
+        self.numbers = list(range(len(self.strings)))
         longest = sorted(self.special, key=len, reverse=True)
         found = "|".join(map(regex.escape, longest))
         self.cut = regex.compile(f"({found})") if found else None
@@ -57,7 +61,7 @@ class Codec:
         """Ids of one pre-token."""
         symbols = [self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]
         size = len(symbols)
-        if size == 1:
+        if size < 2:
             return tuple(symbols)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         merges = self.merges.get
@@ -88,9 +92,14 @@ class Codec:
                 made = merges(symbols[left] << 32 | symbols[i])
                 if made is not None:
                     heapq.heappush(queue, (made >> 32) << PLACE | left)
-        return tuple(s for s in symbols if s >= 0)
+        numbers = self.numbers
+        return tuple(numbers[s] for s in symbols if s >= 0)
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
+        plain = PLAIN.fullmatch(chunk)
+        if plain:
+            word, mark = plain.groups()
+            return self.words[word] + self.words[mark] if mark else self.words[word]
         ids: list[int] = []
         parts = self.cut.split(chunk) if self.cut else [chunk]
         for place, part in enumerate(parts):
@@ -118,8 +127,13 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``(doc_id, ids)`` for each row of ``docs(doc_id, text)``, ids as an array of int.
+def transcode(
+    docs: DataFrame, derive: Callable, schema: str, path: str | None = None
+) -> DataFrame:
+    """``doc_id`` of each row of ``docs(doc_id, text)`` and what ``derive`` makes of its ids.
+
+    ``derive(codec, ids)`` gets the ids of some texts and returns columns by name, as
+    ``schema`` names them. Ids that nobody asks for never leave the task.
 
     * A null text counts as empty and has no ids. An empty table gives no rows.
     * Very long texts are encoded whole; so is a very long word, in time n log n.
@@ -134,11 +148,16 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
-                )
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), **derive(own, ids)})
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``(doc_id, ids)`` for each row of ``docs(doc_id, text)``, as ``transcode`` has them."""
+    return transcode(
+        docs, lambda _, ids: {"ids": pa.array(ids, pa.list_(pa.int32()))}, "ids array<int>", path
+    )
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -161,23 +180,16 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     )
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = decode(encode(table(spark, sf_dir, "documents")))
+def digests(own: Codec, ids: list[list[int]]) -> dict[str, pa.Array]:
+    """Number of ids, and SHA-256 of the ids and of the text decoded from them."""
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    return {
+        "n_tokens": pa.array(map(len, ids), pa.int64()),
+        "ids_sha256": pa.array([sha(",".join(map(str, i))) for i in ids], pa.string()),
+        "decoded_sha256": pa.array([sha(own.decode(i)) for i in ids], pa.string()),
+    }
 
-    def digests(batches):
-        for batch in batches:
-            ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0),
-                    "n_tokens": pa.array(map(len, ids), pa.int64()),
-                    "ids_sha256": pa.array([sha(",".join(map(str, i))) for i in ids], pa.string()),
-                    "decoded_sha256": pa.array(map(sha, texts), pa.string()),
-                }
-            )
-
-    kind = coded.schema["doc_id"].dataType.simpleString()
-    return coded.mapInArrow(
-        digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return transcode(table(spark, sf_dir, "documents"), digests, schema)
