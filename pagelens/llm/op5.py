@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import table
+from pagelens.llm.shared import store, table
 from pagelens.llm.tokens import default_path, token_counts
 from pagelens.session import scratch_path
 
@@ -91,6 +91,8 @@ def count_tokens(
     version = F.lit(tokenizer_digest(tokenizer))
     counts = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version)
     counts = counts.groupBy("text_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Stored, so that both sides of the join are read and a hot digest can be split.
+    counts = store(counts, "counts")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         "doc_id",
