@@ -88,7 +88,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
                 ["doc_id", "draw", "stats"],
             )
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("draw"), "text")
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("draw"), "text")
     return rows.mapInArrow(run, f"doc_id {kind}, draw long, stats array<double>")
 
 
