@@ -4,28 +4,27 @@ Word n-grams of the training documents are counted and smoothed by absolute disc
 an n-gram keeps its count less a constant, and what that frees goes to the shorter
 history. The histories become states. An arc carries the log-probability of a word after
 its state; a failure arc carries the freed share and leads to the shorter history, down
-to the root, which knows single words. A text is scored in one pass from left to right
-that carries the state and adds up weights.
-
-Counts of single words are a table that grows with the corpus, and so are the lookups in
-it. What every task holds is bounded: words, and n-grams of them, that make up at least
-``SHARE`` of all training tokens, so at most 1 / SHARE of each length. The automaton leaves a
-rare word by failure arcs to the root, where the word's own weight, from a join with the
-table, is added.
+to the root, which knows single words.
+
+An arc is stored as its difference from the failure path around it, and the failure
+weight of the state it leads to is added. The weight of a text's path is then the sum of
+the weights of all n-grams in the text that the model holds, in any order.
+
+All words, and all pairs and triples seen at least ``LEAST`` times, whatever the size of
+the corpus, are a table that grows with it. A task holds the frequent ones, ``SHARE`` of
+all training tokens, so at most 1 / SHARE of each length. It adds their weights itself; a
+text's other n-grams are joined with the table. What a task holds changes no score.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from dataclasses import dataclass, field
-from functools import lru_cache
 from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.llm.shared import fold, store, table
@@ -33,15 +32,20 @@ from pagelens.llm.tokens import Memo
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 3
+#: Pairs and triples seen less often are no arcs.
+LEAST = 2
+#: Of all training tokens: n-grams this frequent are held by every task.
 SHARE = 2e-6
 #: What an n-gram's count is lowered by.
 DISCOUNT = 0.75
 #: The same for single words; what it frees is for words never seen.
 WORD_DISCOUNT = 0.5
-#: The end of a text as a word; no word holds a space.
-END = b" "
-#: Distinct words that a task counts before it hands them on.
-HELD_WORDS = 300_000
+#: The end of a text as a word, and its beginning; no word holds a space.
+END, BEGIN = b" ", b"  "
+#: Tokens that a task counts, or scores, together.
+TOGETHER = 500_000
+#: Bits by which the n-gram before the last word is turned, for pairs and triples.
+TURNS = {2: 23, 3: 10}
 
 
 def hash_of(word: bytes) -> int:
@@ -57,58 +61,97 @@ def words_of(text: str | None) -> list[bytes]:
     return words
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, count)`` over all of ``docs(text)``; ``word`` is a hash."""
+def _coded(texts: list[str | None], hashes: Memo, order: int) -> tuple[np.ndarray, ...]:
+    """``(key, before, length, owner)`` of every n-gram of the texts, shortest first.
+
+    A key is the key of the n-gram without its last word, ``before``, turned, XOR the key
+    of the one without its first; so each of the three follows from the other two. The
+    beginning of a text has length 0. ``owner`` is the place of the text.
+    """
+    flat, sizes = [], []
+    begin = hashes[BEGIN]
+    for text in texts:
+        own = list(map(hashes.__getitem__, words_of(text)))
+        flat.append(begin)
+        flat += own
+        sizes.append(len(own) + 1)
+    keys = np.array(flat, np.int64).view(np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.cumsum(sizes)
+    place = np.arange(len(keys)) - np.repeat(ends - sizes, sizes)
+    parts = [(keys, np.zeros_like(keys), np.minimum(place, 1), owner)]
+    for n in range(2, order + 1):
+        inside = place[n - 1 :] >= n - 1
+        before, after = keys[:-1], keys[1:]
+        turn = np.uint64(TURNS[n])
+        keys = (before << turn | before >> np.uint64(64 - TURNS[n])) ^ after
+        parts.append(
+            (keys[inside], before[inside], np.full(inside.sum(), n), owner[n - 1 :][inside])
+        )
+    key, before, length, owner = map(np.concatenate, zip(*parts, strict=True))
+    return key.view(np.int64), before.view(np.int64), length, owner
+
+
+def _parts(batch: pa.RecordBatch, column: int):
+    """``(from, texts)`` of a batch's parts of about ``TOGETHER`` tokens; no text is cut."""
+    low, held, size = 0, [], 0
+    for i, text in enumerate(batch.column(column).to_pylist()):
+        held.append(text)
+        size += len(text or "") // 5 + 2
+        if size >= TOGETHER:
+            yield low, held
+            low, held, size = i + 1, [], 0
+    if held:
+        yield low, held
+
+
+def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``(length, before, key, count)`` of all n-grams of ``docs(text)`` up to ``order``."""
 
     def run(batches):
-        def rows():
-            return pa.RecordBatch.from_pydict(
-                {
-                    "word": pa.array(map(hash_of, held), pa.int64()),
-                    "count": pa.array(held.values(), pa.int64()),
-                }
-            )
-
-        held: Counter = Counter()
+        hashes = Memo(hash_of)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-                if len(held) >= HELD_WORDS:
-                    yield rows()
-                    held.clear()
-        yield rows()
+            for _, texts in _parts(batch, 0):
+                key, before, length, _ = _coded(texts, hashes, order)
+                key, first, count = np.unique(key, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "length": pa.array(length[first], pa.int32()),
+                        "before": pa.array(before[first], pa.int64()),
+                        "key": pa.array(key, pa.int64()),
+                        "count": pa.array(count, pa.int64()),
+                    }
+                )
 
-    found = docs.select("text").mapInArrow(run, "word long, count long")
-    return found.groupBy("word").agg(F.sum("count").alias("count"))
+    found = docs.select("text").mapInArrow(run, "length int, before long, key long, count long")
+    # Most n-grams are rare, so counting before the shuffle would only spill.
+    found = found.repartition("length", "before", "key")
+    return found.groupBy("length", "before", "key").agg(F.sum("count").alias("count"))
 
 
 @dataclass
 class Model:
-    """The automaton in arrays. States: 0 the root, 1 + w word w, then one for each pair.
+    """What every task holds: the frequent words, and the frequent n-grams' weights.
 
-    Word ids are places in ``words``, sorted hashes of the frequent words; the id behind
-    the last is the beginning of a text.
+    ``words`` and ``keys`` are sorted hashes. ``arcs`` are differences from the failure
+    path, ``lost`` the failure weights of the states that the arcs lead to.
     """
 
     tokens: int
     distinct: int
     words: np.ndarray
-    counts: np.ndarray
-    arcs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    leads: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    failure: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    failure_weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    keys: np.ndarray
+    arcs: np.ndarray
+    lost: np.ndarray
+    base: np.ndarray
     key: str = field(default_factory=lambda: uuid4().hex)
 
-    @property
-    def width(self) -> int:
-        return len(self.words) + 1
-
     def word_chance(self, counts):
         """Probability of a word seen so often, alone; works on numbers, arrays, columns."""
         n = max(1, self.tokens)
         unseen = WORD_DISCOUNT * self.distinct / n / (self.distinct + 1) or 1.0
+        if isinstance(counts, Column):
+            return F.when(counts > 0, (counts - WORD_DISCOUNT) / n).otherwise(0.0) + unseen
         return (counts > 0) * (counts - WORD_DISCOUNT) / n + unseen
 
     def base_chance(self, counts):
@@ -116,37 +159,38 @@ class Model:
 
 
 class Automaton:
-    """A model with its arcs in a dictionary, for one traversal a text."""
+    """A model ready for lookups: a path's weight, as far as the model holds its arcs."""
 
     def __init__(self, model: Model):
-        self.width = model.width
-        self.begin = 1 + len(model.words)
-        self.arcs = dict(zip(model.arcs.tolist(), range(len(model.arcs)), strict=True))
-        self.weights, self.leads = model.weights.tolist(), model.leads.tolist()
-        self.failure, self.failure_weights = model.failure.tolist(), model.failure_weights.tolist()
-        self.alone = np.log10(model.word_chance(model.counts)).tolist()
-        self.base = np.log10(model.base_chance(model.counts)).tolist()
+        self.keys, self.arcs, self.lost = model.keys, model.arcs, model.lost
+        self.both, self.base = model.arcs + model.lost, model.base
+        self.hashes = Memo(hash_of)
+        # A word that is not frequent has a hash that is no word's.
+        self.words = [*model.words.tolist(), hash_of(b"  ?")]
         places = {h: i for i, h in enumerate(model.words.tolist())}
         self.ids = Memo(lambda word: places.get(hash_of(word), -1))
 
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the keys, and which of them are held."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
     def score(self, ids: list[int]) -> float:
         """Log10 probability of the ids; a rare word, -1, without its weight at the root."""
-        arcs, weights, leads = self.arcs.get, self.weights, self.leads
-        failure, lost, alone, width = self.failure, self.failure_weights, self.alone, self.width
-        state, total = self.begin, 0.0
-        for word in ids:
-            arc = arcs(state * width + word) if word >= 0 else None
-            while arc is None and state:
-                total += lost[state]
-                state = failure[state]
-                arc = arcs(state * width + word) if word >= 0 and state else None
-            if arc is not None:
-                total += weights[arc]
-                state = leads[arc]
-            elif word >= 0:
-                total += alone[word]
-                state = 1 + word
-        return total
+        seen = Memo(lambda word: self.words[word] if isinstance(word, int) else hash_of(word))
+        flat = np.array([seen[BEGIN], *map(seen.__getitem__, ids)], np.int64).view(np.uint64)
+        total, keys = 0.0, flat
+        for n in range(1, ORDER + 1):
+            if n > 1:
+                before, turn = keys[:-1], np.uint64(TURNS[n])
+                keys = (before << turn | before >> np.uint64(64 - TURNS[n])) ^ keys[1:]
+            at, held = self.find(keys.view(np.int64))
+            total += self.arcs[at[held]].sum()
+            # The state at the end of the ids is not left.
+            total += self.lost[at[:-1][held[:-1]]].sum()
+        return float(total)
 
 
 _KEPT: dict[str, Automaton] = {}
@@ -160,144 +204,148 @@ def automaton(model: Model) -> Automaton:
     return _KEPT[model.key]
 
 
-@lru_cache(maxsize=4)
-def _places(key: str, words: bytes) -> Memo:
-    places = {h: i for i, h in enumerate(np.frombuffer(words, np.int64).tolist())}
-    return Memo(lambda word: places.get(hash_of(word), -1))
-
-
-def _codes(docs: DataFrame, model: Model, history: np.ndarray) -> DataFrame:
-    """``(code, count)`` of n-grams of frequent words, one word longer than ``history``.
-
-    ``history`` holds the sorted codes of the pairs that are states; while it is empty,
-    pairs are counted. A code is the history's place times the width plus the word.
-    """
-    width, hashes, key = model.width, model.words.tobytes(), model.key
-
-    def run(batches):
-        ids = _places(key, hashes)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                flat: list[int] = []
-                for text in batch.column(0).slice(low, 2000).to_pylist():
-                    flat += [-2, width - 1, *map(ids.__getitem__, words_of(text))]
-                words = np.array(flat, np.int64)
-                codes = words[:-1] * width + words[1:]
-                real = (words[:-1] >= 0) & (words[1:] >= 0)
-                if len(history):
-                    at = np.minimum(np.searchsorted(history, codes), len(history) - 1)
-                    known = real & (history[at] == codes)
-                    codes, real = at[:-1] * width + words[2:], known[:-1] & known[1:]
-                found, counts = np.unique(codes[real], return_counts=True)
-                yield pa.RecordBatch.from_pydict(
-                    {"code": pa.array(found), "count": pa.array(counts, pa.int64())}
-                )
-
-    found = docs.select("text").mapInArrow(run, "code long, count long")
-    return found.groupBy("code").agg(F.sum("count").alias("count"))
-
-
-def _arrays(rows: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """A table of bounded size, sorted by ``name``."""
-    found = rows.select(name, "count").toArrow()
-    names, counts = found[name].to_numpy(), found["count"].to_numpy()
-    order = np.argsort(names)
-    return names[order], counts[order]
+def _after(length: int) -> Column:
+    """The key of an n-gram without its first word."""
+    turn, before = TURNS[length], F.col("before")
+    turned = F.shiftleft(before, turn).bitwiseOR(F.shiftrightunsigned(before, 64 - turn))
+    return F.col("key").bitwiseXOR(turned)
 
 
 def learn(
     train: DataFrame, share: float = SHARE, order: int = ORDER
 ) -> tuple[Model, DataFrame]:
-    """The model of ``train(text)``, and the table of all word counts."""
-    counts = store(word_counts(train), "word-counts")
-    total = counts.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, distinct = total.n or 0, total.v
-    # At most 1 / share words have such a count, and as many n-grams of each length.
-    words, often = _arrays(counts.where(F.col("count") >= max(1, share * tokens)), "word")
-    model = Model(tokens, distinct, words, often)
-    least, width = max(2, share * tokens), model.width
-    texts = train.count() if tokens else 0
-    pairs, pair_counts = _arrays(
-        _codes(train, model, np.zeros(0, np.int64)).where(F.col("count") >= least), "code"
-    ) if order > 1 and tokens else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    triples, triple_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if order > 2 and len(pairs):
-        triples, triple_counts = _arrays(
-            _codes(train, model, pairs).where(F.col("count") >= least), "code"
-        )
+    """The model of ``train(text)``, and the table of all n-grams' weights.
 
-    # Pairs: arcs of the word states, which lead to the pairs' own states.
-    before, word = pairs // width, pairs % width
-    seen = np.append(often, max(1, texts))  # of each history; texts begin so often
-    kept = (pair_counts - DISCOUNT) / seen[before]
-    freed = 1 - np.bincount(before, kept, width)
-    chance = kept + freed[before] * model.word_chance(often)[word]
-    first = 1 + width
-    # Triples: arcs of the pairs' states, to the pair that remains or to its last word.
-    pair, third = triples // width, triples % width
-    kept = (triple_counts - DISCOUNT) / pair_counts[pair]
-    pair_freed = 1 - np.bincount(pair, kept, len(pairs))
-    next_codes = word[pair] * width + third
-    if len(pairs):
-        at = np.minimum(np.searchsorted(pairs, next_codes), len(pairs) - 1)
-    else:
-        at = np.zeros(0, np.int64)
-    shorter = chance[at]  # a triple's last two words are a pair, by their counts
-    model.arcs = np.concatenate([(1 + before) * width + word, (first + pair) * width + third])
-    model.weights = np.log10(np.concatenate([chance, kept + pair_freed[pair] * shorter]))
-    model.leads = np.concatenate([first + np.arange(len(pairs)), first + at])
-    model.failure = np.concatenate([np.zeros(first, np.int64), 1 + word])
-    # A history whose every follower is an arc frees a share too small to be exact.
-    floor = 1e-12
-    model.failure_weights = np.log10(
-        np.maximum(floor, np.concatenate([[1.0], freed, pair_freed]))
+    ``(key, count, arc, lost, known, base)``; see ``Model``. ``share`` bounds what a task
+    holds and changes no score.
+    """
+    grams = gram_counts(train, order).where(F.expr(f"length < 2 OR count >= {LEAST}"))
+    grams = store(grams, "gram-counts")
+    total = grams.where("length = 1").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"))
+    tokens, distinct = ((r := total.first()).n or 0), r.v
+    none = np.zeros(0)
+    model = Model(tokens, distinct, none.astype(np.int64), none.astype(np.int64), none, none, none)
+
+    # Counts are whole and the discount is a binary fraction, so what is freed is exact;
+    # each arc frees a part of its history's count, so it is above 0.
+    taken = grams.where("length > 1").groupBy(F.col("before").alias("key")).agg(
+        F.sum(F.col("count") - DISCOUNT).alias("taken")
+    )
+    states = grams.where(f"length < {order}").join(taken, "key", "left")
+    freed = (F.col("count") - F.coalesce("taken", F.lit(0.0))) / F.col("count")
+    states = store(states.select("length", "before", "key", "count", freed.alias("freed")), "states")
+    seen = F.col("count")
+    of_words = F.when(F.col("length") > 0, model.word_chance(seen)).otherwise(1.0)
+    words = states.where("length < 2").select("*", of_words.alias("chance")) if order > 1 else (
+        grams.where("length < 2").select("*", F.lit(1.0).alias("freed"), of_words.alias("chance"))
+    )
+    levels = [words.select("length", "key", "count", "freed", "chance", F.log10("chance").alias("arc"))]
+    for n in range(2, order + 1):
+        shorter = levels[-1]
+        # The history's count and freed share, and the chance after the shorter history.
+        history = shorter.select(
+            F.col("key").alias("before"), F.col("count").alias("times"), F.col("freed").alias("rest")
+        )
+        last = shorter.select(F.col("key").alias("after"), F.col("chance").alias("lower"))
+        own = states if n < order else grams.withColumn("freed", F.lit(1.0))
+        own = own.where(f"length = {n}").withColumn("after", _after(n))
+        own = own.join(history, "before").join(last, "after")
+        around = F.col("rest") * F.col("lower")
+        chance = (F.col("count") - DISCOUNT) / F.col("times") + around
+        own = own.select(
+            "length", "key", "count", "freed", chance.alias("chance"), F.log10(chance / around).alias("arc")
+        )
+        levels.append(store(own, "arcs"))
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.union(level)
+    is_word = F.col("length") == 1
+    table = every.select(
+        "key",
+        "length",
+        "count",
+        "arc",
+        F.log10("freed").alias("lost"),
+        is_word.cast("int").alias("known"),
+        F.when(is_word, F.log10(model.base_chance(seen))).otherwise(0.0).alias("base"),
     )
-    return model, counts
+    table = store(table, "weights")
+    # At most 1 / share of each length are so frequent.
+    often = table.where(F.col("count") >= max(1, share * tokens)).toArrow()
+    rank = np.argsort(often["key"].to_numpy())
+    held = {c: often[c].to_numpy()[rank] for c in often.column_names}
+    model.words = held["key"][held["length"] == 1]
+    model.keys, model.arcs, model.lost, model.base = (held[c] for c in ("key", "arc", "lost", "base"))
+    return model, table.where(F.col("count") < max(1, share * tokens))
 
 
 def _traversed(docs: DataFrame, model: Model) -> DataFrame:
-    """Sums over each text's frequent words, and its rare ones with their numbers."""
+    """For each text a row of sums over what the task holds, with ``n_tokens``; and a row
+    for each of its other n-grams, with ``times``. A word not held is taken as unseen."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    unseen = float(np.log10(model.word_chance(0)))
+    unseen_base = float(np.log10(model.base_chance(0)))
 
     def run(batches):
         own = automaton(model)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
-                sizes, known, base, scores, rare, times = [], [], [], [], [], []
-                for text in part.column(2).to_pylist():
-                    words = words_of(text)
-                    ids = list(map(own.ids.__getitem__, words))
-                    often = [own.base[i] for i in ids if i >= 0]
-                    seldom = Counter(w for w, i in zip(words, ids, strict=True) if i < 0)
-                    sizes.append(len(words))
-                    known.append(len(often))
-                    base.append(math.fsum(often))
-                    scores.append(own.score(ids))
-                    rare.append(list(map(hash_of, seldom)))
-                    times.append(list(seldom.values()))
+            for low, texts in _parts(batch, 2):
+                n = len(texts)
+                part = batch.slice(low, n)
+                rids = part.column(0).to_numpy()
+                key, _, length, owner = _coded(texts, own.hashes, ORDER)
+                at, held = own.find(key)
+                mine, place = owner[held], at[held]
+                word = length == 1
+                fresh = np.bincount(owner[word & ~held], minlength=n)
+                path = np.zeros(n) + fresh * unseen
+                base = np.zeros(n) + fresh * unseen_base
+                if len(place):
+                    path += np.bincount(mine, own.both[place], n)
+                    base += np.bincount(mine, own.base[place], n)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "rid": part.column(0),
+                        # Any key will do; different ones spread the rows.
+                        "key": part.column(0),
+                        "times": pa.array(np.zeros(n, np.int32)),
                         "doc_id": part.column(1),
-                        "n_tokens": pa.array(sizes, pa.int64()),
-                        "known": pa.array(known, pa.int64()),
-                        "base": pa.array(base, pa.float64()),
-                        "path": pa.array(scores, pa.float64()),
-                        "rare": pa.array(rare, pa.list_(pa.int64())),
-                        "times": pa.array(times, pa.list_(pa.int32())),
+                        "n_tokens": pa.array(np.bincount(owner[word], minlength=n), pa.int64()),
+                        "known": pa.array(np.bincount(owner[word & held], minlength=n), pa.int64()),
+                        "base": pa.array(base),
+                        "path": pa.array(path),
+                    }
+                )
+                rest, mine, size = key[~held], owner[~held], (~held).sum()
+                order = np.lexsort((rest, mine))
+                rest, mine = rest[order], mine[order]
+                first = np.ones(size, bool)
+                first[1:] = (rest[1:] != rest[:-1]) | (mine[1:] != mine[:-1])
+                starts = np.flatnonzero(first)
+                times = np.diff(np.append(starts, size))
+                empty = len(starts)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "rid": pa.array(rids[mine[starts]], pa.int64()),
+                        "key": pa.array(rest[starts], pa.int64()),
+                        "times": pa.array(times, pa.int32()),
+                        "doc_id": pa.nulls(empty, part.column(1).type),
+                        "n_tokens": pa.nulls(empty, pa.int64()),
+                        "known": pa.nulls(empty, pa.int64()),
+                        "base": pa.nulls(empty, pa.float64()),
+                        "path": pa.nulls(empty, pa.float64()),
                     }
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     return rows.mapInArrow(
         run,
-        f"rid long, doc_id {kind}, n_tokens long, known long, base double, path double, "
-        "rare array<long>, times array<int>",
+        f"rid long, key long, times int, doc_id {kind}, n_tokens long, known long, base double, "
+        "path double",
     )
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, weights: DataFrame) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of ``docs(doc_id, text)``.
 
     * A null text counts as empty; an empty text is its end alone.
@@ -305,30 +353,30 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     * A very long text is read whole, in one pass. Repeated rows get equal scores.
     * A null doc_id is kept. An empty table gives no rows. Other columns are ignored.
     """
-    rows = store(_traversed(docs, model), "traversed")
-    rare = rows.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
-        "rid", F.col("w.rare").alias("word"), F.col("w.times").alias("times")
-    )
-    seen = F.coalesce("count", F.lit(0))
-    n = max(1, model.tokens)
-    alone = F.when(seen > 0, (seen - WORD_DISCOUNT) / n).otherwise(0.0) + model.word_chance(0)
-    sums = (
-        rare.join(counts, "word", "left")
-        .groupBy("rid")
-        .agg(
-            F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("rare_known"),
-            F.sum(F.col("times") * F.log10(model.base_chance(seen))).alias("rare_base"),
-            F.sum(F.col("times") * F.log10(alone)).alias("rare_score"),
-        )
+    # Words were taken as unseen, so the table's differ from that.
+    word = F.col("known") == 1
+    of = weights.select(
+        "key",
+        F.col("known").alias("is_word"),
+        (F.col("base") - F.when(word, F.log10(F.lit(float(model.base_chance(0))))).otherwise(0.0))
+        .alias("more_base"),
+        (F.col("arc") + F.col("lost")
+         - F.when(word, F.log10(F.lit(float(model.word_chance(0))))).otherwise(0.0)).alias("more"),
     )
+    rows = _traversed(docs, model).join(of, "key", "left")
+    rows = rows.where("n_tokens IS NOT NULL OR more IS NOT NULL")
+    times = F.col("times")
     part = lambda c: F.coalesce(c, F.lit(0))
-    return rows.join(sums, "rid", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("known") + part("rare_known")).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + part("rare_base")).alias("base_score"),
-        (F.col("path") + part("rare_score")).alias("score"),
+    sums = rows.groupBy("rid").agg(
+        F.first("doc_id", ignorenulls=True).alias("doc_id"),
+        F.max("n_tokens").alias("n_tokens"),
+        (F.max("known") + F.sum(times * part(F.col("is_word")))).alias("n_known"),
+        (F.max("base") + F.sum(times * part(F.col("more_base")))).alias("base_score"),
+        (F.max("path") + F.sum(times * part(F.col("more")))).alias("score"),
+    )
+    return sums.select(
+        "doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score",
     )
 
 

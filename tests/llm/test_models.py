@@ -104,6 +104,23 @@ def test_language_model_query(spark, sf, share):
         assert sum(got[i].score - got[i].base_score for i in held) > 0
 
 
+@pytest.mark.parametrize("share", [0.01, 0.2, 1.0])
+def test_scores_do_not_depend_on_what_a_task_holds(spark, share):
+    """An n-gram seen twice is an arc, however small a part of the corpus that is."""
+    texts = small_corpus()
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    docs = spark.createDataFrame(
+        list(enumerate([*texts, "the cat zebra", "", "mat mat mat mat"])), "doc_id long, text string"
+    )
+    scores = []
+    for held in (op4.SHARE, share):
+        rows = op4.score(docs, *op4.learn(train, share=held)).collect()
+        scores.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in rows})
+    assert scores[0].keys() == scores[1].keys()
+    for i, row in scores[0].items():
+        assert scores[1][i] == pytest.approx(row, abs=1e-9)
+
+
 def test_language_model_of_hard_rows(spark, hard, hard_rows, nothing):
     model, counts = op4.learn(hard)
     rows = op4.score(hard, model, counts).collect()
