@@ -135,21 +135,34 @@ def learn(
 ) -> dict[str, str]:
     """Sample text of each language of ``labelled(text, lang)``.
 
-    The sample is bounded: about ``texts`` rows a language, chosen by a hash of the text,
-    at most ``characters`` of each and ``letters`` together. Rows without a language or
-    without a letter teach nothing.
+    The sample is bounded: about ``texts`` distinct texts a language, chosen by a hash, all
+    of them if the language has no more; at most ``characters`` of each and ``letters``
+    together. Copies of a text count once. Rows without a language or without a letter
+    teach nothing.
     """
-    rows = labelled.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    digest = F.xxhash64("text")
+    rows = labelled.select("lang", "text").where("lang IS NOT NULL AND text RLIKE r'\\p{L}'")
+    distinct = rows.select("lang", digest.alias("digest")).distinct()
+    counts = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, min(1.0, texts / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    taken = rows.where(draw < share * (1 << 30)).select(
-        "lang", draw.alias("draw"), F.substring("text", 1, characters).alias("text")
-    )
+    drawn = rows.where(F.shiftrightunsigned(digest, 11) < share * float(1 << 53))
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            new = []
+            for row in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                new.append(row not in seen)
+                seen.add(row)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    # Copies go in the tasks, then those of different tasks.
+    taken = drawn.select("lang", digest.alias("draw"), F.substring("text", 1, characters).alias("text"))
+    taken = taken.mapInArrow(run, taken.schema).dropDuplicates(["lang", "draw"])
     found: dict[str, str] = {}
     for row in sorted(taken.collect()):  # a bounded sample
         if any(c.isalpha() for c in row.text):

@@ -245,3 +245,16 @@ def test_language_of_hard_rows(hard, hard_rows, nothing):
     assert op10.learn(nothing) == {}
     assert {r.lang_pred for r in op10.identify(hard, {}).collect()} == {"und"}
     assert op10.identify(nothing, learnt).count() == 0
+
+
+def test_language_sample_is_of_distinct_texts(spark):
+    """However many copies there are, a language of few texts is learned from all of them."""
+    rows = [("xx", f"wort{i:02d} {chr(97 + i % 26) * 9}") for i in range(10) for _ in range(300)]
+    rows += [("yy", f"text number {i} of many") for i in range(500)]
+    rows += [("yy", "a hot text " * 40)] * 3000 + [("zz", "123 !"), (None, "no language")]
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(5)
+    learnt = op10.learn(frame)
+    assert set(learnt) == {"xx", "yy"}
+    assert all(learnt["xx"].count(f"wort{i:02d}") == 1 for i in range(10))
+    assert 30 < learnt["yy"].count("text number") < 100
+    assert learnt["yy"].count("a hot text") in (0, 40)
