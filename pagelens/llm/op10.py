@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from pagelens.llm.shared import fold, table
 
-#: Bounds of the labelled sample: letters a language, texts a language, characters a text.
+#: Bounds of the labelled sample: letters a language, texts a language. A run of other
+#: characters counts as one letter.
 SAMPLE_LETTERS = 20_000
 SAMPLE_TEXTS = 64
-SAMPLE_CHARACTERS = 2000
+#: Letters of a piece of a text that is too long to be taken whole.
+PIECE = 100
 #: Letters that have a symbol of their own, the most frequent of the sample. The rest share one.
 ALPHABET = 250
 STRIP = 2048
@@ -127,18 +129,42 @@ def reader(samples: tuple[str, ...]) -> Reader:
     return Reader(samples)
 
 
+def letters_of(text: str) -> str:
+    """The text with any run of characters that are no letters as one space."""
+    return " ".join("".join(c if c.isalpha() else " " for c in text).split())
+
+
+def spread(text: str, size: int) -> str:
+    """The text if it has at most ``size`` letters, or so many from all over it, in pieces."""
+    if len(text) <= size:
+        return text
+    pieces = max(1, size // (PIECE + 1))
+    own = max(1, (size + 1) // pieces - 1)  # a space between
+    # From the first letter to the last, at equal distances.
+    room = len(text) - own
+    starts = [room * i // (pieces - 1) for i in range(pieces)] if pieces > 1 else [room // 2]
+    return " ".join(text[at : at + own] for at in starts)[:size]
+
+
+def equal_parts(texts: list[str], size: int) -> str:
+    """A sample of ``size`` letters: an equal part of each text; short ones leave theirs over."""
+    left, parts = size, {}
+    by_length = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    for n, i in enumerate(by_length):
+        parts[i] = spread(texts[i], max(1, left // (len(texts) - n) - 1))
+        left -= len(parts[i]) + 1
+    return " ".join(parts[i] for i in range(len(texts)))
+
+
 def learn(
-    labelled: DataFrame,
-    letters: int = SAMPLE_LETTERS,
-    texts: int = SAMPLE_TEXTS,
-    characters: int = SAMPLE_CHARACTERS,
+    labelled: DataFrame, letters: int = SAMPLE_LETTERS, texts: int = SAMPLE_TEXTS
 ) -> dict[str, str]:
     """Sample text of each language of ``labelled(text, lang)``.
 
     The sample is bounded: about ``texts`` distinct texts a language, chosen by a hash, all
-    of them if the language has no more; at most ``characters`` of each and ``letters``
-    together. Copies of a text count once. Rows without a language or without a letter
-    teach nothing.
+    of them if the language has no more; together ``letters``, an equal part of each text,
+    from its beginning to its end. Copies of a text count once. Rows without a language or
+    without a letter teach nothing.
     """
     digest = F.xxhash64("text")
     rows = labelled.select("lang", "text").where("lang IS NOT NULL AND text RLIKE r'\\p{L}'")
@@ -158,16 +184,18 @@ def learn(
             for row in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 new.append(row not in seen)
                 seen.add(row)
-            yield batch.filter(pa.array(new, pa.bool_()))
+            batch = batch.filter(pa.array(new, pa.bool_()))
+            found = [spread(letters_of(t), letters) for t in batch.column(2).to_pylist()]
+            yield batch.set_column(2, "text", pa.array(found, pa.string()))
 
     # Copies go in the tasks, then those of different tasks.
-    taken = drawn.select("lang", digest.alias("draw"), F.substring("text", 1, characters).alias("text"))
+    taken = drawn.select("lang", digest.alias("draw"), "text")
     taken = taken.mapInArrow(run, taken.schema).dropDuplicates(["lang", "draw"])
-    found: dict[str, str] = {}
-    for row in sorted(taken.collect()):  # a bounded sample
-        if any(c.isalpha() for c in row.text):
-            found[row.lang] = (found.get(row.lang, "") + " " + row.text)[:letters]
-    return found
+    found: dict[str, list[str]] = {}
+    for row in sorted(taken.collect()):  # about ``texts`` rows of ``letters`` a language
+        if row.text:
+            found.setdefault(row.lang, []).append(row.text)
+    return {lang: equal_parts(own, letters) for lang, own in found.items()}
 
 
 def answers(texts: list[str | None], samples: dict[str, str]) -> tuple[list[str], list[float]]:

@@ -249,12 +249,34 @@ def test_language_of_hard_rows(hard, hard_rows, nothing):
 
 def test_language_sample_is_of_distinct_texts(spark):
     """However many copies there are, a language of few texts is learned from all of them."""
-    rows = [("xx", f"wort{i:02d} {chr(97 + i % 26) * 9}") for i in range(10) for _ in range(300)]
-    rows += [("yy", f"text number {i} of many") for i in range(500)]
+    rows = [("xx", f"wort{chr(97 + i)} {chr(97 + i) * 9}") for i in range(10) for _ in range(300)]
+    rows += [("yy", f"text number {'i' * i} of many") for i in range(500)]
     rows += [("yy", "a hot text " * 40)] * 3000 + [("zz", "123 !"), (None, "no language")]
     frame = spark.createDataFrame(rows, "lang string, text string").repartition(5)
     learnt = op10.learn(frame)
     assert set(learnt) == {"xx", "yy"}
-    assert all(learnt["xx"].count(f"wort{i:02d}") == 1 for i in range(10))
+    assert all(learnt["xx"].count(f"wort{chr(97 + i)}") == 1 for i in range(10))
     assert 30 < learnt["yy"].count("text number") < 100
-    assert learnt["yy"].count("a hot text") in (0, 40)
+    assert learnt["yy"].count("a hot text") <= 40
+
+
+def test_language_sample_has_a_part_of_every_text(spark):
+    """Equal parts, from the beginning to the end of a text, within the bound."""
+    rows = [("xx", "boilerplate, again! " * 300 + f"{chr(97 + i) * 3} " * 3000) for i in range(20)]
+    rows += [("xx", "tiny one"), ("yy", "short"), ("ww", "a1b22c " * 20_000)]
+    learnt = op10.learn(spark.createDataFrame(rows, "lang string, text string"))
+    parts = [learnt["xx"].count(chr(97 + i) * 3) for i in range(20)]
+    assert min(parts) > 0 and max(parts) <= min(parts) + 30
+    assert "boilerplate again" in learnt["xx"] and "tiny one" in learnt["xx"]
+    assert 19_000 < len(learnt["xx"]) <= op10.SAMPLE_LETTERS
+    assert 19_000 < len(learnt["ww"]) <= op10.SAMPLE_LETTERS and learnt["yy"] == "short"
+
+
+def test_pieces_are_spread():
+    text = "".join(chr(0x4E00 + i) for i in range(5000))
+    for size in (1, 50, 100, 101, 202, 999, 4999, 5000):
+        got = op10.spread(text, size)
+        assert 0.9 * size <= len(got) <= size
+        if size >= 202:
+            assert got[0] == text[0] and text[-2] in got
+    assert op10.equal_parts(["abc", "d" * 50, "e" * 50], 44) == "abc " + "d" * 19 + " " + "e" * 19
