@@ -29,9 +29,12 @@ SAMPLE_LETTERS = 20_000
 SAMPLE_TEXTS = 64
 #: Letters of a piece of a text that is too long to be taken whole.
 PIECE = 100
-#: Letters that have a symbol of their own, the most frequent of the sample. The rest share one.
+#: Letters with a column in the table, the most frequent of the sample. Arcs of its other
+#: letters are a sorted list. Letters that no sample holds share a symbol.
 ALPHABET = 250
 STRIP = 2048
+#: Strips that are read side by side.
+LANES = 4096
 #: Texts that are read side by side.
 TOGETHER = 2000
 UNKNOWN = "und"
@@ -43,18 +46,26 @@ class Reader:
 
     def __init__(self, samples: tuple[str, ...]):
         seen = Counter(c for text in samples for c in text.lower() if c.isalpha())
-        ranked = sorted(seen, key=lambda c: (-seen[c], c))[:ALPHABET]
+        ranked = sorted(seen, key=lambda c: (-seen[c], c))
         own = {c: i + 2 for i, c in enumerate(ranked)}
-        # 0: not a letter, 1: a letter without a symbol of its own.
-        self.symbols = np.zeros(0x110000, np.uint8)
+        # 0: not a letter, 1: a letter that no sample holds.
+        self.kinds = len(ranked) + 2
+        self.symbols = np.zeros(0x110000, np.min_scalar_type(self.kinds - 1))
         for point in range(0x110000):
             c = chr(point)
             if c.isalpha():
                 self.symbols[point] = own.get(c.lower()[:1], 1)
-        self.width = len(ranked) + 2
-        tables = [self._table(self.encode(text)) for text in samples]
+        self.width = min(len(ranked), ALPHABET) + 2
+        rare: dict[int, int] = {}
+        tables, before = [], 0
+        for text in samples:
+            tables.append(self._table(self.encode(text), before, rare))
+            before += len(tables[-1]) // self.width
+        self.rare = np.array(sorted(rare), np.int64)
+        self.rare_steps = np.array([rare[k] for k in self.rare.tolist()], np.int64)
         self.base = np.cumsum([0, *(len(t) for t in tables[:-1])])[:, None]
         self.table = np.concatenate(tables)
+        self.first = self.base // self.width
         self.fresh = np.array([len(t) // self.width - 1 for t in tables])[:, None]
 
     def encode(self, text: str) -> np.ndarray:
@@ -65,8 +76,12 @@ class Reader:
         keep[1:] |= symbols[:-1] > 0
         return symbols[keep]
 
-    def _table(self, text: np.ndarray) -> np.ndarray:
-        """Twice the next state, plus 1 where a phrase starts, for each state and symbol."""
+    def _table(self, text: np.ndarray, before: int, rare: dict[int, int]) -> np.ndarray:
+        """Twice the next state, plus 1 where a phrase starts, for each state and symbol.
+
+        Arcs of symbols without a column go to ``rare``, by the state's place behind
+        ``before`` others and the symbol.
+        """
         links, lengths, arcs = [-1], [0], [{}]
         last = 0
         for c in text.tolist():
@@ -97,31 +112,56 @@ class Reader:
         fresh = len(arcs)
         start = np.full(self.width, 2 * fresh + 1, np.int32)
         for c, to in arcs[0].items():
-            start[c] = 2 * to + 1
+            if c < self.width:
+                start[c] = 2 * to + 1
         out = np.tile(start, (fresh + 1, 1))
         for state, own in enumerate(arcs):
             for c, to in own.items():
-                out[state, c] = 2 * to
+                if c < self.width:
+                    out[state, c] = 2 * to
+                else:
+                    rare[(before + state) * self.kinds + c] = 2 * to
         return out.ravel()
 
+    def _rare_step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The same for symbols without a column; a failing step starts from the root."""
+        step = np.broadcast_to(2 * self.fresh + 1, states.shape).copy()
+        for at, starts in ((np.zeros_like(states), 1), (states, 0)):
+            keys = (self.first + at) * self.kinds + symbols
+            place = np.minimum(np.searchsorted(self.rare, keys), len(self.rare) - 1)
+            known = self.rare[place] == keys
+            step[known] = self.rare_steps[place[known]] + starts
+        return step
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text in each language, a row a text."""
         strips = [(i, t[at : at + STRIP]) for i, t in enumerate(texts) for at in range(0, len(t), STRIP)]
         strips.sort(key=lambda s: -len(s[1]))
-        lengths = np.array([len(s[1]) for s in strips])
-        grid = np.zeros((STRIP, len(strips)), np.uint8)
-        for lane, (_, symbols) in enumerate(strips):
+        out = np.zeros((len(texts), len(self.base)), np.int64)
+        for low in range(0, len(strips), LANES):
+            some = strips[low : low + LANES]
+            np.add.at(out, [s[0] for s in some], self._counts([s[1] for s in some]).T)
+        return out
+
+    def _counts(self, strips: list[np.ndarray]) -> np.ndarray:
+        """Phrases of strips, the longest first, a column a strip."""
+        lengths = np.array([len(s) for s in strips])
+        grid = np.zeros((lengths[0], len(strips)), self.symbols.dtype)
+        for lane, symbols in enumerate(strips):
             grid[: len(symbols), lane] = symbols
         states = np.repeat(self.fresh, len(strips), axis=1)
         counts = np.zeros(states.shape, np.int32)
-        for t in range(lengths[0] if len(strips) else 0):
+        for t in range(lengths[0]):
             live = np.searchsorted(-lengths, -t)  # strips longer than t
-            step = self.table[self.base + states[:, :live] * self.width + grid[t, :live]]
+            now = grid[t, :live].astype(np.int64)
+            step = self.table[self.base + states[:, :live] * self.width + np.minimum(now, self.width - 1)]
+            if len(self.rare):
+                lanes = np.flatnonzero(now >= self.width)
+                if len(lanes):
+                    step[:, lanes] = self._rare_step(states[:, lanes], now[lanes])
             states[:, :live] = step >> 1
             counts[:, :live] += step & 1
-        out = np.zeros((len(texts), len(self.base)), np.int64)
-        np.add.at(out, [s[0] for s in strips], counts.T)
-        return out
+        return counts
 
 
 @lru_cache(maxsize=2)

@@ -280,3 +280,37 @@ def test_pieces_are_spread():
         if size >= 202:
             assert got[0] == text[0] and text[-2] in got
     assert op10.equal_parts(["abc", "d" * 50, "e" * 50], 44) == "abc " + "d" * 19 + " " + "e" * 19
+
+
+@pytest.mark.parametrize("alphabet", [op10.ALPHABET, 3, 0])
+def test_every_letter_of_a_sample_is_its_own(monkeypatch, alphabet):
+    """Phrases of large alphabets are those of the letters themselves."""
+    monkeypatch.setattr(op10, "ALPHABET", alphabet)
+    monkeypatch.setattr(op10, "LANES", 7, raising=False)
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(900)] + list("abcd")
+    lines = ["".join(rng.choice(letters) for _ in range(12)) for _ in range(150)]
+    samples = (" ".join(lines[:70]), " ".join(lines[70:140]), "abcd " * 20)
+    own = op10.Reader(samples)
+    texts = ["".join(rng.choice([*lines, "一丁", "ж", "abcda", " "]) for _ in range(30)) for _ in range(40)]
+    coded = [own.encode(t) for t in [*texts, ""]]
+    got = own.phrases(coded).tolist()
+    plain = [[s.tolist() for s in map(own.encode, samples)], [t.tolist() for t in coded]]
+    text_of = lambda symbols: "".join(chr(0x4E00 + c) for c in symbols)
+    for text, counts in zip(plain[1], got, strict=True):
+        assert counts == [brute_phrases(text_of(s), text_of(text)) for s in plain[0]]
+    # Letters that no sample holds share a symbol; all others differ.
+    assert len({int(own.encode(c)[0]) for c in set("".join(samples)) - {" "}}) == len(
+        set("".join(samples)) - {" "}
+    )
+    assert own.encode("ж")[0] == own.encode("ю")[0] == 1
+
+
+def test_large_alphabets_are_told_apart():
+    """Texts of rare letters alone; the samples' 250 most frequent letters are shared."""
+    common = "".join(chr(0x1200 + i) for i in range(600) if chr(0x1200 + i).isalpha())[:250] * 3
+    rare = {x: "".join(chr(at + i) for i in range(1500)) for x, at in (("ko", 0xAC00), ("zh", 0x4E00))}
+    samples = {x: common + letters for x, letters in rare.items()}
+    texts = [rare[x][i * 25 : i * 25 + 30] for i in range(50) for x in ("zh", "ko")]
+    names, _ = op10.answers(texts, samples)
+    assert names == ["zh", "ko"] * 50
