@@ -6,10 +6,11 @@ the tree. What it shares is not written again. A node is one turn: its token ids
 template, the position of its first token in the conversation, and the intervals of the
 sequence that its tokens attend to besides themselves, which are those of its ancestors.
 
-A sequence holds a bounded number of conversations next to each other in that order. A
-tree that is larger, such as one below a very common first turn, goes on in the next
-sequence, which writes the shared turns once more; no task holds a tree. Equal
-conversations are one path, however many there are.
+A sequence holds a bounded number of conversations next to each other in that order, and
+whole trees where they fit. Only a tree that is larger, such as one below a very common
+first turn, goes on in the next sequence, which writes the shared turns once more: a
+shared turn is written once a sequence. Such a tree is cut where the fewest turns are
+shared; no task holds it. Equal conversations are one path, however many there are.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 LEARNT_ROLE = "assistant"
 #: The most conversations of a sequence.
 CONVERSATIONS = 64
+#: Bytes of a turn's digest in a path.
+DIGEST = 8
 
 OPENING = re.compile(r"[<\[|\\]")
 ESCAPED = re.compile(r"([<\[|\\])\\|\\n")
@@ -81,7 +84,7 @@ def _chains(conversations: DataFrame) -> DataFrame:
                 data = [s.encode("utf-8", "surrogatepass") for s in (role, text)]
                 turn = hashlib.blake2b(b"%d:" % len(data[0]) + data[0] + data[1], digest_size=16)
                 chain = hashlib.blake2b(chain + turn.digest(), digest_size=16).digest()
-                own.append(turn.digest()[:8])
+                own.append(turn.digest()[:DIGEST])
                 chains.append(chain)
                 places.append(place)
                 place += 1
@@ -147,25 +150,61 @@ def _paths(turns: DataFrame) -> DataFrame:
     )
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    """Bytes of the turns that two paths begin with."""
+    n = 0
+    while n < len(a) and a[n : n + DIGEST] == b[n : n + DIGEST]:
+        n += DIGEST
+    return n
+
+
 def _sequences(paths: DataFrame, conversations: int) -> DataFrame:
-    """``(leaf, sequence_id, nth)``: distinct paths in depth-first order, cut into sequences."""
+    """``(leaf, sequence_id, nth)``: distinct paths in depth-first order, cut into sequences.
+
+    Of the places at which a sequence may end, it ends at the last that shares the fewest
+    turns; between two trees none are shared.
+    """
 
     def run(batches):
-        base, seen = TaskContext.get().partitionId() << 40, 0
-        for batch in batches:
-            places = range(seen, seen + batch.num_rows)
-            seen += batch.num_rows
-            yield pa.RecordBatch.from_pydict(
+        sequence, last = TaskContext.get().partitionId() << 40, b""
+        waiting, found = [], []  # leaves with what they share with the one before
+
+        def end(size):
+            nonlocal sequence
+            found.extend((leaf, sequence, nth) for nth, (leaf, _) in enumerate(waiting[:size]))
+            del waiting[:size]
+            sequence += 1
+
+        def rows():
+            out = list(zip(*found, strict=True)) or [(), (), ()]
+            found.clear()
+            return pa.RecordBatch.from_pydict(
                 {
-                    "leaf": batch.column(0),
-                    "sequence_id": pa.array([base + p // conversations for p in places], pa.int64()),
-                    "nth": pa.array([p % conversations for p in places], pa.int32()),
+                    "leaf": pa.array(out[0], pa.binary()),
+                    "sequence_id": pa.array(out[1], pa.int64()),
+                    "nth": pa.array(out[2], pa.int32()),
                 }
             )
 
-    distinct = paths.select("leaf", "path").distinct()
-    ordered = distinct.repartitionByRange("path").sortWithinPartitions("path")
-    return ordered.select("leaf").mapInArrow(run, "leaf binary, sequence_id long, nth int")
+        for batch in batches:
+            for leaf, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                waiting.append((leaf, _shared(last, path)))
+                last = path
+                if len(waiting) > conversations:
+                    end(min(range(1, len(waiting)), key=lambda i: (waiting[i][1], -i)))
+            yield rows()
+        end(len(waiting))
+        yield rows()
+
+    distinct = paths.select("leaf", "path", F.substring("path", 1, DIGEST).alias("root")).distinct()
+    distinct = store(distinct, "distinct-paths")
+    # A tree that fits stays in one range; a larger one may be dealt to several.
+    large = distinct.groupBy("root").count().where(F.col("count") > conversations)
+    placed = distinct.join(large, "root", "left").select(
+        "leaf", "path", F.when(F.col("count").isNull(), F.col("root")).otherwise(F.col("path")).alias("range")
+    )
+    ordered = placed.repartitionByRange("range").sortWithinPartitions("path")
+    return ordered.select("leaf", "path").mapInArrow(run, "leaf binary, sequence_id long, nth int")
 
 
 NODE = (

@@ -104,3 +104,41 @@ def test_no_conversations(spark):
     frame = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     nodes, leaves = op6.format_chats(frame)
     assert nodes.count() == 0 and op6.read_back(nodes, leaves).count() == 0
+
+
+@pytest.mark.parametrize("merged", ["true", "false"])
+def test_trees_that_fit_are_not_cut(spark, merged):
+    """Trees of 1 to 4 conversations and a large one, in sequences of 4 at most."""
+    rows, conv = [], 0
+    for tree, size in [(t, 1 + t % 4) for t in range(60)] + [("large", 50)]:
+        for n in range(size):
+            turns = [f"root {tree}"] + [f"group {n // 3}"] * (tree == "large") + [f"end {n}"]
+            rows += [(conv, k, "user", text) for k, text in enumerate(turns)]
+            conv += 1
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    option = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(option)
+    spark.conf.set(option, merged)
+    try:
+        nodes, leaves = op6.format_chats(frame, in_sequence=4)
+        nodes = nodes.collect()
+        assert leaves.count() == conv
+    finally:
+        spark.conf.set(option, before)
+    roots = defaultdict(set)
+    ends = defaultdict(int)
+    for node in nodes:
+        ends[node.sequence_id] += node.ends
+        if node.parent < 0:
+            roots[node.chain].add(node.sequence_id)
+    written = sorted(map(len, roots.values()))
+    assert written[:-1] == [1] * 60 and 13 <= written[-1] <= 25
+    assert max(ends.values()) <= 4 and sum(ends.values()) == conv
+    # Below the large root, groups of 3 are whole but where tasks' ranges meet.
+    groups = defaultdict(set)
+    for node in nodes:
+        if node.depth == 1 and not node.ends:
+            groups[node.chain].add(node.sequence_id)
+    assert len(groups) == 17
+    if merged == "true":
+        assert all(len(own) == 1 for own in groups.values())
