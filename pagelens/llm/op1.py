@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.llm.shared import store, table
+from pagelens.llm.shared import free_name, row_key, store, table
 
 #: Bytes of a block. Most texts are one block; a text of a gigabyte takes 18 rounds.
 BLOCK_BYTES = 4096
@@ -201,15 +201,16 @@ def exact_copies(
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one of equal rows."""
-    key = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), 256)
-    keyed = docs.withColumn("_copy_key", key)
-    kept = exact_copies(keyed, ("_copy_key",)).where("kept").select("_copy_key")
-    return (
-        keyed.join(store(kept, "kept"), "_copy_key", "left_semi")
-        .dropDuplicates(["_copy_key"])
-        .drop("_copy_key")
-    )
+    """The rows of ``docs(doc_id, text)`` that stay, with all their columns.
+
+    One row of each group of equal texts stays, as ``exact_copies`` says, nulls and empty
+    texts included; of rows with the same doc_id and text, one. Other columns pass through,
+    whatever their names; an empty table gives no rows.
+    """
+    key = free_name(docs, "copy_key")
+    keyed = docs.withColumn(key, row_key())
+    kept = exact_copies(keyed.select("doc_id", "text", key), (key,)).where("kept").select(key)
+    return keyed.join(store(kept, "kept"), key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import connected_components, forest, store, table
+from pagelens.llm.shared import connected_components, forest, free_name, row_key, store, table
 from pagelens.llm.tokens import Memo
 
 WORDS = 5
@@ -338,11 +338,6 @@ def _links(nodes: DataFrame, docs: DataFrame, k: int, short: int) -> DataFrame:
     return links.union(_block_links(apart.where(F.col("count") > short), texts))
 
 
-def row_key() -> Column:
-    """A digest of doc_id and text, by which a row is found again."""
-    return F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text")).alias("row_key")
-
-
 def near_copies(docs: DataFrame, k: int = SKETCH, short: int = SHORT) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: the component of near-duplicates it is in.
 
@@ -356,7 +351,7 @@ def near_copies(docs: DataFrame, k: int = SKETCH, short: int = SHORT) -> DataFra
     * Very long texts are read whole. An empty table gives no rows.
     * Other columns are ignored, whatever their names.
     """
-    rows = docs.select("doc_id", "text", row_key())
+    rows = docs.select("doc_id", "text", row_key().alias("row_key"))
     sketches = _sketches(rows.withColumn("rid", F.monotonically_increasing_id()), k)
     sketches = store(sketches, "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
@@ -387,14 +382,16 @@ def near_copies(docs: DataFrame, k: int = SKETCH, short: int = SHORT) -> DataFra
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one of repeated rows."""
-    kept = store(near_copies(docs).where("kept").select("row_key").distinct(), "kept")
-    return (
-        docs.withColumn("_row_key", row_key())
-        .join(kept.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_semi")
-        .dropDuplicates(["_row_key"])
-        .drop("_row_key")
-    )
+    """The rows of ``docs(doc_id, text)`` that stay, with all their columns.
+
+    One row of each component stays, as ``near_copies`` says, and all texts without words;
+    of rows with the same doc_id and text, one. Other columns pass through, whatever their
+    names; an empty table gives no rows.
+    """
+    key = free_name(docs, "row_key")
+    kept = near_copies(docs).where("kept").select(F.col("row_key").alias(key)).distinct()
+    keyed = docs.withColumn(key, row_key())
+    return keyed.join(store(kept, "kept"), key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,27 @@ def fold(key: Column, parts: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % parts, F.lit(0))
 
 
+def row_key() -> Column:
+    """A digest of doc_id and text, by which a row is found again.
+
+    Each part is written with its length, a null as a mark of its own, so that different
+    rows never spell the same.
+    """
+    spelt = []
+    for part in (F.col("doc_id").cast("string"), F.col("text")):
+        size = F.octet_length(part).cast("string")
+        spelt += [F.coalesce(F.concat(size, F.lit(":")), F.lit("-")), F.coalesce(part, F.lit(""))]
+    return F.sha2(F.concat(*spelt), 256)
+
+
+def free_name(frame: DataFrame, stem: str) -> str:
+    """A column name that ``frame`` does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def forest(pairs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Of the pairs, some that join the same nodes; fewer than nodes."""
     parent: dict[int, int] = {}

@@ -6,7 +6,10 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 #: Column names that operators use inside, here with contents of their own.
-CLASHES = ("rid", "name", "level", "score", "node", "component", "ids", "count", "sketch", "bin")
+CLASHES = (
+    *("rid", "name", "level", "score", "node", "component", "ids", "count", "sketch", "bin"),
+    *("copy_key", "row_key", "_copy_key", "_row_key"),
+)
 
 WORDS = ["alpha", "Beta", "gamma,", "delta", "épsilon", "zeta", "Eta.", "theta", "iota", "kappa"]
 
@@ -45,6 +48,13 @@ def hard_rows() -> list[tuple]:
         (11, "x" * 20_000),
         (12, "İſK É ß <|endoftext|> \x1c\x85  中文 😀"),
         (13, "!!! ??? 123"),
+        # Rows that read the same where null and the border of a column are not marked.
+        (None, "14|abc def"),
+        (14, "abc def"),
+        (None, "15"),
+        (15, None),
+        (None, "2:16"),
+        (16, ""),
     ]
     return [(i, t, "en" if n % 2 else None) for n, (i, t) in enumerate(rows)]
 

@@ -241,7 +241,7 @@ def test_language_of_hard_rows(hard, hard_rows, nothing):
     assert unknown == {4, 5, 6, 13}
     assert {r.score for r in rows} == {0.0, 1.0}
     kept = op10.keep_identified(hard, learnt)
-    assert kept.columns == hard.columns and kept.count() == len(hard_rows) - 5
+    assert kept.columns == hard.columns and kept.count() == len(hard_rows) - 9
     assert op10.learn(nothing) == {}
     assert {r.lang_pred for r in op10.identify(hard, {}).collect()} == {"und"}
     assert op10.identify(nothing, learnt).count() == 0
