@@ -28,10 +28,10 @@ LEAST = 3
 #: Ranks of a group's terms.
 TOP = 200
 #: Bytes of the first level's prefixes; each level doubles them.
-FIRST = 3
+FIRST = 4
 SCALE = 1_000_000_000
 #: Bytes of text whose terms are numbered together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 #: Sources of a language, and about how many terms, that meet in one group.
 SOURCES, TERMS = 64, 4096
 #: Bytes of terms: A-Z as a-z, those of other letters as they are, all else as a space.
@@ -42,9 +42,9 @@ BYTES = bytes(
 STOP = b"\0"
 
 
-def terms_of(text: str | None) -> list[bytes]:
-    """Terms of a text, A-Z lowered, in UTF-8."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(BYTES).split()
+def terms_of(text: bytes | None) -> list[bytes]:
+    """Terms of a text in UTF-8, A-Z lowered."""
+    return (text or b"").translate(BYTES).split()
 
 
 class _Numbers(dict):
@@ -59,36 +59,36 @@ class _Chunk:
     def __init__(self):
         self.numbers, self.ids, self.sources = _Numbers(), [], []
 
-    def add(self, source: str, text: str | None) -> None:
+    def add(self, source: str, text: bytes | None) -> None:
         found = terms_of(text)
-        self.ids.append(
-            np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
-        )
+        self.ids.append(np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found)))
         self.sources.append(source)
 
     def row(self, lang: str) -> pa.RecordBatch:
         """The terms in order, and by document which of them it holds how often."""
         terms = sorted(self.numbers)
         rank = np.empty(len(terms), np.int64)
-        rank[[self.numbers[t] for t in terms]] = np.arange(len(terms))
+        rank[np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms))] = np.arange(
+            len(terms)
+        )
         width = max(1, len(terms))
         docs = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.ids])
         pair, times = np.unique(docs * width + rank[np.concatenate(self.ids)], return_counts=True)
-        packed = {
-            "lang": [lang],
-            "sources": pa.array([self.sources], pa.list_(pa.string())),
-            "terms": pa.array([terms], pa.list_(pa.binary())),
-            "doc": pa.array([pair // width], pa.list_(pa.int32())),
-            "term": pa.array([pair % width], pa.list_(pa.int32())),
-            "times": pa.array([times], pa.list_(pa.int64())),
-        }
-        return pa.RecordBatch.from_pydict(packed)
+        # Packed, so that a row is a few long values for Spark. No text has 2^31 terms.
+        numbers = (np.bincount(pair // width, minlength=len(self.ids)), pair % width, times)
+        packed = (STOP.join(terms), *(x.astype(np.int32).tobytes() for x in numbers))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([lang], pa.string()),
+                pa.array([self.sources], pa.list_(pa.string())),
+                *(pa.array([x], pa.binary()) for x in packed),
+            ],
+            ["lang", "sources", *PACKED],
+        )
 
 
-BAGS = (
-    "lang string, sources array<string>, terms array<binary>, doc array<int>, term array<int>, "
-    "times array<bigint>"
-)
+#: Of a bag: the terms, how many of them each document holds, which, and how often.
+PACKED = ("terms", "sizes", "term", "times")
 
 
 def _bags(docs: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
@@ -98,25 +98,33 @@ def _bags(docs: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
         chunks: dict[str, _Chunk] = {}
         held = 0
         for batch in batches:
-            columns = (c.to_pylist() for c in batch.columns)
-            for lang, source, text in zip(*columns, strict=True):
+            langs, sources = (batch.column(i).to_pylist() for i in (0, 1))
+            for lang, source, text in zip(langs, sources, batch.column(2), strict=True):
+                text = text.as_buffer()
+                text = text and text.to_pybytes()
                 chunks.setdefault(lang, _Chunk()).add(source, text)
-                held += len(text or "") + 1
+                held += len(text or b"") + 1
                 if held >= chunk:
                     yield from (chunks[x].row(x) for x in sorted(chunks))
                     chunks, held = {}, 0
         yield from (chunks[x].row(x) for x in sorted(chunks))
 
-    return docs.select("lang", "source", "text").mapInArrow(run, BAGS)
+    schema = "lang string, sources array<string>, " + ", ".join(f"{c} binary" for c in PACKED)
+    return docs.select("lang", "source", "text").mapInArrow(run, schema)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """``(lang, sources, terms, doc, term, times)`` of each row; arrays of numbers in numpy."""
+    """``(lang, terms, doc, term, rest)`` of each row of ``lang, terms, sizes, term`` and more.
+
+    ``doc`` and ``term`` are parallel arrays, in order; ``rest`` are the other columns' values.
+    """
     for batch in batches:
         for i in range(batch.num_rows):
-            lang, *columns = (c[i] for c in batch.columns)
-            sources, terms, *numbers = (c.values for c in columns)
-            yield lang.as_py(), sources, terms, *(x.to_numpy() for x in numbers)
+            lang, terms, sizes, term, *rest = (c[i] for c in batch.columns)
+            terms = terms.as_py()
+            terms = pa.array(terms.split(STOP) if terms else [], pa.binary())
+            sizes, term = (np.frombuffer(x.as_py(), np.int32) for x in (sizes, term))
+            yield lang.as_py(), terms, np.repeat(np.arange(len(sizes)), sizes), term, rest
 
 
 def _keys(lang: str, parts: pa.Array) -> Iterator[bytes]:
@@ -141,7 +149,7 @@ def _level(bags: DataFrame, length: int, before: int, going: blooms.Blocked | No
     """
 
     def run(batches):
-        for lang, _, terms, doc, term, _ in _rows(batches):
+        for lang, terms, doc, term, _ in _rows(batches):
             if going is not None and len(terms):
                 last = _prefixes(terms, before)
                 wanted = going.may_hold(_keys(lang, last))
@@ -170,7 +178,8 @@ def _level(bags: DataFrame, length: int, before: int, going: blooms.Blocked | No
             )
 
     # A document is in one row, so the rows' counts add up to distinct documents.
-    found = bags.mapInArrow(run, "lang string, prefix binary, docs long")
+    read = bags.select("lang", "terms", "sizes", "term")
+    found = read.mapInArrow(run, "lang string, prefix binary, docs long")
     return found.groupBy("lang", "prefix").agg(F.sum("docs").alias("docs"))
 
 
@@ -199,18 +208,22 @@ def _refined(bags: DataFrame, least: int) -> DataFrame:
 
 
 def _cells(bags: DataFrame, kept: DataFrame) -> DataFrame:
-    """``(lang, source, term, n)``: occurrences of kept terms by group, where there are any."""
+    """``(lang, term, source, n, whole)``: occurrences of kept terms, by group and in all.
+
+    Groups that do not hold a term have no row.
+    """
     wanted = _filter(kept, "term", kept.count())
 
     def run(batches):
-        for lang, sources, terms, doc, term, times in _rows(batches):
+        for lang, terms, doc, term, (times, sources) in _rows(batches):
             if not len(terms):
                 continue
+            times = np.frombuffer(times.as_py(), np.int32).astype(np.int64)
             may = wanted.may_hold(_keys(lang, terms))
             stays = may[term]
             if not stays.any():
                 continue
-            named = sources.dictionary_encode()
+            named = sources.values.dictionary_encode()
             source = named.indices.to_numpy()[doc[stays]].astype(np.int64)
             code = source * len(terms) + term[stays]
             order = np.argsort(code, kind="stable")
@@ -226,17 +239,25 @@ def _cells(bags: DataFrame, kept: DataFrame) -> DataFrame:
                 }
             )
 
-    found = bags.mapInArrow(run, "lang string, source string, term binary, n long")
-    found = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    read = bags.select("lang", "terms", "sizes", "term", "times", "sources")
+    found = read.mapInArrow(run, "lang string, source string, term binary, n long")
+    # Chunks are summed already. A term's groups meet in one place for all that follows.
+    found = found.repartition("lang", "term")
+    found = found.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"))
     # The filter lets some strangers pass.
-    return found.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    found = found.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    whole = F.sum("n").over(Window.partitionBy("lang", "term"))
+    return found.withColumn("whole", whole)
 
 
 def _share(count: Column, total: Column, kinds: Column) -> Column:
     """1 + floor(SCALE * (count + 1) / (total + kinds)), in exact arithmetic."""
-    above = F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")
-    below = F.greatest(total + kinds, F.lit(1)).cast("decimal(20,0)")
-    return F.call_function("div", above, below) + 1
+    above, below = count + 1, F.greatest(total + kinds, F.lit(1))
+    divided = lambda kind: F.call_function(
+        "div", F.lit(SCALE).cast(kind) * above.cast(kind), below.cast(kind)
+    )
+    # The product fits a long if the divisor, which is not smaller, is below 2^33.
+    return F.when(below < 1 << 33, divided("long")).otherwise(divided("decimal(19,0)")) + 1
 
 
 def _divergence(p: Column, q: Column) -> Column:
@@ -248,7 +269,7 @@ def _unit(key: tuple, rows: pa.Table, width: int) -> pa.Table:
 
     The rows without a term give each source's share of a term that it does not hold.
     """
-    lang, low, high, _ = (k.as_py() for k in key)
+    _, lang, low, high = (k.as_py() for k in key)
     names = rows["term"].combine_chunks().dictionary_encode()
     term, at = names.indices.to_numpy(), rows["at"].to_numpy()
     p = rows["p"].to_numpy()
@@ -301,7 +322,7 @@ def _pairs(groups: DataFrame, cells: DataFrame, width: int, terms: int) -> DataF
         "lang", F.least(own, "partner").alias("low"), F.greatest(own, "partner").alias("high"),
         "part", "term", "at", "p",
     )
-    units = rows.groupBy("lang", "low", "high", "part").applyInArrow(
+    units = rows.groupBy("part", "lang", "low", "high").applyInArrow(
         lambda key, unit: _unit(key, unit, width),
         "lang string, at long, other long, value long, seen long",
     )
@@ -374,8 +395,7 @@ def audit(
     none = _share(F.lit(0), F.col("total"), F.col("kinds")).alias("none")
     groups = store(groups.select("*", none), "groups")
 
-    whole = F.sum("n").over(Window.partitionBy("lang", "term"))  # one row a source
-    found = cells.withColumn("whole", whole).join(groups, ["lang", "source"]).select(
+    found = cells.join(groups, ["lang", "source"]).select(
         "lang", "source", "at", "blocks", "term",
         _share(F.col("n"), F.col("total"), F.col("kinds")).alias("p"),
         _share(F.col("whole"), F.col("all"), F.col("kinds")).alias("q"),
