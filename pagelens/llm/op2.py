@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import pyarrow as pa
@@ -25,8 +25,6 @@ from pagelens.llm.tokens import BYTE_CHARACTERS, PLAIN, Memo, default_path
 PRE_TOKEN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
-#: Bits of a position in a queue entry; a pre-token may be longer than any text here.
-PLACE = 40
 
 
 class Codec:
@@ -37,11 +35,6 @@ class Codec:
             stored = json.load(file)
         vocabulary = stored["model"]["vocab"]
         self.alphabet = [vocabulary[BYTE_CHARACTERS[b]] for b in range(256)]
-        # A merge's key is its two ids, its value its rank and the id it makes.
-        self.merges = {
-            vocabulary[a] << 32 | vocabulary[b]: rank << 32 | vocabulary[a + b]
-            for rank, (a, b) in enumerate(stored["model"]["merges"])
-        }
         byte_of = {c: b for b, c in BYTE_CHARACTERS.items()}
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
         known = {**vocabulary, **self.special}
@@ -49,51 +42,60 @@ class Codec:
         for token, i in known.items():
             plain = all(c in byte_of for c in token)
             self.strings[i] = bytes(byte_of[c] for c in token) if plain else token.encode()
+        # By its left id, a merge's right id and rank; by rank, the id that it makes.
+        nothing: dict[int, int] = {}
+        self.ranks = [nothing] * len(self.strings)
+        self.made = []
         # One object for each id, however often it is in a memo.
-        self.numbers = list(range(len(self.strings)))
+        numbers = list(range(len(self.strings)))
+        for rank, (a, b) in enumerate(stored["model"]["merges"]):
+            left = vocabulary[a]
+            if self.ranks[left] is nothing:
+                self.ranks[left] = {}
+            self.ranks[left][vocabulary[b]] = rank
+            self.made.append(numbers[vocabulary[a + b]])
         longest = sorted(self.special, key=len, reverse=True)
         found = "|".join(map(regex.escape, longest))
         self.cut = regex.compile(f"({found})") if found else None
+        self.decimals = [b"%d" % i for i in numbers]
         self.words = Memo(self.merge)
         self.chunks = Memo(self._chunk)
+        self.spelt = Memo(self._spelt)
 
     def merge(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
-        symbols = [self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]
+        alphabet, ranks, made = self.alphabet, self.ranks, self.made
+        symbols = [alphabet[b] for b in word.encode("utf-8", "surrogatepass")]
         size = len(symbols)
         if size < 2:
             return tuple(symbols)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        merges = self.merges.get
+        # An entry is a rank and, among equal ranks, a place from the left.
         queue = []
         for i in range(size - 1):
-            made = merges(symbols[i] << 32 | symbols[i + 1])
-            if made is not None:
-                queue.append((made >> 32) << PLACE | i)
+            rank = ranks[symbols[i]].get(symbols[i + 1])
+            if rank is not None:
+                queue.append(rank * size + i)
         heapq.heapify(queue)
+        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            entry = heapq.heappop(queue)
-            i = entry & ((1 << PLACE) - 1)
-            right = after[i]
-            if symbols[i] < 0 or right >= size:
-                continue
-            made = merges(symbols[i] << 32 | symbols[right])
-            if made is None or made >> 32 != entry >> PLACE:
+            rank, i = divmod(pop(queue), size)
+            own, right = symbols[i], after[i]
+            if own is None or right >= size or ranks[own].get(symbols[right]) != rank:
                 continue  # stale: the pair here is another by now
-            symbols[i], symbols[right] = made & 0xFFFFFFFF, -1
+            symbols[i], symbols[right] = own, _ = made[rank], None
             follows = after[i] = after[right]
             if follows < size:
                 before[follows] = i
-                made = merges(symbols[i] << 32 | symbols[follows])
-                if made is not None:
-                    heapq.heappush(queue, (made >> 32) << PLACE | i)
+                rank = ranks[own].get(symbols[follows])
+                if rank is not None:
+                    push(queue, rank * size + i)
             left = before[i]
             if left >= 0:
-                made = merges(symbols[left] << 32 | symbols[i])
-                if made is not None:
-                    heapq.heappush(queue, (made >> 32) << PLACE | left)
-        numbers = self.numbers
-        return tuple(numbers[s] for s in symbols if s >= 0)
+                rank = ranks[symbols[left]].get(own)
+                if rank is not None:
+                    push(queue, rank * size + left)
+        return tuple([s for s in symbols if s is not None])
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         plain = PLAIN.fullmatch(chunk)
@@ -117,9 +119,28 @@ class Codec:
             ids += found
         return ids
 
+    def _spelt(self, chunk: str) -> tuple[int, bytes, bytes]:
+        ids = self._chunk(chunk)
+        return len(ids), b",".join([self.decimals[i] for i in ids]), self.joined(ids)
+
+    def spell(self, text: str) -> tuple[int, bytes, bytes]:
+        """Number of a text's ids, the ids in decimals joined by commas, and their bytes.
+
+        All three of a text are those of its chunks, one after the other.
+        """
+        found = list(map(self.spelt.__getitem__, CHUNK.findall(text)))
+        if not found:
+            return 0, b"", b""
+        counts, decimals, strings = zip(*found, strict=True)
+        return sum(counts), b",".join(decimals), b"".join(strings)
+
+    def joined(self, ids: Iterable[int]) -> bytes:
+        """The ids' vocabulary strings, one after the other."""
+        return b"".join(map(self.strings.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
         """Text of the ids, special tokens included; bytes that are no UTF-8 are replaced."""
-        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+        return self.joined(ids).decode("utf-8", "replace")
 
 
 @cache
@@ -130,10 +151,10 @@ def codec(path: str) -> Codec:
 def transcode(
     docs: DataFrame, derive: Callable, schema: str, path: str | None = None
 ) -> DataFrame:
-    """``doc_id`` of each row of ``docs(doc_id, text)`` and what ``derive`` makes of its ids.
+    """``doc_id`` of each row of ``docs(doc_id, text)`` and what ``derive`` makes of its text.
 
-    ``derive(codec, ids)`` gets the ids of some texts and returns columns by name, as
-    ``schema`` names them. Ids that nobody asks for never leave the task.
+    ``derive(codec, texts)`` gets some texts and returns columns by name, as ``schema``
+    names them. Ids that nobody asks for never leave the task.
 
     * A null text counts as empty and has no ids. An empty table gives no rows.
     * Very long texts are encoded whole; so is a very long word, in time n log n.
@@ -147,17 +168,16 @@ def transcode(
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
-                ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), **derive(own, ids)})
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), **derive(own, texts)})
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``(doc_id, ids)`` for each row of ``docs(doc_id, text)``, as ``transcode`` has them."""
-    return transcode(
-        docs, lambda _, ids: {"ids": pa.array(ids, pa.list_(pa.int32()))}, "ids array<int>", path
-    )
+    ids = lambda own, texts: pa.array(map(own.encode, texts), pa.list_(pa.int32()))
+    return transcode(docs, lambda own, texts: {"ids": ids(own, texts)}, "ids array<int>", path)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -180,13 +200,19 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     )
 
 
-def digests(own: Codec, ids: list[list[int]]) -> dict[str, pa.Array]:
+def digests(own: Codec, texts: list[str]) -> dict[str, pa.Array]:
     """Number of ids, and SHA-256 of the ids and of the text decoded from them."""
-    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    counts, ids, decoded = [], [], []
+    for text in texts:
+        count, decimals, data = own.spell(text)
+        counts.append(count)
+        ids.append(hashlib.sha256(decimals).hexdigest())
+        whole = data.decode("utf-8", "replace").encode()
+        decoded.append(hashlib.sha256(whole).hexdigest())
     return {
-        "n_tokens": pa.array(map(len, ids), pa.int64()),
-        "ids_sha256": pa.array([sha(",".join(map(str, i))) for i in ids], pa.string()),
-        "decoded_sha256": pa.array([sha(own.decode(i)) for i in ids], pa.string()),
+        "n_tokens": pa.array(counts, pa.int64()),
+        "ids_sha256": pa.array(ids, pa.string()),
+        "decoded_sha256": pa.array(decoded, pa.string()),
     }
 
 
