@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelens.llm.shared import store, table
-from pagelens.llm.tokens import default_path, packed_ids
+from pagelens.llm.tokens import default_path, packed_ids_of_many
 
 WINDOW = 2048
 #: Remainders are grouped by length in steps of so many tokens; at most three steps pad.
@@ -32,6 +33,8 @@ QUANTUM = 8
 #: Pieces of a group that is packed greedily in one task.
 GROUP = 2000
 END_ID = 1
+#: Characters of texts that are encoded together.
+TOGETHER = 8 << 20
 
 PIECE = (
     "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, "
@@ -39,21 +42,31 @@ PIECE = (
 )
 
 
+def _together(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about ``TOGETHER`` characters."""
+    low = size = 0
+    for high, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= TOGETHER or high == len(texts):
+            yield low, high
+            low, size = high, 0
+
+
 def _pieces(docs: DataFrame, path: str, end_id: int, window: int, quantum: int) -> DataFrame:
     """Windows and remainders of each text; ``place`` counts a task's remainders of a bin."""
     end = end_id.to_bytes(4, "little")
     schema = PIECE.format(id=docs.schema["doc_id"].dataType.simpleString())
 
     def run(batches):
-        encode = packed_ids(path)
+        encode = packed_ids_of_many(path)
         task = TaskContext.get().partitionId()
         seen = [0] * (window // quantum + 2)
         for batch in batches:
-            texts, docs_of = batch.column(1).to_pylist(), batch.column(0)
-            for low in range(0, len(texts), 500):
+            texts, docs_of = [t or "" for t in batch.column(1).to_pylist()], batch.column(0)
+            for low, high in _together(texts):
                 out = {name: [] for name in ("row", "start", "ids", "tokens", "bin", "place")}
-                for row, text in enumerate(texts[low : low + 500], low):
-                    data = encode(text or "") + end
+                for row, data in enumerate(encode(texts[low:high]), low):
+                    data += end
                     for at in range(0, len(data), 4 * window):
                         ids = data[at : at + 4 * window]
                         size = len(ids) // 4

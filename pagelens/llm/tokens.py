@@ -13,12 +13,14 @@ import re
 from collections.abc import Callable, Iterable
 from functools import cache, partial
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 from pagelens.llm.shared import CHUNK
 
-#: Entries of a generation of a memo; two are about 60 MB.
-MEMO_ENTRIES = 120_000
+#: Entries of a generation of a memo; two are about 100 MB.
+MEMO_ENTRIES = 200_000
 
 
 @cache
@@ -86,26 +88,26 @@ def _byte_characters() -> dict[int, str]:
 BYTE_CHARACTERS = _byte_characters()
 
 
-def _pack(ids: Iterable[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
-
-
 def _chunk_encoder(path: str) -> Callable[[str], bytes]:
     """Ids of a chunk as little-endian 32-bit numbers."""
     tokenizer = library(path)
     model = tokenizer.model
+    packed = [i.to_bytes(4, "little") for i in range(max(tokenizer.get_vocab().values()) + 1)]
     lowers = tokenizer.normalizer is not None
 
     def word(text: str) -> bytes:
-        symbols = text.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        return _pack(t.id for t in model.tokenize(symbols))
+        # ASCII letters stand for themselves.
+        if not (text.isascii() and text.isalpha()):
+            text = text.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return b"".join([packed[t.id] for t in model.tokenize(text)])
 
     words = Memo(word)
 
     def make(chunk: str) -> bytes:
         plain = PLAIN.fullmatch(chunk)
         if not plain:
-            return _pack(tokenizer.encode(chunk, add_special_tokens=False).ids)
+            ids = tokenizer.encode(chunk, add_special_tokens=False).ids
+            return b"".join([packed[i] for i in ids])
         body, tail = plain.groups()
         if lowers:
             body = body.strip(" ").lower()
@@ -143,6 +145,77 @@ def packed_ids(path: str) -> Callable[[str], bytes]:
     return encode
 
 
+#: White space of ASCII as a space, all other bytes as they are.
+SPACED = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+
+
+def word_codes(texts: list[bytes], table: bytes) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words of texts, each with a space behind it, as codes; and the texts they are in.
+
+    ``table`` says what each byte becomes; words are what stands between spaces then.
+    """
+    data = np.frombuffer(b" ".join(texts).translate(table) + b" ", np.uint8)
+    inside = data != 32
+    starts, ends = inside.copy(), ~inside
+    starts[1:] &= ~inside[:-1]
+    ends[0], ends[1:] = False, ends[1:] & inside[:-1]
+    # Of the spaces, the one behind a word stays.
+    packed = data[inside | ends]
+    starts = np.flatnonzero(starts)
+    offsets = np.append(0, np.cumsum(np.flatnonzero(ends) + 1 - starts))
+    words = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(packed)]
+    )
+    borders = np.cumsum([len(t) + 1 for t in texts])
+    return words.dictionary_encode(), np.searchsorted(borders, starts, side="right")
+
+
+@cache
+def _word_memo(path: str) -> Memo:
+    """By a word in UTF-8 and the space behind it."""
+    make = _chunk_encoder(path)
+    return Memo(lambda word: make(word[:-1].decode()))
+
+
+def packed_ids_of_many(path: str) -> Callable[[list[str]], list[bytes]]:
+    """``packed_ids`` for many texts at once: each word they share is looked up once."""
+    one, memo = packed_ids(path), _word_memo(path)
+    if library(path).normalizer is None:
+        return lambda texts: list(map(one, texts))
+    added = [t.content for t in library(path).get_added_tokens_decoder().values()]
+
+    def lowered(text: str) -> bytes | None:
+        """The text with case dropped and plain spaces; None if that would change its ids."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return None
+        low = text.lower()
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+            low = low.replace("\x85", " ").replace("\xa0", " ")
+        return None if any(t in low for t in added) else low.encode()
+
+    def encode(texts: list[str]) -> list[bytes]:
+        low = list(map(lowered, texts))
+        words, owner = word_codes([t or b"" for t in low], SPACED)
+        known = list(map(memo.__getitem__, words.dictionary.to_pylist()))
+        flat = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.array([len(x) // 4 for x in known], np.int64)
+        codes = words.indices.to_numpy()
+        own = sizes[codes]
+        ends = np.cumsum(own)
+        # Each word's ids, one after the other.
+        first = (np.cumsum(sizes) - sizes)[codes] - (ends - own)
+        stream = flat[np.repeat(first, own) + np.arange(len(first) and ends[-1])].tobytes()
+        borders = np.append(0, ends)[np.searchsorted(owner, np.arange(len(texts) + 1))] * 4
+        found = [stream[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
+        return [x if t is not None else one(y) for x, t, y in zip(found, low, texts, strict=True)]
+
+    return encode
+
+
 @cache
 def _count_memo(path: str) -> Memo:
     make = _chunk_encoder(path)

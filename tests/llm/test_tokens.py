@@ -12,7 +12,15 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pagelens.llm import op2, op5, op9
-from pagelens.llm.tokens import Memo, default_path, ids_of, library, packed_ids, token_counts
+from pagelens.llm.tokens import (
+    Memo,
+    default_path,
+    ids_of,
+    library,
+    packed_ids,
+    packed_ids_of_many,
+    token_counts,
+)
 
 BYTE, WORD, PIECE = map(
     default_path, ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model")
@@ -35,13 +43,24 @@ def test_packed_ids_are_the_librarys(text):
         assert token_counts(path)([text]) == [len(want)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(texts, max_size=6))
+def test_packed_ids_of_many_are_those_of_each(given):
+    for path in (BYTE, WORD):
+        assert packed_ids_of_many(path)(given) == list(map(packed_ids(path), given))
+
+
 @settings(max_examples=400, deadline=None)
 @given(texts)
 def test_codec_is_the_librarys(text):
     own, lib = op2.codec(BYTE), library(BYTE)
     want = lib.encode(text, add_special_tokens=False).ids
     assert own.encode(text) == want
-    assert own.decode(want) == lib.decode(want, skip_special_tokens=False)
+    decoded = lib.decode(want, skip_special_tokens=False)
+    assert own.decode(want) == decoded
+    count, decimals, data = own.spell(text)
+    assert (count, decimals.decode()) == (len(want), ",".join(map(str, want)))
+    assert data.decode("utf-8", "replace") == decoded
 
 
 @settings(max_examples=100, deadline=None)
