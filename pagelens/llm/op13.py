@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from pagelens.llm import blooms
 from pagelens.llm.shared import store, table
+from pagelens.llm.tokens import word_codes
 
 #: Documents of a language that a kept term is in, at least.
 LEAST = 3
@@ -42,41 +43,29 @@ BYTES = bytes(
 STOP = b"\0"
 
 
-def terms_of(text: bytes | None) -> list[bytes]:
-    """Terms of a text in UTF-8, A-Z lowered."""
-    return (text or b"").translate(BYTES).split()
-
-
-class _Numbers(dict):
-    def __missing__(self, key):
-        self[key] = number = len(self)
-        return number
-
-
 class _Chunk:
-    """Documents of one language, their terms numbered."""
+    """Documents of one language."""
 
     def __init__(self):
-        self.numbers, self.ids, self.sources = _Numbers(), [], []
+        self.texts, self.sources = [], []
 
     def add(self, source: str, text: bytes | None) -> None:
-        found = terms_of(text)
-        self.ids.append(np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found)))
+        self.texts.append(text or b"")
         self.sources.append(source)
 
     def row(self, lang: str) -> pa.RecordBatch:
         """The terms in order, and by document which of them it holds how often."""
-        terms = sorted(self.numbers)
-        rank = np.empty(len(terms), np.int64)
-        rank[np.fromiter(map(self.numbers.__getitem__, terms), np.int64, len(terms))] = np.arange(
-            len(terms)
-        )
-        width = max(1, len(terms))
-        docs = np.repeat(np.arange(len(self.ids)), [len(x) for x in self.ids])
-        pair, times = np.unique(docs * width + rank[np.concatenate(self.ids)], return_counts=True)
+        terms, docs = word_codes(self.texts, BYTES)
+        order = pc.array_sort_indices(terms.dictionary)  # a space stands before all letters
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        width = max(1, len(order))
+        code = docs * width + rank[terms.indices.to_numpy()]
+        pair, times = np.unique(code, return_counts=True)
+        names = b"".join(terms.dictionary.take(order).to_pylist()).replace(b" ", STOP)
         # Packed, so that a row is a few long values for Spark. No text has 2^31 terms.
-        numbers = (np.bincount(pair // width, minlength=len(self.ids)), pair % width, times)
-        packed = (STOP.join(terms), *(x.astype(np.int32).tobytes() for x in numbers))
+        numbers = (np.bincount(pair // width, minlength=len(self.texts)), pair % width, times)
+        packed = (names[:-1], *(x.astype(np.int32).tobytes() for x in numbers))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([lang], pa.string()),
