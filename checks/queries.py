@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelens import schemas
 from pagelens.functions.text import clean, ngrams, normalise_text, tokens
-from pagelens.functions.urls import registered_domain
+from pagelens.functions.urls import normalise_url, registered_domain
 from pagelens.operators import evaluate, frontier, summary
 from pagelens.operators import model as fitting
 from pagelens.operators.classify import classify, similarities, term_weights, with_boost_index
@@ -433,6 +433,13 @@ def classify_pages_tables(spark, sf):
     )
 
 
+def classify_pages_pruned(spark, sf):
+    """The table form, without the categories that cannot be a page's best."""
+    model = language_model(spark, inline=False)
+    signals = extract_signals(pages(spark, sf))
+    return classify(signals, model, prune=True).select("page_id", "url", "category", "confidence")
+
+
 def classify_fetches(spark, sf):
     return categorise_fetches(fetched(spark, sf), language_model(spark)).select(
         "url", "status", "category", "confidence"
@@ -583,6 +590,47 @@ def full_run_tables(spark, sf):
     return _full_run(spark, sf, language_model(spark, inline=False))
 
 
+def fetched_twice(spark, sf) -> DataFrame:
+    """Each page fetched twice, once with a slash behind its URL and at another time.
+
+    By its URL's length a page fails a day later, which counts, or failed a day earlier.
+    """
+    once = fetched(spark, sf)
+    late = F.length("url") % 3 == 0
+    day = F.expr("INTERVAL 1 DAY")
+    again = once.select(
+        F.concat("url", F.lit("/")).alias("url"),
+        "final_url",
+        F.lit(500).alias("http_code"),
+        "content_type",
+        "failure",
+        "failure_text",
+        "html",
+        F.when(late, F.col("crawled_at") + day).otherwise(F.col("crawled_at") - day).alias("crawled_at"),
+    )
+    return again.unionByName(once)
+
+
+def run_repeats(spark, sf):
+    """What becomes of URLs that were fetched twice, read from files of fetches."""
+    path, source = scratch_path(spark, "run"), scratch_path(spark, "fetch-files")
+    fetched_twice(spark, sf).repartition(6).write.parquet(source)
+    fetches = tables.read_fetches(spark, source)
+    state = run(url_lines(spark, sf), fetches, language_model(spark), path)
+    return state.where("list IN ('completed', 'failed')").select("list", "url")
+
+
+def stream_repeats(spark, sf):
+    """The same of a stream whose batches hold both fetches of a URL."""
+    path, source = scratch_path(spark, "stream"), scratch_path(spark, "fetch-files")
+    twice = fetched_twice(spark, sf)
+    twice.repartition(6, normalise_url(F.col("url"))).write.parquet(source)
+    stream = _fetch_stream(spark, source)
+    model = language_model(spark)
+    streams.drain(stream_runs.run_stream(stream, model, f"{path}/out", f"{path}/checkpoint"))
+    return stream_runs.stream_outcomes(spark, f"{path}/out").select("list", "url")
+
+
 # Streams, over several files and batches
 
 
@@ -725,6 +773,9 @@ QUERIES = {
         json_manifest,
         config_scan,
         full_run,
+        run_repeats,
+        stream_repeats,
+        classify_pages_pruned,
         full_run_tables,
         stream_classify,
         stream_classify_tables,

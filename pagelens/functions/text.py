@@ -115,13 +115,14 @@ def _folded(value: Column) -> Column:
 
 
 def _expanded(char: Column) -> Column:
-    """What a character becomes that becomes several.
+    """What a character of the expanding ranges becomes; many of them stay as they are.
 
     They are spread over buckets by code point, since a map is searched end to end.
     """
     rules = folding()
     buckets = F.from_json(F.lit(rules.wide), "array<map<string,string>>")
     found = F.try_element_at(F.get(buckets, F.ascii(char) % rules.buckets), char)
+    found = F.coalesce(found, char)
     return F.when(char.between(HANGUL_FIRST, HANGUL_LAST), _hangul_parts(char)).otherwise(found)
 
 

@@ -27,17 +27,27 @@ class Folding(NamedTuple):
     target: str  # what they become, in the same order
     wide: str  # JSON of buckets of characters that become several, Hangul apart
     buckets: int
-    expanding: str  # pattern of one character that becomes several
+    expanding: str  # pattern of a few ranges that hold all characters that become several
 
 
-def _ranges(chars: list[str]) -> str:
-    """The characters, ascending, as the inside of a pattern's class."""
+#: A pattern tries a class range by range at every character, so there are few.
+RANGES = 20
+
+
+def _ranges(chars: list[str], most: int = RANGES) -> str:
+    """Ranges that hold the characters, ascending, as the inside of a pattern's class.
+
+    Where there would be too many, gaps that are small for where they lie are closed: low
+    code points hold the alphabets that texts use most, so gaps count by proportion.
+    """
+    codes = list(map(ord, chars))
+    gaps = sorted((b / a, a) for a, b in zip(codes, codes[1:], strict=False) if b - a > 1)
+    split = {a for _, a in gaps[max(0, len(gaps) - most + 1) :]}
     out: list[list[int]] = []
-    for code in map(ord, chars):
-        if out and out[-1][1] == code - 1:
-            out[-1][1] = code
-        else:
+    for code, last in zip(codes, [None, *codes], strict=False):
+        if last is None or last in split:
             out.append([code, code])
+        out[-1][1] = code
     return "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in out)
 
 
@@ -71,7 +81,7 @@ def folding(buckets: int = 256) -> Folding:
         "".join(single.values()),
         json.dumps(spread, ensure_ascii=False),
         buckets,
-        f"[{_ranges(sorted(wide))}{HANGUL_FIRST}-{HANGUL_LAST}]",
+        f"[{_ranges(sorted([*wide, *map(chr, range(ord(HANGUL_FIRST), ord(HANGUL_LAST) + 1))]))}]",
     )
 
 

@@ -24,8 +24,12 @@ from pagelens.operators.model import (
     inline_bucket,
     sublinear,
 )
+from pagelens.operators.pruning import pruned_similarities
 from pagelens.sources.tables import store
 
+#: With more categories, those that cannot be a page's best are not scored.
+PRUNED_CATEGORIES = 64
+
 
 # Row-local form
 
@@ -186,10 +190,17 @@ def classify(
     model: CategoryModel,
     text_col: str = "combined_text",
     url_col: str = "url",
+    prune: bool | None = None,
 ) -> DataFrame:
-    """Add ``category`` and ``confidence`` to every page, whatever the model's size."""
+    """Add ``category`` and ``confidence`` to every page, whatever the model's size.
+
+    ``prune`` says whether the table form leaves out categories that cannot be a page's
+    best; by default it does with more than ``PRUNED_CATEGORIES``. Answers are the same.
+    """
     if model.inline is None:
-        return _classify_tables(pages, model, text_col, url_col)
+        if prune is None:
+            prune = model.category_rows > PRUNED_CATEGORIES
+        return _classify_tables(pages, model, text_col, url_col, prune)
 
     boosted = with_boost_index(pages, model, url_col).withColumn(
         "_scores",
@@ -262,15 +273,13 @@ def table_similarities(weights: DataFrame, model: CategoryModel, key: str) -> Da
 
 
 def _classify_tables(
-    pages: DataFrame, model: CategoryModel, text_col: str, url_col: str
+    pages: DataFrame, model: CategoryModel, text_col: str, url_col: str, prune: bool
 ) -> DataFrame:
     key = "_row"
     pages = store(pages.withColumn(key, F.monotonically_increasing_id()), "pages")
     # Blank pages need no filter here: they have no terms, and a boost of theirs
     # is overruled at the end. Only the first of these two reads the text.
-    parts = table_similarities(
-        _table_weights(pages.select(key, F.col(text_col).alias("text")), model, key), model, key
-    ).withColumn("boosted", F.lit(False))
+    weights = _table_weights(pages.select(key, F.col(text_col).alias("text")), model, key)
     # A boost counts even for a page that shares no term with the category.
     boosts = (
         with_boost_index(pages.select(key, F.col(url_col).alias("url")), model, "url")
@@ -282,8 +291,12 @@ def _classify_tables(
             F.lit(True).alias("boosted"),
         )
     )
+    if prune:
+        parts = pruned_similarities(weights, model, key, boosts)
+    else:
+        parts = table_similarities(weights, model, key)
     scores = (
-        parts.unionByName(boosts)
+        parts.withColumn("boosted", F.lit(False)).unionByName(boosts)
         .groupBy(key, "cat_idx")
         .agg(F.sum("part").alias("score"), F.bool_or("boosted").alias("boosted"))
         .withColumn(

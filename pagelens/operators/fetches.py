@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.operators.signals import extract_signals
@@ -60,3 +60,18 @@ def normalise_outcomes(fetches: DataFrame) -> DataFrame:
 def page_results(fetches: DataFrame) -> DataFrame:
     """Outcomes with signals; an error row's signals are blank."""
     return extract_signals(normalise_outcomes(fetches))
+
+
+def one_per_url(results: DataFrame) -> DataFrame:
+    """One result of each URL, whatever the order of the rows.
+
+    The latest by ``crawled_at`` stays, a missing time being the earliest; of equally late
+    ones a success, then the one whose content has the smallest digest. Each task keeps one
+    row a URL before the shuffle, so a URL that was fetched very often is no hot key.
+    """
+    content = F.xxhash64(*[c for c in results.columns if c != "url"])
+    latest = Window.partitionBy("url").orderBy(
+        F.desc_nulls_last("crawled_at"), F.desc(F.col("status") == SUCCESS), content
+    )
+    ranked = results.withColumn("_place", F.row_number().over(latest))
+    return ranked.where("_place = 1").drop("_place")

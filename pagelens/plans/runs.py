@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelens.functions.urls import normalise_url
 from pagelens.operators import frontier
 from pagelens.operators.classify import classify
-from pagelens.operators.fetches import page_results
+from pagelens.operators.fetches import one_per_url, page_results
 from pagelens.operators.model import CategoryModel
 from pagelens.operators.signals import extract_signals
 from pagelens.schemas import RESULT_COLUMNS
@@ -43,10 +43,15 @@ def queue_lines(
     return begun, frontier.load_counters(parsed, seen)
 
 
+def url_bytes(urls: DataFrame) -> int | None:
+    """About how many bytes the URLs are; null if there are none."""
+    return urls.agg(F.sum(F.octet_length("url") + 16).alias("bytes")).first()["bytes"]
+
+
 def results_for(
     fetches: DataFrame, pending: DataFrame, model: CategoryModel, pending_bytes: int
 ) -> DataFrame:
-    """Results of the fetches whose URL, normalised, is pending.
+    """One result for each pending URL that was fetched, as ``one_per_url`` chooses it.
 
     A queue of counted, broadcast size picks its fetches in the scan. A larger
     one is joined to the results, so that the shuffle carries short texts and not
@@ -57,8 +62,9 @@ def results_for(
     urls = pending.select("url").distinct()
     if pending_bytes <= BROADCAST_BYTES:
         wanted = fetches.join(F.broadcast(urls), "url", "left_semi")
-        return categorise_fetches(wanted, model)
-    return categorise_fetches(fetches, model).join(urls, "url")
+        return one_per_url(categorise_fetches(wanted, model))
+    # Both need the results by URL, so there is one shuffle.
+    return one_per_url(categorise_fetches(fetches, model).join(urls, "url"))
 
 
 def run(
@@ -82,7 +88,7 @@ def run(
     counters.write.mode("overwrite").json(f"{path}/counters")
     begun = tables.read_queue(spark, f"{path}/queue_before")
     pending = begun.filter("list = 'pending'")
-    size = pending.agg(F.sum(F.octet_length("url") + 16).alias("bytes")).first()["bytes"]
+    size = url_bytes(pending)
     if size is None:
         raise ValueError("no valid URLs to process")
 

@@ -15,8 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pagelens.functions.urls import is_valid_url, normalise_url
 from pagelens.operators import frontier
 from pagelens.operators.model import CategoryModel
-from pagelens.plans.runs import categorise_fetches, categorise_pages
-from pagelens.sources import sinks
+from pagelens.plans.runs import categorise_pages, results_for, url_bytes
+from pagelens.sources import sinks, tables
 
 OUTCOMES = "list string, url string, batch long"
 COUNTERS = "status string, n long, batch long"
@@ -56,8 +56,12 @@ def run_stream(
     """Categorise a stream of fetches below ``path`` until the input is used up.
 
     A URL is dealt with once: not if a stored ``state`` has seen it, nor if an earlier batch
-    has its outcome. Started again with the same checkpoint the run goes on behind the
-    last finished batch.
+    has its outcome. Fetched several times within a batch, it has one result, chosen as in
+    a batch run. Started again with the same checkpoint the run goes on behind the last
+    finished batch.
+
+    The URLs to deal with are found first, from the URLs alone; a batch's HTML is read and
+    not shuffled.
     """
     spark = fetches.sparkSession
     # So that the first batch has outcomes to look at.
@@ -70,10 +74,10 @@ def run_stream(
         done = stream_outcomes(session, path).where(F.col("batch") < batch_id).select("url")
         if state is not None:
             done = done.union(state.where("list = 'seen'").select("url"))
-        fresh = batch.withColumn("url", normalise_url(F.col("url")))
-        fresh = fresh.where(is_valid_url(F.col("url"))).dropDuplicates(["url"])
-        fresh = fresh.join(done.distinct(), "url", "left_anti")
-        found = categorise_fetches(fresh, model)
+        urls = batch.select(normalise_url(F.col("url")).alias("url")).distinct()
+        urls = urls.where(is_valid_url(F.col("url"))).join(done.distinct(), "url", "left_anti")
+        fresh = tables.store(urls, "fresh-urls")
+        found = results_for(batch, fresh, model, url_bytes(fresh) or 0)
         found.write.mode("overwrite").parquet(f"{path}/results/batch={batch_id}")
         results = session.read.schema(found.schema).parquet(f"{path}/results/batch={batch_id}")
         sinks.write_report(results, f"{path}/report/batch={batch_id}")

@@ -192,3 +192,41 @@ def test_running_counts(spark, page_files, tmp_path):
     got = {r.status: r.n for r in S.latest_counts(spark, out).collect()}
     assert got == {"ERROR": 20, "SUCCESS": 40}
     assert spark.read.parquet(out).select("batch").distinct().count() >= 3
+
+
+def repeated(spark, order):
+    """A page that came late, one that failed late, one with equal times, one without any."""
+    at = [dt.datetime(2026, 1, d) for d in (1, 2, 3)]
+    rows = [
+        ("http://x.org/0", 500, at[0], 0), ("http://x.org/0/", 200, at[1], 1),
+        ("http://x.org/1/", 200, at[1], 2), ("http://x.org/1", 404, at[2], 3),
+        ("http://x.org/2", 404, at[1], 4), ("http://x.org/2/", 200, at[1], 0),
+        ("http://x.org/3", 200, None, 1), ("http://x.org/3", 404, at[0], 2),
+        *[("http://x.org/4", 200, at[0], n) for n in range(5)],
+    ]
+    rows = [
+        (url, None, code, "text/html", None, None, html(n), when) for url, code, when, n in rows
+    ]
+    return spark.createDataFrame(order(rows), schemas.FETCH).coalesce(1)
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_repeated_urls_have_one_result_in_any_order(spark, model, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr("pagelens.plans.runs.BROADCAST_BYTES", limit)
+    found = set()
+    for n, order in enumerate((list, lambda rows: rows[::-1], lambda rows: rows[3:] + rows[:3])):
+        fetched = repeated(spark, order)
+        state = run(lines(spark, range(5)), fetched, model, str(tmp_path / f"run{n}"))
+        report = sinks.read_report(spark, str(tmp_path / f"run{n}" / "report"))
+        fetched.write.parquet(str(tmp_path / f"files{n}"))
+        stream = S.read_page_stream(spark, str(tmp_path / f"files{n}"), schemas.FETCH)
+        out = str(tmp_path / f"stream{n}")
+        S.drain(R.run_stream(stream, model, out, str(tmp_path / f"checkpoint{n}")))
+        for rows in (report, R.stream_report(spark, out)):
+            found.add(tuple(sorted((r.url, r.status, r.title, r.error) for r in rows.collect())))
+        done = state.where("list IN ('completed', 'failed')").select("list", "url")
+        outcomes = R.stream_outcomes(spark, out).select("list", "url")
+        assert sorted(map(tuple, done.collect())) == sorted(map(tuple, outcomes.collect()))
+        assert done.count() == 5
+    assert len(found) == 1
+    assert [r[1] for r in next(iter(found))] == ["SUCCESS", "ERROR", "SUCCESS", "ERROR", "SUCCESS"]

@@ -9,7 +9,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
-from pagelens.functions import text
+from pagelens.functions import text, unicode_rules
 from pagelens.functions.formats import iso_timestamp
 
 
@@ -97,3 +97,17 @@ def test_iso_timestamp(spark):
     )
     row = frame.select(iso_timestamp(F.col("a")).alias("a"), iso_timestamp(F.col("b")).alias("b"))
     assert row.first() == ("2026-01-31T08:15:00.123456+00:00", "2026-01-31T08:15:00+00:00")
+
+
+def test_few_ranges_hold_all_expanding_characters():
+    """Letters of common alphabets stay outside; the pattern is tried at all of theirs."""
+    rules = unicode_rules.folding()
+    pattern = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), rules.expanding))
+    assert rules.expanding.count("-") <= unicode_rules.RANGES
+    for code in range(0x80, 0x30000):
+        char = chr(code)
+        if 0xD800 <= code <= 0xDFFF or unicodedata.combining(char):
+            continue
+        kept = [c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)]
+        assert len(kept) < 2 or pattern.match(char)
+    assert not pattern.search("éèüßñçøåœÉÑŠžαβγωабвгдЯאבגدبت中文字")
