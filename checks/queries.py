@@ -19,7 +19,7 @@ from pagelens.operators.fetches import normalise_outcomes
 from pagelens.operators.signals import extract_signals
 from pagelens.plans.runs import categorise_fetches, categorise_pages, run
 from pagelens.session import scratch_path
-from pagelens.sources import sinks, tables
+from pagelens.sources import queue_log, sinks, tables
 from pagelens.sources.categories import categories_frame, read_categories, write_categories
 from pagelens.streaming import pages as streams
 from pagelens.streaming import runs as stream_runs
@@ -279,6 +279,22 @@ def queue_round_trip(spark, sf):
     return tables.read_queue(spark, path)
 
 
+def queue_compaction(spark, sf):
+    """Two runs' changes behind a snapshot, compacted between them and folded on read."""
+    path = scratch_path(spark, "queue-log")
+    everything = pages(spark, sf).select("url", F.col("page_id").alias("seq"))
+    outcomes = normalise_outcomes(fetched(spark, sf)).select("url", "status")
+    early = F.col("url").contains("//www.")
+    queue_log.create_log(frontier.start_state(everything.where(early)), path)
+    queue_log.append_changes(
+        queue_log.run_changes(everything.where(~early), outcomes.where(early)), path, 1
+    )
+    queue_log.compact(spark, path)
+    done = outcomes.where(~early & ~F.col("url").contains("//m."))
+    queue_log.append_changes(queue_log.run_changes(everything.limit(0), done), path, 2)
+    return queue_log.read_log(spark, path)
+
+
 def queue_document(spark, sf):
     """Queue documents of the old format, one file for each sixteenth of the pages."""
     url = F.col("url")
@@ -735,6 +751,7 @@ QUERIES = {
         frontier_stats,
         queue_round_trip,
         queue_document,
+        queue_compaction,
         fetch_outcomes,
         page_signals,
         page_signals_limited,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions.urls import normalise_url
@@ -12,7 +14,7 @@ from pagelens.operators.fetches import one_per_url, page_results
 from pagelens.operators.model import CategoryModel
 from pagelens.operators.signals import extract_signals
 from pagelens.schemas import RESULT_COLUMNS
-from pagelens.sources import sinks, tables
+from pagelens.sources import queue_log, sinks, tables
 
 
 #: A queue whose URLs are that many bytes together is sent to all executors.
@@ -67,6 +69,49 @@ def results_for(
     return one_per_url(categorise_fetches(fetches, model).join(urls, "url"))
 
 
+class Steps:
+    """The steps of a run that are finished, as rows of a small table below its path.
+
+    With ``resume`` a run goes on behind them, else it starts over.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, resume: bool):
+        self.spark, self.path = spark, f"{path}/steps"
+        none = spark.createDataFrame([], "step string")
+        none.write.mode("ignore" if resume else "overwrite").parquet(self.path)
+        self.done = {r["step"] for r in spark.read.schema("step string").parquet(self.path).collect()}
+
+    def once(self, name: str, step: Callable[[], None]) -> None:
+        """Do a step unless it is finished, and then record that it is."""
+        if name not in self.done:
+            step()
+            row = self.spark.createDataFrame([(name,)], "step string").coalesce(1)
+            row.write.mode("append").parquet(self.path)
+            self.done.add(name)
+
+
+def _process(
+    steps: Steps, fetches: DataFrame, pending: DataFrame, model: CategoryModel, path: str, export: bool
+) -> DataFrame:
+    """The results of the pending URLs, written with their report and export."""
+    spark = fetches.sparkSession
+
+    def results() -> None:
+        size = url_bytes(pending)
+        if size is None:
+            raise ValueError("no valid URLs to process")
+        found = results_for(fetches, pending, model, size)
+        found.write.mode("overwrite").parquet(f"{path}/results")
+
+    steps.once("results", results)
+    schema = categorise_fetches(fetches, model).schema
+    written = spark.read.schema(schema).parquet(f"{path}/results")
+    steps.once("report", lambda: sinks.write_report(written, f"{path}/report"))
+    if export:
+        steps.once("export", lambda: sinks.write_json_export(written, f"{path}/export"))
+    return written
+
+
 def run(
     lines: DataFrame,
     fetches: DataFrame,
@@ -74,34 +119,74 @@ def run(
     path: str,
     state: DataFrame | None = None,
     json_export: bool = False,
+    resume: bool = False,
 ) -> DataFrame:
     """One run below ``path``; returns the queue state after it.
 
     Each step is written before the next reads it, so nothing is computed twice
     and a lost executor costs one step's tasks: first the queue, then the
     results, then report, export and new queue from the results table. Raises
-    when nothing is pending.
+    when nothing is pending. With ``resume``, steps that an earlier call with the same
+    path finished are not done again.
     """
     spark = fetches.sparkSession
-    begun, counters = queue_lines(lines, state)
-    tables.write_queue(begun, f"{path}/queue_before")
-    counters.write.mode("overwrite").json(f"{path}/counters")
+    steps = Steps(spark, path, resume)
+
+    def queue() -> None:
+        begun, counters = queue_lines(lines, state)
+        tables.write_queue(begun, f"{path}/queue_before")
+        counters.write.mode("overwrite").json(f"{path}/counters")
+
+    steps.once("queue", queue)
     begun = tables.read_queue(spark, f"{path}/queue_before")
     pending = begun.filter("list = 'pending'")
-    size = url_bytes(pending)
-    if size is None:
-        raise ValueError("no valid URLs to process")
-
-    computed = results_for(fetches, pending, model, size)
-    computed.write.mode("overwrite").parquet(f"{path}/results")
-    results = spark.read.schema(computed.schema).parquet(f"{path}/results")
-    sinks.write_report(results, f"{path}/report")
-    if json_export:
-        sinks.write_json_export(results, f"{path}/export")
-    tables.write_queue(frontier.advance_state(begun, results), f"{path}/queue")
+    results = _process(steps, fetches, pending, model, path, json_export)
+    after = frontier.advance_state(begun, results)
+    steps.once("state", lambda: tables.write_queue(after, f"{path}/queue"))
     return tables.read_queue(spark, f"{path}/queue")
 
 
+def run_logged(
+    lines: DataFrame,
+    fetches: DataFrame,
+    model: CategoryModel,
+    path: str,
+    log: str,
+    json_export: bool = False,
+) -> DataFrame:
+    """One run whose queue is the log at ``log``; returns the queue state after it.
+
+    Like ``run``, but it writes only what it changes: new URLs and outcomes. Called again
+    with the same ``path`` after a failure, it goes on behind the last finished step; after
+    the last one it changes nothing.
+    """
+    spark = fetches.sparkSession
+    steps = Steps(spark, path, resume=True)
+
+    def queue() -> None:
+        state = queue_log.read_log(spark, log)
+        parsed = frontier.parse_lines(lines)
+        seen = state.where("list = 'seen'")
+        fresh = frontier.new_urls(parsed, seen)
+        behind = F.coalesce(state.agg(F.max("seq") + 1).scalar(), F.lit(0))
+        fresh = fresh.select("url", (F.col("seq") + behind).alias("seq"))
+        fresh.write.mode("overwrite").parquet(f"{path}/fresh")
+        counters = frontier.load_counters(parsed, seen)
+        counters.write.mode("overwrite").json(f"{path}/counters")
+
+    steps.once("queue", queue)
+    fresh = spark.read.schema("url string, seq long").parquet(f"{path}/fresh")
+    old = queue_log.read_log(spark, log).where("list = 'pending'").select("url", "seq")
+    results = _process(steps, fetches, old.union(fresh), model, path, json_export)
+
+    def record() -> None:
+        number = queue_log.last_runs(spark, log)[0] + 1
+        queue_log.append_changes(queue_log.run_changes(fresh, results), log, number)
+
+    steps.once("log", record)
+    return queue_log.read_log(spark, log)
+
+
 def batched_results(
     results: DataFrame, queue: DataFrame, size: int = frontier.BATCH_SIZE
 ) -> DataFrame:

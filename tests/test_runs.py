@@ -11,8 +11,16 @@ from pagelens import schemas
 from pagelens.defaults import DEFAULT_CATEGORIES
 from pagelens.operators import frontier, summary
 from pagelens.operators.model import fit
-from pagelens.plans.runs import batched_results, categorise_pages, queue_lines, results_for, run
-from pagelens.sources import sinks
+from pagelens.plans.runs import (
+    Steps,
+    batched_results,
+    categorise_pages,
+    queue_lines,
+    results_for,
+    run,
+    run_logged,
+)
+from pagelens.sources import queue_log, sinks
 from pagelens.sources.categories import categories_frame
 from pagelens.streaming import pages as S
 from pagelens.streaming import runs as R
@@ -230,3 +238,100 @@ def test_repeated_urls_have_one_result_in_any_order(spark, model, tmp_path, monk
         assert done.count() == 5
     assert len(found) == 1
     assert [r[1] for r in next(iter(found))] == ["SUCCESS", "ERROR", "SUCCESS", "ERROR", "SUCCESS"]
+
+
+def folded(spark, log):
+    return sorted(map(repr, map(tuple, queue_log.read_log(spark, log).collect())))
+
+
+def written(path):
+    return sum(f.stat().st_size for f in path.rglob("*.parquet"))
+
+
+def test_the_log_folds_to_the_state_of_plain_runs(spark, model, tmp_path):
+    """Two runs; the second does what the first left, and writes its own changes only."""
+    log = str(tmp_path / "log")
+    nothing = spark.createDataFrame([], schemas.QUEUE)
+    queue_log.create_log(nothing, log)
+    state = nothing
+    for n, (numbers, count) in enumerate([(range(2000), 1500), ([0, 1, 1501, 1501, 3000], 1502)]):
+        given = (lines(spark, numbers), fetches(spark, count), model)
+        state = run(*given, str(tmp_path / f"plain{n}"), state)
+        after = run_logged(*given, str(tmp_path / f"logged{n}"), log)
+        want = sorted(map(repr, map(tuple, state.select("list", "url").collect())))
+        assert sorted(map(repr, map(tuple, after.select("list", "url").collect()))) == want
+        order = lambda frame: [
+            r.url for r in frame.where("list = 'pending'").orderBy("seq", "url").collect()
+        ]
+        assert order(after) == order(state)
+    small = written(tmp_path / "log" / "deltas" / "run=2")
+    assert small < written(tmp_path / "log" / "deltas" / "run=1") / 4
+    before = folded(spark, log)
+    queue_log.compact(spark, log)
+    assert queue_log.last_runs(spark, log) == (2, 2) and folded(spark, log) == before
+    queue_log.compact(spark, log)
+    assert folded(spark, log) == before
+
+
+def test_what_a_failure_left_in_the_log_is_not_read(spark, tmp_path):
+    log = str(tmp_path / "log")
+    state = spark.createDataFrame([("pending", "a", 1), ("seen", "a", 1)], schemas.QUEUE)
+    queue_log.create_log(state, log)
+    before = folded(spark, log)
+    results = spark.createDataFrame([("a", "SUCCESS")], "url string, status string")
+    fresh = spark.createDataFrame([("b", 2)], "url string, seq long")
+    changes = queue_log.run_changes(fresh, results)
+    for run_of in (1, 7):
+        changes.write.parquet(f"{log}/deltas/run={run_of}")
+    assert folded(spark, log) == before
+    queue_log.append_changes(changes, log, 1)
+    after = folded(spark, log)
+    assert after != before and len(after) == 4
+    with pytest.raises(ValueError, match="not behind"):
+        queue_log.append_changes(changes, log, 1)
+    queue_log.append_changes(queue_log.run_changes(fresh.limit(0), results), log, 2)
+    assert folded(spark, log) == after
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("logged", [False, True])
+def test_a_run_goes_on_behind_its_last_finished_step(spark, model, tmp_path, monkeypatch, logged):
+    """Stopped before each step in turn and started again, each step is done once."""
+    given = (lines(spark, [0, 1, 3, 9]), fetches(spark, 5), model)
+    log = str(tmp_path / "log")
+    queue_log.create_log(spark.createDataFrame([], schemas.QUEUE), log)
+
+    def go(name):
+        path = str(tmp_path / name)
+        if logged:
+            return run_logged(*given, path, log, json_export=True)
+        return run(*given, path, json_export=True, resume=True)
+
+    once, begun = Steps.once, []
+
+    def stopping(self, name, step):
+        def noted():
+            begun.append(name)
+            step()
+
+        if name not in self.done and name not in stopped:
+            stopped.append(name)
+            raise Stopped
+        once(self, name, noted)
+
+    stopped: list[str] = []
+    monkeypatch.setattr(Steps, "once", stopping)
+    for _ in range(5):
+        with pytest.raises(Stopped):
+            go("one")
+    state = go("one")
+    assert begun == ["queue", "results", "report", "export", "log" if logged else "state"]
+    assert frontier.frontier_stats(state).first().asDict() == {
+        "pending": 1, "completed": 2, "failed": 1, "total_seen": 4, "is_empty": False,
+    }
+    again = go("one")
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, state.collect()))
+    assert len(begun) == 5
