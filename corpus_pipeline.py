@@ -47,7 +47,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Four of the five stages can't be said in SQL; tests hold run() against brute force.
+#: Four of the five stages can't be said in SQL; tests hold run() against its operators, stage
+#: by stage, and those against brute force.
 ORACLE_SQL = None
 
 
