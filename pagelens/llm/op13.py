@@ -32,7 +32,7 @@ TOP = 200
 FIRST = 4
 SCALE = 1_000_000_000
 #: Bytes of text whose terms are numbered together.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Sources of a language, and about how many terms, that meet in one group.
 SOURCES, TERMS = 64, 4096
 #: Bytes of terms: A-Z as a-z, those of other letters as they are, all else as a space.
@@ -96,6 +96,7 @@ def _bags(docs: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
                 if held >= chunk:
                     yield from (chunks[x].row(x) for x in sorted(chunks))
                     chunks, held = {}, 0
+                    pa.default_memory_pool().release_unused()
         yield from (chunks[x].row(x) for x in sorted(chunks))
 
     schema = "lang string, sources array<string>, " + ", ".join(f"{c} binary" for c in PACKED)
@@ -114,6 +115,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             terms = pa.array(terms.split(STOP) if terms else [], pa.binary())
             sizes, term = (np.frombuffer(x.as_py(), np.int32) for x in (sizes, term))
             yield lang.as_py(), terms, np.repeat(np.arange(len(sizes)), sizes), term, rest
+        pa.default_memory_pool().release_unused()
 
 
 def _keys(lang: str, parts: pa.Array) -> Iterator[bytes]:
