@@ -59,7 +59,7 @@ def test_drop_copies_keeps_all_columns(hard, hard_rows):
     kept = op1.drop_copies(hard)
     assert kept.columns == hard.columns
     rows = kept.collect()
-    assert all(getattr(r, c) == c for r in rows for c in hard.columns[3:])
+    assert all(r[c] == c for r in rows for c in hard.columns[3:])
     want: dict = {}
     for i, text, _ in hard_rows:
         key = (text or "").translate(LOWER)
@@ -73,7 +73,7 @@ def test_drop_near_copies_keeps_all_columns(hard, hard_rows):
     kept = op3.drop_near_copies(hard)
     assert kept.columns == hard.columns
     rows = kept.collect()
-    assert all(getattr(r, c) == c for r in rows for c in hard.columns[3:])
+    assert all(r[c] == c for r in rows for c in hard.columns[3:])
     different = list(dict.fromkeys((i, t) for i, t, _ in hard_rows))
     sets, component = near_brute(list(enumerate(t for _, t in different)))
     order = lambda i: (i is None, i or 0)
