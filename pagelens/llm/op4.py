@@ -1,29 +1,31 @@
 """Language-model scores from a weighted backoff automaton.
 
-Word n-grams of the training documents are counted and smoothed by absolute discounting:
-an n-gram keeps its count less a constant, and what that frees goes to the shorter
-history. The histories become states. An arc carries the log-probability of a word after
-its state; a failure arc carries the freed share and leads to the shorter history, down
-to the root, which knows single words.
-
-An arc is stored as its difference from the failure path around it, and the failure
-weight of the state it leads to is added. The weight of a text's path is then the sum of
-the weights of all n-grams in the text that the model holds, in any order.
-
-All words, and all pairs and triples seen at least ``LEAST`` times, whatever the size of
-the corpus, are a table that grows with it. A task holds the frequent ones, ``SHARE`` of
-all training tokens, so at most 1 / SHARE of each length. It adds their weights itself; a
-text's other n-grams are joined with the table. What a task holds changes no score.
+Word n-grams of the training documents are counted and smoothed: after a history, a word
+has its count there and a constant number of imagined words (``PRIOR``) that are spread as
+after the shorter history. The n-grams become the states and arcs of an automaton. An arc
+carries the log-probability of a word after its state and leads to the longest history that
+the model holds; a failure arc carries the share of the imagined words and leads to the
+shorter history, down to the root, which knows single words. A text is read once from left
+to right: the traversal carries a state, follows failure arcs until there is an arc for the
+next word, and adds up what the arcs carry.
+
+The model holds every n-gram of the training documents, so it grows with them, and no task
+holds it whole. Documents are coded in chunks. Each chunk sends its distinct n-grams, as
+sorted runs of hashes with their training counts, to ranges of the hash space; a range adds
+the counts up and answers each run with the sums, in the run's order. So a chunk learns all
+that the corpus says about its own n-grams, builds the part of the automaton that its texts
+can reach, and walks them through it. An n-gram is in a chunk's run once, so that a very
+frequent one is no more than any other.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from uuid import uuid4
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,21 +33,19 @@ from pagelens.llm.shared import fold, store, table
 from pagelens.llm.tokens import Memo
 
 FOLDS, HELD_OUT = 5, 1
-ORDER = 3
-#: Pairs and triples seen less often are no arcs.
-LEAST = 2
-#: Of all training tokens: n-grams this frequent are held by every task.
-SHARE = 2e-6
-#: What an n-gram's count is lowered by.
-DISCOUNT = 0.75
-#: The same for single words; what it frees is for words never seen.
+#: Imagined words after a history of one word, and of two. Of five pairs tried on ``sf0.1``
+#: the one under which texts held out were likeliest.
+PRIOR = (300.0, 10.0)
+#: What a single word's count is lowered by; it is for words never seen.
 WORD_DISCOUNT = 0.5
 #: The end of a text as a word, and its beginning; no word holds a space.
 END, BEGIN = b" ", b"  "
-#: Tokens that a task counts, or scores, together.
+#: Tokens of a chunk, about; no text is cut.
 TOGETHER = 500_000
+#: Bytes of text whose n-grams make up a range.
+RANGE_BYTES = 8 << 20
 #: Bits by which the n-gram before the last word is turned, for pairs and triples.
-TURNS = {2: 23, 3: 10}
+TURNS = (23, 10)
 
 
 def hash_of(word: bytes) -> int:
@@ -61,39 +61,34 @@ def words_of(text: str | None) -> list[bytes]:
     return words
 
 
-def _coded(texts: list[str | None], hashes: Memo, order: int) -> tuple[np.ndarray, ...]:
-    """``(key, before, length, owner)`` of every n-gram of the texts, shortest first.
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as planes of equal bytes, without empty upper planes."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    width = 8
+    while width > 1 and not planes[width - 1].any():
+        width -= 1
+    return zstandard.compress(bytes([width]) + planes[:width].tobytes(), 1)
 
-    A key is the key of the n-gram without its last word, ``before``, turned, XOR the key
-    of the one without its first; so each of the three follows from the other two. The
-    beginning of a text has length 0. ``owner`` is the place of the text.
-    """
-    flat, sizes = [], []
-    begin = hashes[BEGIN]
-    for text in texts:
-        own = list(map(hashes.__getitem__, words_of(text)))
-        flat.append(begin)
-        flat += own
-        sizes.append(len(own) + 1)
-    keys = np.array(flat, np.int64).view(np.uint64)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    ends = np.cumsum(sizes)
-    place = np.arange(len(keys)) - np.repeat(ends - sizes, sizes)
-    parts = [(keys, np.zeros_like(keys), np.minimum(place, 1), owner)]
-    for n in range(2, order + 1):
-        inside = place[n - 1 :] >= n - 1
-        before, after = keys[:-1], keys[1:]
-        turn = np.uint64(TURNS[n])
-        keys = (before << turn | before >> np.uint64(64 - TURNS[n])) ^ after
-        parts.append(
-            (keys[inside], before[inside], np.full(inside.sum(), n), owner[n - 1 :][inside])
-        )
-    key, before, length, owner = map(np.concatenate, zip(*parts, strict=True))
-    return key.view(np.int64), before.view(np.int64), length, owner
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = zstandard.decompress(data)
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : raw[0]] = planes.T
+    return wide.reshape(-1).view("<u8")
+
+
+def packed_run(keys: np.ndarray) -> bytes:
+    """Sorted keys by their differences."""
+    return packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_run(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
 def _parts(batch: pa.RecordBatch, column: int):
-    """``(from, texts)`` of a batch's parts of about ``TOGETHER`` tokens; no text is cut."""
+    """``(from, texts)`` of a batch's parts of about ``TOGETHER`` tokens."""
     low, held, size = 0, [], 0
     for i, text in enumerate(batch.column(column).to_pylist()):
         held.append(text)
@@ -105,53 +100,171 @@ def _parts(batch: pa.RecordBatch, column: int):
         yield low, held
 
 
-def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``(length, before, key, count)`` of all n-grams of ``docs(text)`` up to ``order``."""
+def chunks_of(docs: DataFrame, train: Column) -> DataFrame:
+    """``docs(doc_id, text)`` in chunks: each text as places in the chunk's list of words.
+
+    ``(chunk, ids, train, sizes, words, places, tokens)``; the first word is ``BEGIN``, and
+    ``tokens`` counts those of training texts.
+    """
+    rows = docs.select(
+        F.spark_partition_id().cast("long").alias("part"),
+        "doc_id",
+        F.coalesce(train, F.lit(False)).alias("train"),
+        "text",
+    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        hashes = Memo(hash_of)
+        hashes, number = Memo(hash_of), 0
         for batch in batches:
-            for _, texts in _parts(batch, 0):
-                key, before, length, _ = _coded(texts, hashes, order)
-                key, first, count = np.unique(key, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "length": pa.array(length[first], pa.int32()),
-                        "before": pa.array(before[first], pa.int64()),
-                        "key": pa.array(key, pa.int64()),
-                        "count": pa.array(count, pa.int64()),
-                    }
+            for low, texts in _parts(batch, 3):
+                own = batch.slice(low, len(texts))
+                local = {BEGIN: 0}
+                places, sizes = [], []
+                for text in texts:
+                    words = words_of(text)
+                    places += [local.setdefault(w, len(local)) for w in words]
+                    sizes.append(len(words))
+                learnt = np.asarray(own.column(2).to_pylist(), bool)
+                offsets = pa.array([0, len(texts)], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([own.column(0)[0].as_py() << 32 | number], pa.int64()),
+                        pa.ListArray.from_arrays(offsets, own.column(1)),
+                        pa.array([packed(learnt)]),
+                        pa.array([packed(np.array(sizes))]),
+                        pa.array([np.array([hashes[w] for w in local], np.int64).tobytes()]),
+                        pa.array([packed(np.array(places))]),
+                        pa.array([int(np.array(sizes)[learnt].sum())], pa.int64()),
+                    ],
+                    ["chunk", "ids", "train", "sizes", "words", "places", "tokens"],
                 )
+                number += 1
 
-    found = docs.select("text").mapInArrow(run, "length int, before long, key long, count long")
-    # Most n-grams are rare, so counting before the shuffle would only spill.
-    found = found.repartition("length", "before", "key")
-    return found.groupBy("length", "before", "key").agg(F.sum("count").alias("count"))
+    return rows.mapInArrow(
+        run,
+        f"chunk long, ids array<{kind}>, train binary, sizes binary, words binary, places binary, "
+        "tokens long",
+    )
 
 
-@dataclass
-class Model:
-    """What every task holds: the frequent words, and the frequent n-grams' weights.
+class Grams:
+    """The distinct n-grams of a chunk, and the one before and the one after each.
 
-    ``words`` and ``keys`` are sorted hashes. ``arcs`` are differences from the failure
-    path, ``lost`` the failure weights of the states that the arcs lead to.
+    Words are numbered as in the chunk. Pair i is the words ``first[i]`` and ``second[i]``;
+    triple i is pair ``before[i]``, then the word ``last[i]``, and ends in pair ``after[i]``.
     """
 
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, places: np.ndarray, train: np.ndarray):
+        self.sizes, self.places = sizes, places
+        texts, n = len(sizes), len(words)
+        # Every text behind a beginning, word 0.
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        flat = np.zeros(len(places) + texts, np.int64)
+        inside = np.ones(len(flat), bool)
+        inside[starts] = False
+        flat[inside] = places
+        weight = np.repeat(train, sizes + 1).astype(np.float64)
+        ends = np.flatnonzero(inside)
+        pairs, pair = np.unique(flat[ends - 1] * n + flat[ends], return_inverse=True)
+        self.first, self.second = pairs // n, pairs % n
+        pair_at = np.zeros(len(flat), np.int64)
+        pair_at[ends] = pair
+        far = ends[inside[ends - 1]]
+        triples, at, triple = np.unique(pair_at[far - 1] * n + flat[far], return_index=True, return_inverse=True)
+        self.before, self.last = triples // n, triples % n
+        self.after = pair_at[far[at]]
+        self.counts = np.concatenate(
+            [
+                np.bincount(flat, weight, n),
+                np.bincount(pair, weight[ends], len(pairs)),
+                np.bincount(triple, weight[far], len(triples)),
+            ]
+        ).astype(np.uint64)
+        self.ends = np.cumsum([n, len(pairs), len(triples)])
+        keys = [words.view(np.uint64)]
+        for (head, tail), turn in zip(
+            ((self.first, self.second), (self.before, self.after)), TURNS, strict=True
+        ):
+            start, turn = keys[-1][head], np.uint64(turn)
+            keys.append((start << turn | start >> (np.uint64(64) - turn)) ^ keys[-1][tail])
+        # The last two bits say how long the n-gram is; the beginning is none.
+        lengths = np.repeat(np.arange(1, 4, dtype=np.uint64), [len(k) for k in keys])
+        lengths[0] = 0
+        every = np.concatenate(keys) >> np.uint64(2) << np.uint64(2) | lengths
+        self.order = np.argsort(every, kind="stable")
+        self.keys = every[self.order]
+
+    @classmethod
+    def read(cls, row: dict) -> Grams:
+        numbers = (unpacked(row[name]).astype(np.int64) for name in ("sizes", "places", "train"))
+        return cls(np.frombuffer(row["words"], np.int64), *numbers)
+
+    def bounds(self, ranges: int) -> np.ndarray:
+        """Where the sorted keys of each of the ranges begin, and the end."""
+        places = (self.keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        return np.searchsorted(places, np.arange(ranges + 1, dtype=np.uint64))
+
+
+def _runs(chunks: DataFrame, ranges: int) -> DataFrame:
+    """``(chunk, part, keys, counts)``: each chunk's n-grams by ranges of their keys."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                grams = Grams.read(row)
+                counts, bounds = grams.counts[grams.order], grams.bounds(ranges)
+                own = [(p, a, b) for p, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["chunk"]] * len(own), pa.int64()),
+                        pa.array([p for p, _, _ in own], pa.int64()),
+                        pa.array([packed_run(grams.keys[a:b]) for _, a, b in own], pa.binary()),
+                        pa.array([packed(counts[a:b]) for _, a, b in own], pa.binary()),
+                    ],
+                    ["chunk", "part", "keys", "counts"],
+                )
+
+    whole = chunks.select("chunk", "train", "sizes", "words", "places")
+    return whole.mapInArrow(run, "chunk long, part long, keys binary, counts binary")
+
+
+def _answers(runs: DataFrame) -> DataFrame:
+    """``(chunk, part, counts, words)``: each run's counts over all chunks, in its order; and
+    in a range's first row the number of its distinct training words."""
+
+    def add(group: pa.Table) -> pa.Table:
+        keys = [unpacked_run(k) for k in group["keys"].to_pylist()]
+        counts = np.concatenate([unpacked(c) for c in group["counts"].to_pylist()])
+        ends = np.cumsum([len(k) for k in keys])
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(place, counts.astype(np.float64), len(distinct)).astype(np.uint64)
+        words = np.zeros(group.num_rows, np.int64)
+        words[0] = ((distinct & np.uint64(3) == 1) & (total > 0)).sum()
+        sums = np.split(total[place], ends[:-1])
+        return pa.table(
+            {
+                "chunk": group["chunk"],
+                "part": group["part"],
+                "counts": pa.array([packed(s) for s in sums], pa.binary()),
+                "words": pa.array(words),
+            }
+        )
+
+    return runs.groupBy("part").applyInArrow(add, "chunk long, part long, counts binary, words long")
+
+
+@dataclass
+class Corpus:
+    """Training tokens and distinct words."""
+
     tokens: int
     distinct: int
-    words: np.ndarray
-    keys: np.ndarray
-    arcs: np.ndarray
-    lost: np.ndarray
-    base: np.ndarray
-    key: str = field(default_factory=lambda: uuid4().hex)
 
     def word_chance(self, counts):
-        """Probability of a word seen so often, alone; works on numbers, arrays, columns."""
+        """Probability of a word seen so often, alone."""
         n = max(1, self.tokens)
         unseen = WORD_DISCOUNT * self.distinct / n / (self.distinct + 1) or 1.0
-        if isinstance(counts, Column):
-            return F.when(counts > 0, (counts - WORD_DISCOUNT) / n).otherwise(0.0) + unseen
         return (counts > 0) * (counts - WORD_DISCOUNT) / n + unseen
 
     def base_chance(self, counts):
@@ -159,231 +272,115 @@ class Model:
 
 
 class Automaton:
-    """A model ready for lookups: a path's weight, as far as the model holds its arcs."""
-
-    def __init__(self, model: Model):
-        self.keys, self.arcs, self.lost = model.keys, model.arcs, model.lost
-        self.both, self.base = model.arcs + model.lost, model.base
-        self.hashes = Memo(hash_of)
-        # A word that is not frequent has a hash that is no word's.
-        self.words = [*model.words.tolist(), hash_of(b"  ?")]
-        places = {h: i for i, h in enumerate(model.words.tolist())}
-        self.ids = Memo(lambda word: places.get(hash_of(word), -1))
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the keys, and which of them are held."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
-
-    def score(self, ids: list[int]) -> float:
-        """Log10 probability of the ids; a rare word, -1, without its weight at the root."""
-        seen = Memo(lambda word: self.words[word] if isinstance(word, int) else hash_of(word))
-        flat = np.array([seen[BEGIN], *map(seen.__getitem__, ids)], np.int64).view(np.uint64)
-        total, keys = 0.0, flat
-        for n in range(1, ORDER + 1):
-            if n > 1:
-                before, turn = keys[:-1], np.uint64(TURNS[n])
-                keys = (before << turn | before >> np.uint64(64 - TURNS[n])) ^ keys[1:]
-            at, held = self.find(keys.view(np.int64))
-            total += self.arcs[at[held]].sum()
-            # The state at the end of the ids is not left.
-            total += self.lost[at[:-1][held[:-1]]].sum()
-        return float(total)
-
-
-_KEPT: dict[str, Automaton] = {}
-
-
-def automaton(model: Model) -> Automaton:
-    """The automaton of a model, built once in a worker."""
-    if model.key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[model.key] = Automaton(model)
-    return _KEPT[model.key]
-
-
-def _after(length: int) -> Column:
-    """The key of an n-gram without its first word."""
-    turn, before = TURNS[length], F.col("before")
-    turned = F.shiftleft(before, turn).bitwiseOR(F.shiftrightunsigned(before, 64 - turn))
-    return F.col("key").bitwiseXOR(turned)
-
-
-def learn(
-    train: DataFrame, share: float = SHARE, order: int = ORDER
-) -> tuple[Model, DataFrame]:
-    """The model of ``train(text)``, and the table of all n-grams' weights.
-
-    ``(key, count, arc, lost, known, base)``; see ``Model``. ``share`` bounds what a task
-    holds and changes no score.
-    """
-    grams = gram_counts(train, order).where(F.expr(f"length < 2 OR count >= {LEAST}"))
-    grams = store(grams, "gram-counts")
-    total = grams.where("length = 1").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v"))
-    tokens, distinct = ((r := total.first()).n or 0), r.v
-    none = np.zeros(0)
-    model = Model(tokens, distinct, none.astype(np.int64), none.astype(np.int64), none, none, none)
-
-    # Counts are whole and the discount is a binary fraction, so what is freed is exact;
-    # each arc frees a part of its history's count, so it is above 0.
-    taken = grams.where("length > 1").groupBy(F.col("before").alias("key")).agg(
-        F.sum(F.col("count") - DISCOUNT).alias("taken")
-    )
-    states = grams.where(f"length < {order}").join(taken, "key", "left")
-    freed = (F.col("count") - F.coalesce("taken", F.lit(0.0))) / F.col("count")
-    states = store(states.select("length", "before", "key", "count", freed.alias("freed")), "states")
-    seen = F.col("count")
-    of_words = F.when(F.col("length") > 0, model.word_chance(seen)).otherwise(1.0)
-    words = states.where("length < 2").select("*", of_words.alias("chance")) if order > 1 else (
-        grams.where("length < 2").select("*", F.lit(1.0).alias("freed"), of_words.alias("chance"))
-    )
-    levels = [words.select("length", "key", "count", "freed", "chance", F.log10("chance").alias("arc"))]
-    for n in range(2, order + 1):
-        shorter = levels[-1]
-        # The history's count and freed share, and the chance after the shorter history.
-        history = shorter.select(
-            F.col("key").alias("before"), F.col("count").alias("times"), F.col("freed").alias("rest")
-        )
-        last = shorter.select(F.col("key").alias("after"), F.col("chance").alias("lower"))
-        own = states if n < order else grams.withColumn("freed", F.lit(1.0))
-        own = own.where(f"length = {n}").withColumn("after", _after(n))
-        own = own.join(history, "before").join(last, "after")
-        around = F.col("rest") * F.col("lower")
-        chance = (F.col("count") - DISCOUNT) / F.col("times") + around
-        own = own.select(
-            "length", "key", "count", "freed", chance.alias("chance"), F.log10(chance / around).alias("arc")
-        )
-        levels.append(store(own, "arcs"))
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.union(level)
-    is_word = F.col("length") == 1
-    table = every.select(
-        "key",
-        "length",
-        "count",
-        "arc",
-        F.log10("freed").alias("lost"),
-        is_word.cast("int").alias("known"),
-        F.when(is_word, F.log10(model.base_chance(seen))).otherwise(0.0).alias("base"),
-    )
-    table = store(table, "weights")
-    # At most 1 / share of each length are so frequent.
-    often = table.where(F.col("count") >= max(1, share * tokens)).toArrow()
-    rank = np.argsort(often["key"].to_numpy())
-    held = {c: often[c].to_numpy()[rank] for c in often.column_names}
-    model.words = held["key"][held["length"] == 1]
-    model.keys, model.arcs, model.lost, model.base = (held[c] for c in ("key", "arc", "lost", "base"))
-    return model, table.where(F.col("count") < max(1, share * tokens))
-
-
-def _traversed(docs: DataFrame, model: Model) -> DataFrame:
-    """For each text a row of sums over what the task holds, with ``n_tokens``; and a row
-    for each of its other n-grams, with ``times``. A word not held is taken as unseen."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    unseen = float(np.log10(model.word_chance(0)))
-    unseen_base = float(np.log10(model.base_chance(0)))
-
-    def run(batches):
-        own = automaton(model)
-        for batch in batches:
-            for low, texts in _parts(batch, 2):
-                n = len(texts)
-                part = batch.slice(low, n)
-                rids = part.column(0).to_numpy()
-                key, _, length, owner = _coded(texts, own.hashes, ORDER)
-                at, held = own.find(key)
-                mine, place = owner[held], at[held]
-                word = length == 1
-                fresh = np.bincount(owner[word & ~held], minlength=n)
-                path = np.zeros(n) + fresh * unseen
-                base = np.zeros(n) + fresh * unseen_base
-                if len(place):
-                    path += np.bincount(mine, own.both[place], n)
-                    base += np.bincount(mine, own.base[place], n)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "rid": part.column(0),
-                        # Any key will do; different ones spread the rows.
-                        "key": part.column(0),
-                        "times": pa.array(np.zeros(n, np.int32)),
-                        "doc_id": part.column(1),
-                        "n_tokens": pa.array(np.bincount(owner[word], minlength=n), pa.int64()),
-                        "known": pa.array(np.bincount(owner[word & held], minlength=n), pa.int64()),
-                        "base": pa.array(base),
-                        "path": pa.array(path),
-                    }
-                )
-                rest, mine, size = key[~held], owner[~held], (~held).sum()
-                order = np.lexsort((rest, mine))
-                rest, mine = rest[order], mine[order]
-                first = np.ones(size, bool)
-                first[1:] = (rest[1:] != rest[:-1]) | (mine[1:] != mine[:-1])
-                starts = np.flatnonzero(first)
-                times = np.diff(np.append(starts, size))
-                empty = len(starts)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "rid": pa.array(rids[mine[starts]], pa.int64()),
-                        "key": pa.array(rest[starts], pa.int64()),
-                        "times": pa.array(times, pa.int32()),
-                        "doc_id": pa.nulls(empty, part.column(1).type),
-                        "n_tokens": pa.nulls(empty, pa.int64()),
-                        "known": pa.nulls(empty, pa.int64()),
-                        "base": pa.nulls(empty, pa.float64()),
-                        "path": pa.nulls(empty, pa.float64()),
-                    }
-                )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    return rows.mapInArrow(
-        run,
-        f"rid long, key long, times int, doc_id {kind}, n_tokens long, known long, base double, "
-        "path double",
-    )
+    """The states and arcs that the texts of a chunk can reach.
 
+    State 0 is the root, then come a state for each word and one for each pair that the
+    model holds. ``arcs`` finds the arc of a state and a word; a state without one for the
+    word has a failure arc to ``shorter``. The root has an arc for every word.
+    """
 
-def score(docs: DataFrame, model: Model, weights: DataFrame) -> DataFrame:
+    def __init__(
+        self, grams: Grams, counts: np.ndarray, corpus: Corpus, prior: tuple[float, float] = PRIOR
+    ):
+        own = np.empty(len(counts))
+        own[grams.order] = counts
+        words, pairs, triples = np.split(own, grams.ends[:-1])
+        n, (one, two) = len(words), prior
+        self.known = words > 0
+        self.base = np.log10(corpus.base_chance(words))
+        chance = corpus.word_chance(words)
+        after_one = (pairs + one * chance[grams.second]) / (words[grams.first] + one)
+        after_two = (triples + two * after_one[grams.after]) / (pairs[grams.before] + two)
+        self.lost = np.concatenate(
+            [[0.0], np.log10(one / (words + one)), np.log10(two / (pairs + two))]
+        ).tolist()
+        self.shorter = np.concatenate([np.zeros(n + 1, np.int64), grams.second + 1]).tolist()
+        self.root = np.log10(chance).tolist()
+        self.from_root = np.where(self.known, np.arange(n) + 1, 0).tolist()
+        self.begin = self.from_root[0]
+        p, t = np.flatnonzero(pairs), np.flatnonzero(triples)
+        self.width = n
+        keys = np.concatenate(
+            [(grams.first[p] + 1) * n + grams.second[p], (grams.before[t] + n + 1) * n + grams.last[t]]
+        )
+        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        self.weight = np.log10(np.concatenate([after_one[p], after_two[t]])).tolist()
+        self.target = (np.concatenate([p, grams.after[t]]) + n + 1).tolist()
+
+    def walk(self, words: list[int], state: int | None = None) -> tuple[float, int]:
+        """Log10 probability of the words behind ``state``, and the state they lead to."""
+        arcs, weight, target, width = self.arcs.get, self.weight, self.target, self.width
+        lost, shorter = self.lost, self.shorter
+        state = self.begin if state is None else state
+        total = 0.0
+        for word in words:
+            while state:
+                arc = arcs(state * width + word)
+                if arc is not None:
+                    total += weight[arc]
+                    state = target[arc]
+                    break
+                total += lost[state]
+                state = shorter[state]
+            else:
+                total += self.root[word]
+                state = self.from_root[word]
+        return total, state
+
+
+def score(docs: DataFrame, train: Column, prior: tuple[float, float] = PRIOR) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of ``docs(doc_id, text)``.
 
-    * A null text counts as empty; an empty text is its end alone.
+    The model is that of the rows where ``train`` is true. To score other texts, add them to
+    the training table with ``train`` false.
+
+    * A null text counts as empty; an empty text is its end alone. A null ``train`` is false.
     * With nothing learned, every token is unknown and has probability 1.
     * A very long text is read whole, in one pass. Repeated rows get equal scores.
     * A null doc_id is kept. An empty table gives no rows. Other columns are ignored.
     """
-    # Words were taken as unseen, so the table's differ from that.
-    word = F.col("known") == 1
-    of = weights.select(
-        "key",
-        F.col("known").alias("is_word"),
-        (F.col("base") - F.when(word, F.log10(F.lit(float(model.base_chance(0))))).otherwise(0.0))
-        .alias("more_base"),
-        (F.col("arc") + F.col("lost")
-         - F.when(word, F.log10(F.lit(float(model.word_chance(0))))).otherwise(0.0)).alias("more"),
-    )
-    rows = _traversed(docs, model).join(of, "key", "left")
-    rows = rows.where("n_tokens IS NOT NULL OR more IS NOT NULL")
-    times = F.col("times")
-    part = lambda c: F.coalesce(c, F.lit(0))
-    sums = rows.groupBy("rid").agg(
-        F.first("doc_id", ignorenulls=True).alias("doc_id"),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(times * part(F.col("is_word")))).alias("n_known"),
-        (F.max("base") + F.sum(times * part(F.col("more_base")))).alias("base_score"),
-        (F.max("path") + F.sum(times * part(F.col("more")))).alias("score"),
-    )
-    return sums.select(
-        "doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
-        "base_score", "score",
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chunks = store(chunks_of(docs, train), "chunks")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    ranges = 1 + size // RANGE_BYTES
+    answers = store(_answers(_runs(chunks, ranges)), "answers")
+    tokens = chunks.agg(F.sum("tokens").alias("n")).first().n or 0
+    distinct = answers.agg(F.sum("words").alias("n")).first().n or 0
+    corpus = Corpus(tokens, distinct)
+
+    def walk(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        row = chunk.select(["train", "sizes", "words", "places"]).to_pylist()[0]
+        grams = Grams.read(row)
+        sums = sorted(zip(found["part"].to_pylist(), found["counts"].to_pylist(), strict=True))
+        counts = np.concatenate([unpacked(c) for _, c in sums])
+        own = Automaton(grams, counts, corpus, prior)
+        ends = np.cumsum(grams.sizes)
+        starts = ends - grams.sizes
+        places = grams.places.tolist()
+        paths = [own.walk(places[a:b])[0] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return pa.table(
+            {
+                "doc_id": chunk["ids"].combine_chunks().flatten(),
+                "n_tokens": pa.array(grams.sizes),
+                # Every text has an end, so no part is empty.
+                "n_known": pa.array(np.add.reduceat(own.known[grams.places].astype(np.int64), starts)),
+                "train_tokens": pa.array(np.full(len(starts), tokens)),
+                "base_score": pa.array(np.add.reduceat(own.base[grams.places], starts)),
+                "score": pa.array(paths, pa.float64()),
+            }
+        )
+
+    both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return both.applyInArrow(
+        walk,
+        f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), FOLDS) == HELD_OUT
-    scored = score(docs, *learn(docs.where(~held_out)))
+    scored = score(docs, ~held_out)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens",
         "base_score", "score",

@@ -9,6 +9,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pagelens.llm import op4, op7, op10
 
@@ -20,21 +23,23 @@ def fold(doc_id, parts):
 # Language model
 
 
-def brute_chance(ngrams, tokens, distinct, word, history):
-    """Interpolated absolute discounting by its definition, from plain counts."""
+def brute_chance(ngrams, corpus, word, history):
+    """The chance of a word by its definition, from plain counts."""
     if not history:
-        c = ngrams[word,]
-        unseen = op4.WORD_DISCOUNT * distinct / tokens / (distinct + 1)
-        return max(0, c - op4.WORD_DISCOUNT) / tokens * (c > 0) + unseen
-    shorter = brute_chance(ngrams, tokens, distinct, word, history[1:])
-    followed = ngrams[history] if history != (b"^",) else ngrams["texts"]
-    arcs = {g: n for g, n in ngrams.items() if len(g) == len(history) + 1 and g[:-1] == history}
-    arcs = {g: n for g, n in arcs.items() if n >= 2 and isinstance(g, tuple)}
-    if not arcs or (len(history) == 2 and ngrams[history] < 2):
-        return shorter
-    freed = 1 - sum(n - op4.DISCOUNT for n in arcs.values()) / followed
-    own = arcs.get((*history, word))
-    return (own - op4.DISCOUNT) / followed + freed * shorter if own else freed * shorter
+        return corpus.word_chance(ngrams[word,])
+    prior = op4.PRIOR[len(history) - 1]
+    shorter = brute_chance(ngrams, corpus, word, history[1:])
+    return (ngrams[(*history, word)] + prior * shorter) / (ngrams[history] + prior)
+
+
+def brute_model(texts):
+    ngrams: Counter = Counter()
+    for text in texts:
+        words = [b"^", *op4.words_of(text)]
+        for n in (1, 2, 3):
+            ngrams.update(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    single = {g: n for g, n in ngrams.items() if len(g) == 1 and g != (b"^",)}
+    return ngrams, op4.Corpus(sum(single.values()), len(single))
 
 
 def small_corpus():
@@ -43,93 +48,116 @@ def small_corpus():
     return [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
 
 
-def test_scores_are_the_definitions(spark):
+TESTS = ["the cat sat", "unknown the cat", "mat mat mat zebra", "", None, "dog Dog on a"]
+
+
+@pytest.mark.parametrize("parts, range_bytes", [(1, 1 << 20), (7, 1 << 20), (5, 300)])
+def test_scores_are_the_definitions(spark, monkeypatch, parts, range_bytes):
+    """However the texts are cut into chunks and the n-grams into ranges."""
+    monkeypatch.setattr(op4, "RANGE_BYTES", range_bytes)
     texts = small_corpus()
-    ngrams: Counter = Counter()
-    for text in texts:
-        words = [b"^", *op4.words_of(text)]
-        for n in (1, 2, 3):
-            grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
-            ngrams.update(g for g in grams if g != (b"^",))
-        ngrams["texts"] += 1
-    tokens = sum(n for g, n in ngrams.items() if len(g) == 1)
-    distinct = sum(len(g) == 1 for g in ngrams)
-    tests = ["the cat sat", "unknown the cat", "mat mat mat zebra", "", "dog Dog on a"]
-    train = spark.createDataFrame([(t,) for t in texts], "text string")
-    model, counts = op4.learn(train)
-    docs = spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string")
-    got = {r.doc_id: r for r in op4.score(docs, model, counts).collect()}
-    for i, text in enumerate(tests):
+    ngrams, corpus = brute_model(texts)
+    rows = [(i, t, True) for i, t in enumerate(texts)]
+    rows += [(100 + i, t, None if i % 2 else False) for i, t in enumerate(TESTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(parts)
+    got = {r.doc_id: r for r in op4.score(docs, F.col("train")).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
         words = [b"^", *op4.words_of(text)]
         want = sum(
-            math.log10(brute_chance(ngrams, tokens, distinct, w, tuple(words[max(0, n - 2) : n])))
+            math.log10(brute_chance(ngrams, corpus, w, tuple(words[max(0, n - 2) : n])))
             for n, w in enumerate(words)
             if n
         )
         assert got[i].score == pytest.approx(want, abs=1e-9)
-        assert got[i].train_tokens == tokens
-
-
-def test_chances_sum_to_one(spark):
-    train = spark.createDataFrame([(t,) for t in small_corpus()], "text string")
-    model, _ = op4.learn(train)
-    own = op4.Automaton(model)
-    unseen = math.log10(model.word_chance(0))
-    for history in ([], ["the"], ["cat", "sat"], ["a", "a"], ["zebra"]):
-        past = [own.ids[w.encode()] for w in history]
-        before = own.score(past)
-        total = sum(10 ** (own.score([*past, w]) - before) for w in range(len(model.words)))
-        total += 10 ** (own.score([*past, -1]) - before + unseen)
+        base = sum(math.log10(corpus.base_chance(ngrams[w,])) for w in words[1:])
+        assert got[i].base_score == pytest.approx(base, abs=1e-9)
+        assert got[i].train_tokens == corpus.tokens
+        assert got[i].n_known == sum(ngrams[w,] > 0 for w in words[1:])
+
+
+def small_automaton(texts, others=()):
+    """The automaton of a single chunk, and the places of its words."""
+    local = {op4.BEGIN: 0}
+    split = [op4.words_of(t) for t in (*texts, *others)]
+    places = [local.setdefault(w, len(local)) for words in split for w in words]
+    grams = op4.Grams(
+        np.array([op4.hash_of(w) for w in local], np.int64),
+        np.array([len(w) for w in split]),
+        np.array(places),
+        np.array([1] * len(texts) + [0] * len(others)),
+    )
+    _, corpus = brute_model(texts)
+    return op4.Automaton(grams, grams.counts[grams.order], corpus), local, corpus
+
+
+def test_chances_sum_to_one():
+    """After every kind of state: over all words of the corpus, and one never seen."""
+    others = ["zebra", "a a zebra", "cat sat"]
+    own, local, corpus = small_automaton(small_corpus(), others)
+    for history in ([], ["the"], ["cat", "sat"], ["a", "a"], ["zebra"], ["a", "zebra"]):
+        _, state = own.walk([local[w.encode()] for w in history])
+        words = [i for i in local.values() if i and own.known[i]]
+        assert len(words) == corpus.distinct
+        # Arcs are those of n-grams of the chunk, so the rest is what failure arcs lead to.
+        unseen = own.walk([local[b"zebra"]], state)[0]
+        total = sum(10 ** own.walk([w], state)[0] for w in words) + 10**unseen
         assert total == pytest.approx(1)
 
 
-@pytest.mark.parametrize("share", [op4.SHARE, 0.01, 1.0])
-def test_language_model_query(spark, sf, share):
-    """Counts and the base are exact however few words are frequent; the model is better."""
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    plain = {r.doc_id: r.text for r in docs.collect()}
+def test_failure_arcs_lead_to_shorter_histories():
+    own, local, corpus = small_automaton(["a b c", "a b d", "b e"], ["a b e", "a b q e"])
+    a, b, c, e, q = (local[w] for w in (b"a", b"b", b"c", b"e", b"q"))
+    _, pair = own.walk([a, b])
+    assert pair > own.width and own.shorter[pair] == b + 1 and own.shorter[b + 1] == 0
+    # A triple seen is one arc; the state behind it is the pair it ends in.
+    assert pair * own.width + c in own.arcs
+    assert own.shorter[own.walk([c], pair)[1]] == c + 1
+    # "a b e" is not held but "b e" is: one failure arc, then the arc of "b".
+    assert pair * own.width + e not in own.arcs
+    arc = own.arcs[(b + 1) * own.width + e]
+    total, state = own.walk([e], pair)
+    assert total == pytest.approx(own.lost[pair] + own.weight[arc])
+    assert state == own.target[arc] and own.shorter[state] == e + 1
+    # A word never seen: both failure arcs, then the root, where it leads back to.
+    total, state = own.walk([q], pair)
+    assert state == 0
+    unseen = math.log10(corpus.word_chance(0))
+    assert total == pytest.approx(own.lost[pair] + own.lost[b + 1] + unseen)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=1))
+def test_runs_round_trip(keys):
+    values = np.array(keys, np.uint64)
+    assert op4.unpacked(op4.packed(values)).tolist() == keys
+    assert op4.unpacked_run(op4.packed_run(np.sort(values))).tolist() == sorted(keys)
+
+
+def test_language_model_query(spark, sf):
+    """Counts and the base are exact; the model is better."""
+    plain = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     held = {i for i in plain if fold(i, 5) == 1}
-    train = docs.where(~docs.doc_id.isin(list(held)))
-    model, table = op4.learn(train, share=share)
-    got = {r.doc_id: r for r in op4.score(docs, model, table).collect()}
+    got = {r.doc_id: r for r in op4.query(spark, sf).collect()}
     counts = Counter(w for i, t in plain.items() if i not in held for w in op4.words_of(t))
     n = sum(counts.values())
     z = n + 0.5 * (len(counts) + 1)
     for i, text in plain.items():
         words = op4.words_of(text)
+        assert got[i].held_out == (i in held)
         assert got[i].n_tokens == len(words) and got[i].train_tokens == n
         assert got[i].n_known == sum(w in counts for w in words)
         assert got[i].base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / z) for w in words))
-    if share < 1:
-        assert sum(got[i].score - got[i].base_score for i in held) > 0
-
-
-@pytest.mark.parametrize("share", [0.01, 0.2, 1.0])
-def test_scores_do_not_depend_on_what_a_task_holds(spark, share):
-    """An n-gram seen twice is an arc, however small a part of the corpus that is."""
-    texts = small_corpus()
-    train = spark.createDataFrame([(t,) for t in texts], "text string")
-    docs = spark.createDataFrame(
-        list(enumerate([*texts, "the cat zebra", "", "mat mat mat mat"])), "doc_id long, text string"
-    )
-    scores = []
-    for held in (op4.SHARE, share):
-        rows = op4.score(docs, *op4.learn(train, share=held)).collect()
-        scores.append({r.doc_id: (r.n_known, r.base_score, r.score) for r in rows})
-    assert scores[0].keys() == scores[1].keys()
-    for i, row in scores[0].items():
-        assert scores[1][i] == pytest.approx(row, abs=1e-9)
+    assert sum(got[i].score - got[i].base_score for i in held) > 0
 
 
 def test_language_model_of_hard_rows(spark, hard, hard_rows, nothing):
-    model, counts = op4.learn(hard)
-    rows = op4.score(hard, model, counts).collect()
+    rows = op4.score(hard, F.lit(True)).collect()
     assert len(rows) == len(hard_rows)
     assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (4, 5, 6)} == {1}
-    assert op4.score(nothing, model, counts).count() == 0
-    empty, none = op4.learn(nothing)
-    rows = op4.score(hard, empty, none).collect()
+    assert op4.score(nothing, F.lit(True)).count() == 0
+    rows = op4.score(hard, F.lit(False)).collect()
     assert {(r.n_known, r.train_tokens, r.score, r.base_score) for r in rows} == {(0, 0, 0.0, 0.0)}
 
 
