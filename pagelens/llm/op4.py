@@ -20,7 +20,9 @@ frequent one is no more than any other.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,11 @@ END, BEGIN = b" ", b"  "
 TOGETHER = 500_000
 #: Bytes of text whose n-grams make up a range.
 RANGE_BYTES = 8 << 20
+#: Parts of the hash space that are counted one behind the other, so that only a part of the
+#: runs is on disk at a time.
+SLICES = 2
+#: Spark's setting by which a query's shuffle files go when it ends.
+CLEANING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bits by which the n-gram before the last word is turned, for pairs and triples.
 TURNS = (23, 10)
 
@@ -206,15 +213,17 @@ class Grams:
         return np.searchsorted(places, np.arange(ranges + 1, dtype=np.uint64))
 
 
-def _runs(chunks: DataFrame, ranges: int) -> DataFrame:
-    """``(chunk, part, keys, counts)``: each chunk's n-grams by ranges of their keys."""
+def _runs(chunks: DataFrame, ranges: int, low: int, high: int) -> DataFrame:
+    """``(chunk, part, keys, counts)``: each chunk's n-grams by ranges of their keys, those
+    from ``low`` to below ``high``."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 grams = Grams.read(row)
                 counts, bounds = grams.counts[grams.order], grams.bounds(ranges)
-                own = [(p, a, b) for p, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+                own = [(p, bounds[p], bounds[p + 1]) for p in range(low, high)]
+                own = [(p, a, b) for p, a, b in own if b > a]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["chunk"]] * len(own), pa.int64()),
@@ -254,6 +263,26 @@ def _answers(runs: DataFrame) -> DataFrame:
     return runs.groupBy("part").applyInArrow(add, "chunk long, part long, counts binary, words long")
 
 
+def _counted(chunks: DataFrame, ranges: int) -> DataFrame:
+    """The answers to all chunks' runs, slice by slice; a slice's shuffle files go behind it."""
+    conf = chunks.sparkSession.conf
+    before = conf.get(CLEANING, None)
+    conf.set(CLEANING, "true")
+    try:
+        cuts = [ranges * i // SLICES for i in range(SLICES + 1)]
+        slices = [
+            store(_answers(_runs(chunks, ranges, low, high)), "answers")
+            for low, high in zip(cuts, cuts[1:])
+            if high > low
+        ]
+    finally:
+        if before is None:
+            conf.unset(CLEANING)
+        else:
+            conf.set(CLEANING, before)
+    return reduce(DataFrame.union, slices)
+
+
 @dataclass
 class Corpus:
     """Training tokens and distinct words."""
@@ -291,12 +320,12 @@ class Automaton:
         chance = corpus.word_chance(words)
         after_one = (pairs + one * chance[grams.second]) / (words[grams.first] + one)
         after_two = (triples + two * after_one[grams.after]) / (pairs[grams.before] + two)
-        self.lost = np.concatenate(
-            [[0.0], np.log10(one / (words + one)), np.log10(two / (pairs + two))]
-        ).tolist()
-        self.shorter = np.concatenate([np.zeros(n + 1, np.int64), grams.second + 1]).tolist()
-        self.root = np.log10(chance).tolist()
-        self.from_root = np.where(self.known, np.arange(n) + 1, 0).tolist()
+        lost = [[0.0], np.log10(one / (words + one)), np.log10(two / (pairs + two))]
+        self.lost = array("d", np.concatenate(lost).tobytes())
+        shorter = np.concatenate([np.zeros(n + 1, np.int64), grams.second + 1])
+        self.shorter = array("q", shorter.tobytes())
+        self.root = array("d", np.log10(chance).tobytes())
+        self.from_root = array("q", np.where(self.known, np.arange(n) + 1, 0).tobytes())
         self.begin = self.from_root[0]
         p, t = np.flatnonzero(pairs), np.flatnonzero(triples)
         self.width = n
@@ -304,8 +333,8 @@ class Automaton:
             [(grams.first[p] + 1) * n + grams.second[p], (grams.before[t] + n + 1) * n + grams.last[t]]
         )
         self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.weight = np.log10(np.concatenate([after_one[p], after_two[t]])).tolist()
-        self.target = (np.concatenate([p, grams.after[t]]) + n + 1).tolist()
+        self.weight = array("d", np.log10(np.concatenate([after_one[p], after_two[t]])).tobytes())
+        self.target = array("q", (np.concatenate([p, grams.after[t]]) + n + 1).tobytes())
 
     def walk(self, words: list[int], state: int | None = None) -> tuple[float, int]:
         """Log10 probability of the words behind ``state``, and the state they lead to."""
@@ -343,7 +372,7 @@ def score(docs: DataFrame, train: Column, prior: tuple[float, float] = PRIOR) ->
     chunks = store(chunks_of(docs, train), "chunks")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     ranges = 1 + size // RANGE_BYTES
-    answers = store(_answers(_runs(chunks, ranges)), "answers")
+    answers = _counted(chunks, ranges)
     tokens = chunks.agg(F.sum("tokens").alias("n")).first().n or 0
     distinct = answers.agg(F.sum("words").alias("n")).first().n or 0
     corpus = Corpus(tokens, distinct)
