@@ -21,6 +21,7 @@ from pagelens.plans.runs import categorise_fetches, categorise_pages, run
 from pagelens.session import scratch_path
 from pagelens.sources import queue_log, sinks, tables
 from pagelens.sources.categories import categories_frame, read_categories, write_categories
+from pagelens.sources.envelope import read_json_document, write_json_document
 from pagelens.streaming import pages as streams
 from pagelens.streaming import runs as stream_runs
 
@@ -547,6 +548,16 @@ def csv_round_trip(spark, sf):
     return sinks.read_report(spark, path)
 
 
+def csv_one_line(spark, sf):
+    """A report whose errors hold line breaks and backslashes, cut by lines when it is read."""
+    path = scratch_path(spark, "report")
+    broken = F.concat(F.lit("\\n\r\n"), F.coalesce("error", F.lit("")), F.lit("\n\\"))
+    results = _results(spark, sf).withColumn("error", broken)
+    sinks.write_report(results.filter("status = 'SUCCESS'"), path, one_line=True)
+    sinks.write_report(results.filter("status <> 'SUCCESS'"), path, append=True, one_line=True)
+    return sinks.read_report(spark, path, one_line=True).select("url", "status", "error")
+
+
 def label_scan(spark, sf):
     path = scratch_path(spark, "labels")
     labelled = truth(spark, sf).withColumn("note", F.lit('spare, "column"'))
@@ -563,6 +574,16 @@ def json_export(spark, sf):
     return rows
 
 
+def json_envelope(spark, sf):
+    """Records read back from one document in parts, with the total of its head."""
+    path = scratch_path(spark, "document")
+    results = _results(spark, sf)
+    write_json_document(results, path)
+    schema = results.withColumn("crawled_at", F.lit("")).schema
+    rows, manifest = read_json_document(spark, path, schema)
+    return rows.withColumn("total_urls", manifest.select("total_urls").scalar())
+
+
 def json_manifest(spark, sf):
     path = scratch_path(spark, "export")
     results = _results(spark, sf).select("url", "status")
@@ -785,8 +806,10 @@ QUERIES = {
         evaluate_files,
         result_projection,
         csv_round_trip,
+        csv_one_line,
         label_scan,
         json_export,
+        json_envelope,
         json_manifest,
         config_scan,
         full_run,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions.formats import four_places, iso_timestamp
@@ -36,22 +36,46 @@ def report_rows(results: DataFrame) -> DataFrame:
     return results.select(*[cell(name).alias(name) for name in REPORT_COLUMNS])
 
 
-def write_report(results: DataFrame, path: str, append: bool = False) -> None:
-    """Write the report as a folder of CSV files, each with its own header."""
+def _on_one_line(cell: Column) -> Column:
+    """The cell without line breaks: a backslash and a letter for each, and for a backslash."""
+    cell = F.replace(cell, F.lit("\\"), F.lit("\\s"))
+    return F.replace(F.replace(cell, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def _with_line_breaks(cell: Column) -> Column:
+    """What ``_on_one_line`` was given. Backslashes come last, as each was followed by an s."""
+    cell = F.replace(F.replace(cell, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
+    return F.replace(cell, F.lit("\\s"), F.lit("\\"))
+
+
+def write_report(
+    results: DataFrame, path: str, append: bool = False, one_line: bool = False
+) -> None:
+    """Write the report as a folder of CSV files, each with its own header.
+
+    With ``one_line`` line breaks in cells are escaped, so that ``read_report``, told so too,
+    can cut a file into many tasks' parts.
+    """
+    rows = report_rows(results)
+    if one_line:
+        rows = rows.select(*[_on_one_line(F.col(c)).alias(c) for c in rows.columns])
     mode = "append" if append else "overwrite"
-    report_rows(results).write.mode(mode).options(**CSV_OPTIONS).csv(path)
+    rows.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
-def read_report(spark: SparkSession, path: str) -> DataFrame:
+def read_report(spark: SparkSession, path: str, one_line: bool = False) -> DataFrame:
     schema = ", ".join(f"{name} string" for name in REPORT_COLUMNS)
-    # Error texts may hold line breaks, so records are parsed across lines.
-    return (
+    # Otherwise error texts may hold line breaks, so records are parsed across lines.
+    rows = (
         spark.read.schema(schema)
         .options(**CSV_OPTIONS)
-        .option("multiLine", True)
+        .option("multiLine", not one_line)
         .csv(path)
         .na.fill("")
     )
+    if one_line:
+        rows = rows.select(*[_with_line_breaks(F.col(c)).alias(c) for c in rows.columns])
+    return rows
 
 
 def write_json_export(results: DataFrame, path: str) -> None:
