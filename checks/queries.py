@@ -15,11 +15,12 @@ from pagelens.functions.urls import normalise_url, registered_domain
 from pagelens.operators import evaluate, frontier, summary
 from pagelens.operators import model as fitting
 from pagelens.operators.classify import classify, similarities, term_weights, with_boost_index
-from pagelens.operators.fetches import normalise_outcomes
+from pagelens.operators.fetches import normalise_outcomes, one_per_url
 from pagelens.operators.signals import extract_signals
 from pagelens.plans.runs import categorise_fetches, categorise_pages, run
 from pagelens.session import scratch_path
-from pagelens.sources import queue_log, sinks, tables
+from pagelens.sources import fetch_store, queue_log, sinks, tables
+from pagelens.sources import seen_index as seen_store
 from pagelens.sources.categories import categories_frame, read_categories, write_categories
 from pagelens.sources.envelope import read_json_document, write_json_document
 from pagelens.streaming import pages as streams
@@ -237,6 +238,20 @@ def frontier_resume(spark, sf):
     return frontier.new_urls(frontier.parse_lines(url_lines(spark, sf)), seen_urls(spark, sf))
 
 
+def seen_index(spark, sf):
+    """New URLs by the index of those seen, which came in three segments, two of them merged."""
+    path = scratch_path(spark, "seen-index")
+    seen_store.create_index(spark, path, buckets=16)
+    seen = seen_urls(spark, sf).select("url").distinct()
+    part = F.pmod(F.xxhash64("url", F.lit(9)), F.lit(3))
+    for segment in range(3):
+        seen_store.add_segment(seen.where(part == segment), path, segment)
+        if segment == 1:
+            seen_store.compact(spark, path)
+    urls = frontier.distinct_urls(frontier.parse_lines(url_lines(spark, sf)))
+    return seen_store.unseen(urls, path)
+
+
 def frontier_batches(spark, sf):
     return frontier.assign_batches(pages(spark, sf).select("url", F.col("page_id").alias("seq")))
 
@@ -627,6 +642,18 @@ def full_run_tables(spark, sf):
     return _full_run(spark, sf, language_model(spark, inline=False))
 
 
+def full_run_bucketed(spark, sf):
+    """The same from a fetch store, met bucket by bucket as by a queue of any size."""
+    path = scratch_path(spark, "fetch-store")
+    fetch_store.write_fetch_store(fetched(spark, sf), path, buckets=8)
+    fetches = fetch_store.read_fetch_store(spark, path)
+    counts = frontier.line_counts(frontier.parse_lines(url_lines(spark, sf)))
+    wanted = fetch_store.pick(fetches, frontier.counted_urls(counts), 8)
+    found = one_per_url(categorise_fetches(wanted, language_model(spark)))
+    sinks.write_report(found, f"{path}/report")
+    return sinks.read_report(spark, f"{path}/report")
+
+
 def fetched_twice(spark, sf) -> DataFrame:
     """Each page fetched twice, once with a slash behind its URL and at another time.
 
@@ -765,6 +792,7 @@ QUERIES = {
         url_list_scan,
         url_domain,
         frontier_resume,
+        seen_index,
         frontier_batches,
         frontier_resume_batches,
         frontier_pop,
@@ -813,6 +841,7 @@ QUERIES = {
         json_manifest,
         config_scan,
         full_run,
+        full_run_bucketed,
         run_repeats,
         stream_repeats,
         classify_pages_pruned,

@@ -77,6 +77,39 @@ def load_counters(parsed: DataFrame, seen: DataFrame | None = None) -> DataFrame
     return totals.select("added", "invalid", (F.col("valid") - F.col("added")).alias("duplicate"))
 
 
+def line_counts(parsed: DataFrame) -> DataFrame:
+    """``(url, seq, n)``: lines of each valid URL and its first position, from one pass.
+
+    Invalid lines are counted together under a null URL; skipped ones are not counted. New
+    URLs and counters both come from this table, so the lines need not be read twice.
+    """
+    valid = F.col("kind") == "valid"
+    return (
+        parsed.filter("kind <> 'skipped'")
+        .groupBy(F.when(valid, F.col("url")).alias("url"))
+        .agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
+    )
+
+
+def counted_urls(counts: DataFrame) -> DataFrame:
+    """The distinct URLs ``(url, seq)`` of ``line_counts``."""
+    return counts.where("url IS NOT NULL").select("url", "seq")
+
+
+def counters_of(counts: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``load_counters`` from ``line_counts`` and the new URLs among them."""
+
+    def lines(chosen):
+        return F.coalesce(F.sum(F.when(chosen, F.col("n"))), F.lit(0))
+
+    known = F.col("url").isNotNull()
+    totals = counts.agg(lines(~known).alias("invalid"), lines(known).alias("valid"))
+    added = fresh.agg(F.count(F.lit(1)).alias("added"))
+    # One row each.
+    both = totals.select("*", added.scalar().alias("added"))
+    return both.select("added", "invalid", (F.col("valid") - F.col("added")).alias("duplicate"))
+
+
 def assign_batches(
     frontier: DataFrame, size: int = BATCH_SIZE, chunk_width: int = CHUNK_WIDTH
 ) -> DataFrame:

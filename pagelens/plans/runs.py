@@ -14,7 +14,7 @@ from pagelens.operators.fetches import one_per_url, page_results
 from pagelens.operators.model import CategoryModel
 from pagelens.operators.signals import extract_signals
 from pagelens.schemas import RESULT_COLUMNS
-from pagelens.sources import queue_log, sinks, tables
+from pagelens.sources import fetch_store, queue_log, seen_index, sinks, tables
 
 
 #: A queue whose URLs are that many bytes together is sent to all executors.
@@ -37,12 +37,14 @@ def queue_lines(
     """Queue state with the new URLs behind those pending, and the load counters.
 
     URLs already seen are not queued again, so finished and failed ones are not
-    redone.
+    redone. The lines are read once: both answers come from the stored counts per URL.
     """
-    parsed = frontier.parse_lines(lines)
-    seen = None if state is None else state.filter("list = 'seen'")
-    begun = frontier.start_state(frontier.new_urls(parsed, seen), state)
-    return begun, frontier.load_counters(parsed, seen)
+    counts = tables.store(frontier.line_counts(frontier.parse_lines(lines)), "lines")
+    fresh = frontier.counted_urls(counts)
+    if state is not None:
+        seen = state.filter("list = 'seen'").select("url").distinct()
+        fresh = tables.store(fresh.join(seen, "url", "left_anti"), "fresh")
+    return frontier.start_state(fresh, state), frontier.counters_of(counts, fresh)
 
 
 def url_bytes(urls: DataFrame) -> int | None:
@@ -51,7 +53,11 @@ def url_bytes(urls: DataFrame) -> int | None:
 
 
 def results_for(
-    fetches: DataFrame, pending: DataFrame, model: CategoryModel, pending_bytes: int
+    fetches: DataFrame,
+    pending: DataFrame,
+    model: CategoryModel,
+    pending_bytes: int,
+    fetch_buckets: int | None = None,
 ) -> DataFrame:
     """One result for each pending URL that was fetched, as ``one_per_url`` chooses it.
 
@@ -59,9 +65,16 @@ def results_for(
     one is joined to the results, so that the shuffle carries short texts and not
     HTML. That is an inner join on purpose: the optimizer moves a semi join below
     the extraction, and the pending URLs are distinct anyway.
+
+    Fetches of a fetch store, dealt into ``fetch_buckets`` by URL, are not moved at all: the
+    larger queue is dealt in the same way and meets them bucket by bucket, before extraction.
     """
-    fetches = fetches.withColumn("url", normalise_url(F.col("url")))
     urls = pending.select("url").distinct()
+    if fetch_buckets is not None and pending_bytes > BROADCAST_BYTES:
+        wanted = fetch_store.pick(fetches, urls, fetch_buckets)
+        return one_per_url(categorise_fetches(wanted, model))
+    if fetch_buckets is None:
+        fetches = fetches.withColumn("url", normalise_url(F.col("url")))
     if pending_bytes <= BROADCAST_BYTES:
         wanted = fetches.join(F.broadcast(urls), "url", "left_semi")
         return one_per_url(categorise_fetches(wanted, model))
@@ -91,7 +104,13 @@ class Steps:
 
 
 def _process(
-    steps: Steps, fetches: DataFrame, pending: DataFrame, model: CategoryModel, path: str, export: bool
+    steps: Steps,
+    fetches: DataFrame,
+    pending: DataFrame,
+    model: CategoryModel,
+    path: str,
+    export: bool,
+    fetch_buckets: int | None = None,
 ) -> DataFrame:
     """The results of the pending URLs, written with their report and export."""
     spark = fetches.sparkSession
@@ -100,7 +119,7 @@ def _process(
         size = url_bytes(pending)
         if size is None:
             raise ValueError("no valid URLs to process")
-        found = results_for(fetches, pending, model, size)
+        found = results_for(fetches, pending, model, size, fetch_buckets)
         found.write.mode("overwrite").parquet(f"{path}/results")
 
     steps.once("results", results)
@@ -120,6 +139,7 @@ def run(
     state: DataFrame | None = None,
     json_export: bool = False,
     resume: bool = False,
+    fetch_buckets: int | None = None,
 ) -> DataFrame:
     """One run below ``path``; returns the queue state after it.
 
@@ -127,7 +147,8 @@ def run(
     and a lost executor costs one step's tasks: first the queue, then the
     results, then report, export and new queue from the results table. Raises
     when nothing is pending. With ``resume``, steps that an earlier call with the same
-    path finished are not done again.
+    path finished are not done again. Fetches read from a fetch store come with its number
+    of buckets.
     """
     spark = fetches.sparkSession
     steps = Steps(spark, path, resume)
@@ -140,7 +161,7 @@ def run(
     steps.once("queue", queue)
     begun = tables.read_queue(spark, f"{path}/queue_before")
     pending = begun.filter("list = 'pending'")
-    results = _process(steps, fetches, pending, model, path, json_export)
+    results = _process(steps, fetches, pending, model, path, json_export, fetch_buckets)
     after = frontier.advance_state(begun, results)
     steps.once("state", lambda: tables.write_queue(after, f"{path}/queue"))
     return tables.read_queue(spark, f"{path}/queue")
@@ -153,31 +174,42 @@ def run_logged(
     path: str,
     log: str,
     json_export: bool = False,
+    index: str | None = None,
+    fetch_buckets: int | None = None,
 ) -> DataFrame:
     """One run whose queue is the log at ``log``; returns the queue state after it.
 
     Like ``run``, but it writes only what it changes: new URLs and outcomes. Called again
     with the same ``path`` after a failure, it goes on behind the last finished step; after
     the last one it changes nothing.
+
+    With the path of a seen ``index`` it brings that up to the log, and compares its URLs with
+    the index in place of all URLs seen. Both ways give the same answers.
     """
     spark = fetches.sparkSession
     steps = Steps(spark, path, resume=True)
 
     def queue() -> None:
-        state = queue_log.read_log(spark, log)
-        parsed = frontier.parse_lines(lines)
-        seen = state.where("list = 'seen'")
-        fresh = frontier.new_urls(parsed, seen)
-        behind = F.coalesce(state.agg(F.max("seq") + 1).scalar(), F.lit(0))
-        fresh = fresh.select("url", (F.col("seq") + behind).alias("seq"))
-        fresh.write.mode("overwrite").parquet(f"{path}/fresh")
-        counters = frontier.load_counters(parsed, seen)
+        counts = tables.store(frontier.line_counts(frontier.parse_lines(lines)), "lines")
+        urls = frontier.counted_urls(counts)
+        if index is None:
+            seen = queue_log.read_log(spark, log, "seen").select("url")
+            new = urls.join(seen, "url", "left_anti")
+        else:
+            seen_index.follow(spark, index, log)
+            new = seen_index.unseen(urls, index)
+        behind = queue_log.next_position(spark, log)
+        new.select("url", (F.col("seq") + behind).alias("seq")).write.mode("overwrite").parquet(
+            f"{path}/fresh"
+        )
+        written = spark.read.schema("url string, seq long").parquet(f"{path}/fresh")
+        counters = frontier.counters_of(counts, written)
         counters.write.mode("overwrite").json(f"{path}/counters")
 
     steps.once("queue", queue)
     fresh = spark.read.schema("url string, seq long").parquet(f"{path}/fresh")
-    old = queue_log.read_log(spark, log).where("list = 'pending'").select("url", "seq")
-    results = _process(steps, fetches, old.union(fresh), model, path, json_export)
+    old = queue_log.read_log(spark, log, "pending").select("url", "seq")
+    results = _process(steps, fetches, old.union(fresh), model, path, json_export, fetch_buckets)
 
     def record() -> None:
         number = queue_log.last_runs(spark, log)[0] + 1

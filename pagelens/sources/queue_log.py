@@ -82,14 +82,33 @@ def _changes(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
+def joined_since(spark: SparkSession, path: str, name: str, run: int) -> DataFrame:
+    """``(url)`` of the changes after ``run`` that joined list ``name``; repeats are possible.
+
+    If a snapshot came since, what it holds is among them.
+    """
+    rows = _changes(spark, path).where((F.col("list") == name) & F.col("present"))
+    return rows.where(F.col("run") > run).select("url")
+
+
+def next_position(spark: SparkSession, path: str) -> int:
+    """A position behind all in the log. Reads one column and folds nothing."""
+    last = _changes(spark, path).agg(F.max("seq").alias("seq")).first()["seq"]
+    return 0 if last is None else last + 1
+
+
+def read_log(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """The queue state ``(list, url, seq)`` after the last run in the log.
 
     A URL is in a list if its latest change there says so; within a run, leaving comes
-    after joining. Its position is the first it was given.
+    after joining. Its position is the first it was given. With ``name`` only that list's
+    changes are read and folded.
     """
     latest = F.struct("run", ~F.col("present"))
-    folded = _changes(spark, path).groupBy("list", "url").agg(
+    changes = _changes(spark, path)
+    if name is not None:
+        changes = changes.where(F.col("list") == name)
+    folded = changes.groupBy("list", "url").agg(
         F.max_by("present", latest).alias("present"), F.min("seq").alias("seq")
     )
     return folded.where("present").select("list", "url", "seq")
