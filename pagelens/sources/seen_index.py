@@ -29,13 +29,27 @@ URL = "url string, segment long, bucket int"
 FILTER = "width long, word long, bits long, segment long, bucket int"
 
 
-def create_index(spark: SparkSession, path: str, buckets: int = BUCKETS, bits: int = BITS) -> None:
-    """An empty index. A bucket's URLs are written by one task, so deal large ones into more."""
+def create_index(
+    spark: SparkSession,
+    path: str,
+    buckets: int = BUCKETS,
+    bits: int = BITS,
+    if_missing: bool = False,
+) -> None:
+    """An empty index. A bucket's URLs are written by one task, so deal large ones into more.
+
+    With ``if_missing`` an index that is there already stays as it is.
+    """
     if buckets < 1 or bits < 1:
         raise ValueError("an index needs at least one bucket and one bit a URL")
     layout = spark.createDataFrame([(buckets, bits)], LAYOUT).coalesce(1)
-    layout.write.mode("errorifexists").parquet(f"{path}/layout")
-    spark.createDataFrame([], COMMIT).write.mode("overwrite").parquet(f"{path}/commits")
+    none = spark.createDataFrame([], COMMIT)
+    if if_missing:
+        layout.write.mode("ignore").parquet(f"{path}/layout")
+        none.write.mode("ignore").parquet(f"{path}/commits")
+    else:
+        layout.write.mode("errorifexists").parquet(f"{path}/layout")
+        none.write.mode("overwrite").parquet(f"{path}/commits")
 
 
 def _layout(spark: SparkSession, path: str) -> tuple[int, int]:
@@ -93,7 +107,7 @@ def add_segment(urls: DataFrame, path: str, segment: int, base: int | None = Non
     # A folder is named by what it replaces too, so that no folder in use is overwritten.
     name = f"segment={segment}/base={base}"
     dealt = urls.select("url", _bucket(F.col("url"), buckets).alias("bucket"))
-    dealt.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+    dealt.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
         f"{path}/urls/{name}"
     )
     written = spark.read.schema("url string, bucket int").parquet(f"{path}/urls/{name}")
@@ -104,7 +118,7 @@ def add_segment(urls: DataFrame, path: str, segment: int, base: int | None = Non
     word = F.pmod(_position(F.col("url")), F.lit(width))
     filters = written.groupBy("bucket", word.alias("word")).agg(F.bit_or(_mask()).alias("bits"))
     filters.select(F.lit(width).cast("long").alias("width"), "word", "bits", "bucket").repartition(
-        buckets, "bucket"
+        "bucket"
     ).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/filters/{name}")
     commit = spark.createDataFrame([(segment, base, width)], COMMIT).coalesce(1)
     commit.write.mode("append").parquet(f"{path}/commits")
@@ -168,13 +182,33 @@ def buckets_read(urls: DataFrame, path: str) -> list[int]:
     return _numbers(possible(urls, path))
 
 
+def _merge(spark: SparkSession, path: str, first: int, last: int) -> None:
+    buckets, _ = _layout(spark, path)
+    rows = _read(spark, path, "urls", URL, list(range(buckets)))
+    rows = rows.where(F.col("segment") >= first)
+    add_segment(rows.select("url").distinct(), path, last, base=first)
+
+
 def compact(spark: SparkSession, path: str) -> None:
     """Make the segments one. Folders of the others are not read any more and may be deleted."""
     used = _segments(spark, path)
     if len(used) > 1:
-        buckets, _ = _layout(spark, path)
-        everything = _read(spark, path, "urls", URL, list(range(buckets)))
-        add_segment(everything.select("url").distinct(), path, max(used), base=0)
+        _merge(spark, path, min(used), max(used))
+
+
+def tidy(spark: SparkSession, path: str) -> None:
+    """Merge the newest segments with those before them that are no larger.
+
+    Done after each new segment, the number of segments grows as the logarithm of the URLs,
+    and a URL is written that many times at most, not once for each segment.
+    """
+    used = sorted(_segments(spark, path).items())
+    first, total = len(used) - 1, used[-1][1] if used else 0
+    while first > 0 and used[first - 1][1] <= total:
+        first -= 1
+        total += used[first][1]
+    if used and first < len(used) - 1:
+        _merge(spark, path, used[first][0], used[-1][0])
 
 
 def follow(spark: SparkSession, path: str, log: str) -> None:

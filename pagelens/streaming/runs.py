@@ -16,7 +16,7 @@ from pagelens.functions.urls import is_valid_url, normalise_url
 from pagelens.operators import frontier
 from pagelens.operators.model import CategoryModel
 from pagelens.plans.runs import categorise_pages, results_for, url_bytes
-from pagelens.sources import sinks, tables
+from pagelens.sources import seen_index, sinks, tables
 
 OUTCOMES = "list string, url string, batch long"
 COUNTERS = "status string, n long, batch long"
@@ -52,6 +52,7 @@ def run_stream(
     path: str,
     checkpoint: str,
     state: DataFrame | None = None,
+    buckets: int = seen_index.BUCKETS,
 ) -> StreamingQuery:
     """Categorise a stream of fetches below ``path`` until the input is used up.
 
@@ -61,22 +62,33 @@ def run_stream(
     finished batch.
 
     The URLs to deal with are found first, from the URLs alone; a batch's HTML is read and
-    not shuffled.
+    not shuffled. They are compared with an index of the URLs of earlier batches, and with
+    another of the state's, which is read once a start; so a batch costs by its own URLs.
+    ``buckets`` deals both indexes when they are made.
     """
     spark = fetches.sparkSession
     # So that the first batch has outcomes to look at.
     spark.createDataFrame([], "list string, url string").write.mode("ignore").parquet(
         f"{path}/outcomes/batch=-1"
     )
+    seen, before = f"{path}/seen", f"{path}/seen-before"
+    seen_index.create_index(spark, seen, buckets, if_missing=True)
+    if state is not None:
+        seen_index.create_index(spark, before, buckets, if_missing=True)
+        old = state.where("list = 'seen'").select("url").distinct()
+        added = tables.store(seen_index.unseen(old, before), "seen-before")
+        if not added.isEmpty():
+            seen_index.add_segment(added, before, seen_index.last_segment(spark, before) + 1)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        done = stream_outcomes(session, path).where(F.col("batch") < batch_id).select("url")
-        if state is not None:
-            done = done.union(state.where("list = 'seen'").select("url"))
+        _index_batches(session, path, seen, batch_id)
         urls = batch.select(normalise_url(F.col("url")).alias("url")).distinct()
-        urls = urls.where(is_valid_url(F.col("url"))).join(done.distinct(), "url", "left_anti")
-        fresh = tables.store(urls, "fresh-urls")
+        urls = tables.store(urls.where(is_valid_url(F.col("url"))), "batch-urls")
+        fresh = seen_index.unseen(urls, seen)
+        if state is not None:
+            fresh = seen_index.unseen(fresh, before)
+        fresh = tables.store(fresh, "fresh-urls")
         found = results_for(batch, fresh, model, url_bytes(fresh) or 0)
         found.write.mode("overwrite").parquet(f"{path}/results/batch={batch_id}")
         results = session.read.schema(found.schema).parquet(f"{path}/results/batch={batch_id}")
@@ -89,6 +101,19 @@ def run_stream(
     return _start(fetches, step, checkpoint)
 
 
+def _index_batches(spark: SparkSession, path: str, seen: str, batch_id: int) -> None:
+    """Bring the index up to the batches before this one.
+
+    Segment n holds what came before batch n. A batch's own URLs are added by the next one, so
+    a batch that is replayed does not meet itself.
+    """
+    have = max(seen_index.last_segment(spark, seen), 0)
+    if have < batch_id:
+        done = stream_outcomes(spark, path).where(F.col("batch").between(have, batch_id - 1))
+        seen_index.add_segment(done.select("url").distinct(), seen, batch_id)
+        seen_index.tidy(spark, seen)
+
+
 def stream_outcomes(spark: SparkSession, path: str) -> DataFrame:
     """``(list, url, batch)`` of all batches so far."""
     return spark.read.schema(OUTCOMES).parquet(f"{path}/outcomes")

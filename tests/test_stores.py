@@ -15,6 +15,7 @@ from pagelens.operators.model import fit
 from pagelens.plans import runs
 from pagelens.sources import fetch_store, queue_log, seen_index, sinks
 from pagelens.sources.categories import categories_frame
+from pagelens.streaming import runs as R
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +54,40 @@ def test_index_over_segments_and_compaction(spark, tmp_path):
         seen_index.add_segment(urls(spark, [1]), path, 4)
 
 
+def test_tidy_keeps_few_segments(spark, tmp_path):
+    path = str(tmp_path / "index")
+    seen_index.create_index(spark, path, buckets=1)
+    for segment in range(6):
+        seen_index.add_segment(urls(spark, range(segment * 8, segment * 8 + 8)), path, segment)
+        seen_index.tidy(spark, path)
+    # Each segment is larger than the one behind it.
+    widths = [w for _, w in sorted(seen_index._segments(spark, path).items())]
+    assert widths == sorted(widths, reverse=True) and len(set(widths)) == len(widths) < 4
+    assert seen_index.last_segment(spark, path) == 5
+    assert numbers(seen_index.unseen(urls(spark, range(44, 52)), path)) == [48, 49, 50, 51]
+
+
+def test_stream_indexes_earlier_batches_and_not_its_own(spark, model, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "run")
+    state = spark.createDataFrame([("seen", "http://u.test/0", 0)], schemas.QUEUE)
+
+    def go():
+        stream = spark.readStream.schema(schemas.FETCH).option("maxFilesPerTrigger", 1).parquet(source)
+        checkpoint = str(tmp_path / "cp")
+        R.run_stream(stream, model, path, checkpoint, state, buckets=2).awaitTermination()
+        return sorted((r.url, r.batch) for r in R.stream_outcomes(spark, path).collect())
+
+    for n in (2, 4):
+        fetches(spark, n).coalesce(1).write.mode("append").parquet(source)
+        got = go()
+    name = "http://u.test/"
+    assert got == [(f"{name}1", 0), (f"{name}2", 1), (f"{name}3", 1)]
+    # The last batch is not in the index, so that it can be replayed.
+    assert numbers(seen_index.unseen(urls(spark, [1, 2, 3]), f"{path}/seen")) == [2, 3]
+    R._index_batches(spark, path, f"{path}/seen", 1)
+    assert numbers(seen_index.unseen(urls(spark, [1, 2, 3]), f"{path}/seen")) == [2, 3]
+
+
 def test_index_of_no_urls(spark, tmp_path):
     path = str(tmp_path / "index")
     seen_index.create_index(spark, path, buckets=4)
