@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.llm.shared import free_name, row_key, store, table
+from pagelens.llm.shared import begin_task, free_name, row_key, store, table
 
 #: Bytes of a block. Most texts are one block; a text of a gigabyte takes 18 rounds.
 BLOCK_BYTES = 4096
@@ -41,6 +41,7 @@ def _distinct_blocks(docs: DataFrame, size: int, digest_bytes: int) -> DataFrame
     """``(name, digest, block)``: the distinct blocks, sorted and numbered."""
 
     def run(batches):
+        begin_task("op1")
         for batch in batches:
             found = {b for data in _normalised(batch.column(0)) for b in _cut(data, size)}
             yield pa.RecordBatch.from_pydict({"block": pa.array(list(found), pa.binary())})
@@ -57,6 +58,7 @@ def _cut_texts(docs: DataFrame, size: int, digest_bytes: int) -> DataFrame:
     """``docs`` with ``text_sha256`` and the digests of its blocks in place of the text."""
 
     def run(batches):
+        begin_task("op1")
         for batch in batches:
             sums, cuts = [], []
             for data in _normalised(batch.column(0)):
@@ -95,6 +97,7 @@ def _by_content(docs: DataFrame, size: int) -> DataFrame:
     """The same with the blocks themselves as the key, for digests that contents share."""
 
     def run(batches):
+        begin_task("op1")
         for batch in batches:
             texts = _normalised(batch.column(1))
             for rid, data in zip(batch.column(0).to_pylist(), texts, strict=True):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import fold, table
+from pagelens.llm.shared import begin_task, fold, kept_between_tasks, table
 
 #: Bounds of the labelled sample: letters a language, texts a language. A run of other
 #: characters counts as one letter.
@@ -164,6 +164,7 @@ class Reader:
         return counts
 
 
+@kept_between_tasks
 @lru_cache(maxsize=2)
 def reader(samples: tuple[str, ...]) -> Reader:
     return Reader(samples)
@@ -218,6 +219,7 @@ def learn(
     drawn = rows.where(F.shiftrightunsigned(digest, 11) < share * float(1 << 53))
 
     def run(batches):
+        begin_task("op10")
         seen = set()
         for batch in batches:
             new = []
@@ -270,6 +272,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        begin_task("op10")
         for batch in batches:
             for low in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(low, TOGETHER)
@@ -292,6 +295,7 @@ def keep_identified(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        begin_task("op10")
         for batch in batches:
             for low in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(low, TOGETHER)

@@ -27,7 +27,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import connected_components, forest, free_name, row_key, store, table
+from pagelens.llm.shared import (
+    begin_task, connected_components, forest, free_name, row_key, store, table,
+)
 from pagelens.llm.tokens import Memo
 
 WORDS = 5
@@ -111,6 +113,7 @@ def _sketches(docs: DataFrame, k: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        begin_task("op3")
         for batch in batches:
             sizes, keys, needs, sketches = [], [], [], []
             for text in batch.column(3).to_pylist():
@@ -183,6 +186,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that are linked, by their full sets."""
 
     def run(batches):
+        begin_task("op3")
         for batch in batches:
             sets = Memo(_unpack, 200)  # a list's centre comes many times
             rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import fold, store, table
+from pagelens.llm.shared import begin_task, fold, store, table
 
 FOLDS, HELD_OUT = 3, 1
 #: The most labelled rows that are used, about; a hash of the text chooses them.
@@ -81,6 +81,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        begin_task("op7")
         for batch in batches:
             rows = [statistics(t or "") for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -139,6 +140,7 @@ def _sums(rows: DataFrame, make, width: int) -> np.ndarray:
     """
 
     def run(batches):
+        begin_task("op7")
         total = np.zeros(width)
         for batch in batches:
             if batch.num_rows:
@@ -212,6 +214,7 @@ def classify(stats: DataFrame, model: Model) -> DataFrame:
     kind = stats.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        begin_task("op7")
         for batch in batches:
             scores = model.score(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_pydict(
@@ -232,6 +235,7 @@ def keep_good(docs: DataFrame, model: Model, least: float) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
+        begin_task("op7")
         for batch in batches:
             rows = [statistics(t or "") for t in batch.column(at).to_pylist()]
             scores = model.score(np.array(rows).reshape(-1, NUMBER))

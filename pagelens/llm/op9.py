@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagelens.llm.shared import store, table
+from pagelens.llm.shared import begin_task, store, table
 from pagelens.llm.tokens import default_path, packed_ids_of_many
 
 WINDOW = 2048
@@ -58,6 +58,7 @@ def _pieces(docs: DataFrame, path: str, end_id: int, window: int, quantum: int)
     schema = PIECE.format(id=docs.schema["doc_id"].dataType.simpleString())
 
     def run(batches):
+        begin_task("op9")
         encode = packed_ids_of_many(path)
         task = TaskContext.get().partitionId()
         seen = [0] * (window // quantum + 2)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,30 @@ WHITE_SPACE = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
 
+#: Caches of this Python worker, and the operator whose tasks use them.
+_CACHES: list = []
+_OWNER: list[str] = []
+
+
+def kept_between_tasks(make: Callable) -> Callable:
+    """Marks a cache of ``functools`` that an operator's tasks fill in a Python worker."""
+    _CACHES.append(make)
+    return make
+
+
+def begin_task(operator: str) -> None:
+    """Drop what other operators' tasks have kept in this Python worker.
+
+    Spark gives a worker to one operator after the other, so that what each had kept would
+    add up.
+    """
+    if _OWNER != [operator]:
+        for kept in _CACHES:
+            kept.cache_clear()
+        pa.default_memory_pool().release_unused()
+        _OWNER[:] = [operator]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

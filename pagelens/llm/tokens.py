@@ -17,12 +17,15 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from pagelens.llm.shared import CHUNK
+from pagelens.llm.shared import CHUNK, kept_between_tasks
 
 #: Entries of a generation of a memo; two are about 100 MB.
 MEMO_ENTRIES = 200_000
+#: The same of words without punctuation, behind a memo of chunks.
+BODY_ENTRIES = 20_000
 
 
+@kept_between_tasks
 @cache
 def library(path: str):
     """The tokenizer at ``path``: ``.json`` for tokenizers, ``.model`` for sentencepiece."""
@@ -88,6 +91,8 @@ def _byte_characters() -> dict[int, str]:
 BYTE_CHARACTERS = _byte_characters()
 
 
+@kept_between_tasks
+@cache
 def _chunk_encoder(path: str) -> Callable[[str], bytes]:
     """Ids of a chunk as little-endian 32-bit numbers."""
     tokenizer = library(path)
@@ -101,7 +106,7 @@ def _chunk_encoder(path: str) -> Callable[[str], bytes]:
             text = text.encode().decode("latin-1").translate(BYTE_CHARACTERS)
         return b"".join([packed[t.id] for t in model.tokenize(text)])
 
-    words = Memo(word)
+    words = Memo(word, BODY_ENTRIES)
 
     def make(chunk: str) -> bytes:
         plain = PLAIN.fullmatch(chunk)
@@ -116,6 +121,7 @@ def _chunk_encoder(path: str) -> Callable[[str], bytes]:
     return make
 
 
+@kept_between_tasks
 @cache
 def _chunk_memo(path: str) -> Memo:
     return Memo(_chunk_encoder(path))
@@ -170,6 +176,7 @@ def word_codes(texts: list[bytes], table: bytes) -> tuple[pa.DictionaryArray, np
     return words.dictionary_encode(), np.searchsorted(borders, starts, side="right")
 
 
+@kept_between_tasks
 @cache
 def _word_memo(path: str) -> Memo:
     """By a word in UTF-8 and the space behind it."""
@@ -216,6 +223,7 @@ def packed_ids_of_many(path: str) -> Callable[[list[str]], list[bytes]]:
     return encode
 
 
+@kept_between_tasks
 @cache
 def _count_memo(path: str) -> Memo:
     make = _chunk_encoder(path)

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pagelens.llm import op2, op5, op9
+from pagelens.llm import op2, op5, op9, op10, shared, tokens
 from pagelens.llm.tokens import (
     Memo,
     default_path,
@@ -208,3 +208,17 @@ def test_best_fit_is_tight():
     for length, number in zip([5, 5, 3, 7, 2, 8], numbers, strict=True):
         filled[number] += length
     assert sorted(filled.values()) == [10, 10, 10]
+
+
+def test_a_worker_keeps_the_memos_of_one_operator():
+    """Else a stage would run beside what the stages before it have kept."""
+    shared.begin_task("op9")
+    packed_ids_of_many(WORD)(["some words"])
+    kept = [tokens.library, tokens._chunk_encoder, tokens._chunk_memo, tokens._word_memo]
+    sizes = [f.cache_info().currsize for f in kept]
+    assert all(sizes)
+    shared.begin_task("op9")
+    assert [f.cache_info().currsize for f in kept] == sizes
+    list(op10.answers(["some words"], {"en": "words", "fr": "mots"}))
+    shared.begin_task("op10")
+    assert not any(f.cache_info().currsize for f in (*kept, op10.reader))
