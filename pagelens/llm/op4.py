@@ -7,7 +7,7 @@ carries the log-probability of a word after its state and leads to the longest h
 the model holds; a failure arc carries the share of the imagined words and leads to the
 shorter history, down to the root, which knows single words. A text is read once from left
 to right: the traversal carries a state, follows failure arcs until there is an arc for the
-next word, and adds up what the arcs carry.
+next word, and adds up what the arcs carry. The texts of a chunk are read side by side.
 
 The model holds every n-gram of the training documents, so it grows with them, and no task
 holds it whole. Documents are coded in chunks. Each chunk sends its distinct n-grams, as
@@ -20,9 +20,8 @@ frequent one is no more than any other.
 
 from __future__ import annotations
 
-from array import array
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -181,6 +180,10 @@ class Grams:
         triples, at, triple = np.unique(pair_at[far - 1] * n + flat[far], return_index=True, return_inverse=True)
         self.before, self.last = triples // n, triples % n
         self.after = pair_at[far[at]]
+        # Of each token, the pair and the triple that it ends; the first of a text ends no triple.
+        self.pair, self.triple = pair, np.full(len(places), len(triples))
+        self.later = inside[ends - 1]
+        self.triple[self.later] = triple
         self.counts = np.concatenate(
             [
                 np.bincount(flat, weight, n),
@@ -321,20 +324,29 @@ class Automaton:
         after_one = (pairs + one * chance[grams.second]) / (words[grams.first] + one)
         after_two = (triples + two * after_one[grams.after]) / (pairs[grams.before] + two)
         lost = [[0.0], np.log10(one / (words + one)), np.log10(two / (pairs + two))]
-        self.lost = array("d", np.concatenate(lost).tobytes())
-        shorter = np.concatenate([np.zeros(n + 1, np.int64), grams.second + 1])
-        self.shorter = array("q", shorter.tobytes())
-        self.root = array("d", np.log10(chance).tobytes())
-        self.from_root = array("q", np.where(self.known, np.arange(n) + 1, 0).tobytes())
+        self.lost = np.concatenate(lost)
+        self.shorter = np.concatenate([np.zeros(n + 1, np.int64), grams.second + 1])
+        self.root = np.log10(chance)
+        self.from_root = np.where(self.known, np.arange(n) + 1, 0)
         self.begin = self.from_root[0]
         p, t = np.flatnonzero(pairs), np.flatnonzero(triples)
-        self.width = n
+        self.width, self.grams = n, grams
+        # The last arc stands for none.
+        self.weight = np.append(np.log10(np.concatenate([after_one[p], after_two[t]])), 0.0)
+        self.target = np.append(np.concatenate([p, grams.after[t]]) + n + 1, 0)
+        # The arc that spells a pair, and the one that spells a triple, or -1.
+        self.pair_arc, self.triple_arc = np.full(len(pairs), -1), np.full(len(triples) + 1, -1)
+        self.pair_arc[p], self.triple_arc[t] = np.arange(len(p)), np.arange(len(t)) + len(p)
+
+    @cached_property
+    def arcs(self) -> dict[int, int]:
+        """Arcs by state and word, for ``walk``."""
+        grams, n = self.grams, self.width
+        p, t = np.flatnonzero(self.pair_arc >= 0), np.flatnonzero(self.triple_arc >= 0)
         keys = np.concatenate(
             [(grams.first[p] + 1) * n + grams.second[p], (grams.before[t] + n + 1) * n + grams.last[t]]
         )
-        self.arcs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
-        self.weight = array("d", np.log10(np.concatenate([after_one[p], after_two[t]])).tobytes())
-        self.target = array("q", (np.concatenate([p, grams.after[t]]) + n + 1).tobytes())
+        return dict(zip(keys.tolist(), range(len(keys)), strict=True))
 
     def walk(self, words: list[int], state: int | None = None) -> tuple[float, int]:
         """Log10 probability of the words behind ``state``, and the state they lead to."""
@@ -357,6 +369,33 @@ class Automaton:
         return total, state
 
 
+    def walk_texts(self) -> np.ndarray:
+        """What ``walk`` finds for each text of the chunk, all of them side by side.
+
+        A token's arc spells a pair or a triple that the chunk has numbered, so no search is
+        needed. The state behind a token is the longest history that the model holds, by
+        whichever arcs it was reached: an n-gram that is held holds the shorter one it ends in.
+        """
+        grams, n = self.grams, self.width
+        words, sizes = grams.places, grams.sizes
+        by_pair, by_triple = self.pair_arc[grams.pair], self.triple_arc[grams.triple]
+        state = np.empty(len(words), np.int64)
+        state[1:] = np.where(by_pair >= 0, self.target[by_pair], self.from_root[words])[:-1]
+        state[~grams.later] = self.begin
+        # A token follows two failure arcs at most, then an arc or what the root knows.
+        passed = np.zeros((len(words), 3))
+        arc = np.full(len(words), -1)
+        for step, (low, own) in enumerate(((n, by_triple), (0, by_pair))):
+            here = (arc < 0) & (state > low)
+            arc[here] = own[here]
+            fails = here & (arc < 0)
+            passed[fails, step] = self.lost[state[fails]]
+            state[fails] = self.shorter[state[fails]]
+        passed[:, 2] = np.where(arc >= 0, self.weight[arc], self.root[words])
+        # Adds up from left to right.
+        return np.bincount(np.repeat(np.arange(len(sizes)), 3 * sizes), passed.ravel(), len(sizes))
+
+
 def score(docs: DataFrame, train: Column, prior: tuple[float, float] = PRIOR) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of ``docs(doc_id, text)``.
 
@@ -385,8 +424,6 @@ def score(docs: DataFrame, train: Column, prior: tuple[float, float] = PRIOR) ->
         own = Automaton(grams, counts, corpus, prior)
         ends = np.cumsum(grams.sizes)
         starts = ends - grams.sizes
-        places = grams.places.tolist()
-        paths = [own.walk(places[a:b])[0] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         return pa.table(
             {
                 "doc_id": chunk["ids"].combine_chunks().flatten(),
@@ -395,7 +432,7 @@ def score(docs: DataFrame, train: Column, prior: tuple[float, float] = PRIOR) ->
                 "n_known": pa.array(np.add.reduceat(own.known[grams.places].astype(np.int64), starts)),
                 "train_tokens": pa.array(np.full(len(starts), tokens)),
                 "base_score": pa.array(np.add.reduceat(own.base[grams.places], starts)),
-                "score": pa.array(paths, pa.float64()),
+                "score": pa.array(own.walk_texts(), pa.float64()),
             }
         )
 

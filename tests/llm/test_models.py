@@ -126,6 +126,15 @@ def test_failure_arcs_lead_to_shorter_histories():
     assert total == pytest.approx(own.lost[pair] + own.lost[b + 1] + unseen)
 
 
+@settings(max_examples=100, deadline=None)
+@given(*[st.lists(st.text("abcd ", max_size=30), max_size=5)] * 2)
+def test_texts_side_by_side_take_the_same_arcs(texts, others):
+    own, local, _ = small_automaton(texts, [*others, ""])
+    split = [op4.words_of(t) for t in (*texts, *others, "")]
+    want = [own.walk([local[w] for w in words])[0] for words in split]
+    assert own.walk_texts().tolist() == want
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1))
 def test_runs_round_trip(keys):
