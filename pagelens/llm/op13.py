@@ -33,6 +33,10 @@ FIRST = 4
 SCALE = 1_000_000_000
 #: Bytes of text whose terms are numbered together.
 CHUNK_BYTES = 8 << 20
+#: Counts that a task holds before it adds up those of different chunks and sends them.
+TOGETHER = 1 << 21
+#: Rows that are sent at once.
+ROWS = 1 << 16
 #: Sources of a language, and about how many terms, that meet in one group.
 SOURCES, TERMS = 64, 4096
 #: Bytes of terms: A-Z as a-z, those of other letters as they are, all else as a space.
@@ -129,17 +133,47 @@ def _prefixes(terms: pa.Array, length: int) -> pa.Array:
     return pc.binary_slice(ended, 0, length)
 
 
+def _numbered(arrays: list[pa.Array]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct values of all the arrays, and for each array which of them it holds."""
+    whole = pa.concat_arrays(arrays).dictionary_encode()
+    ends = np.cumsum([len(a) for a in arrays])
+    return whole.dictionary, np.split(whole.indices.to_numpy().astype(np.int64), ends[:-1])
+
+
+def _added(found: Iterator[tuple], add, limit: int) -> Iterator[pa.RecordBatch]:
+    """``add(lang, parts)`` for the parts of each language of ``found``, which gives
+    ``(lang, number of counts, part)``; about ``limit`` counts are held."""
+    parts: dict[str, list] = {}
+    held = 0
+    for lang, number, part in found:
+        parts.setdefault(lang, []).append(part)
+        held += number
+        if held >= limit:
+            yield from _sliced(add, parts)
+            parts, held = {}, 0
+    yield from _sliced(add, parts)
+
+
+def _sliced(add, parts: dict[str, list]) -> Iterator[pa.RecordBatch]:
+    for lang in sorted(parts):
+        batch = add(lang, parts.pop(lang))
+        for low in range(0, batch.num_rows, ROWS):
+            yield batch.slice(low, ROWS)
+
+
 def _complete(part: str) -> Column:
     return F.expr(f"substring({part}, -1, 1) = X'00'")
 
 
-def _level(bags: DataFrame, length: int, before: int, going: blooms.Blocked | None) -> DataFrame:
+def _level(
+    bags: DataFrame, length: int, before: int, going: blooms.Blocked | None, together: int = TOGETHER
+) -> DataFrame:
     """``(lang, prefix, docs)``: distinct documents of the prefixes that may still be kept.
 
     ``going`` holds the prefixes of ``before`` bytes that are extended; none at first.
     """
 
-    def run(batches):
+    def found_in(batches):
         for lang, terms, doc, term, _ in _rows(batches):
             if going is not None and len(terms):
                 last = _prefixes(terms, before)
@@ -160,13 +194,23 @@ def _level(bags: DataFrame, length: int, before: int, going: blooms.Blocked | No
             first = np.ones(len(doc), bool)
             first[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
             counts = np.bincount(code[first], minlength=int(new.sum()))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "lang": pa.array([lang] * len(counts), pa.string()),
-                    "prefix": prefix.filter(pa.array(new)),
-                    "docs": pa.array(counts, pa.int64()),
-                }
-            )
+            yield lang, len(counts), (prefix.filter(pa.array(new)), counts)
+
+    def add(lang, parts):
+        prefixes, at = _numbered([p for p, _ in parts])
+        total = np.zeros(len(prefixes), np.int64)
+        for own, (_, counts) in zip(at, parts, strict=True):
+            total[own] += counts  # a part's prefixes are distinct
+        return pa.RecordBatch.from_pydict(
+            {
+                "lang": pa.array([lang] * len(total), pa.string()),
+                "prefix": prefixes,
+                "docs": pa.array(total, pa.int64()),
+            }
+        )
+
+    def run(batches):
+        yield from _added(found_in(batches), add, together)
 
     # A document is in one row, so the rows' counts add up to distinct documents.
     read = bags.select("lang", "terms", "sizes", "term")
@@ -179,12 +223,12 @@ def _filter(frame: DataFrame, part: str, number: int) -> blooms.Blocked:
     return blooms.build(frame.select(key), number)
 
 
-def _refined(bags: DataFrame, least: int) -> DataFrame:
+def _refined(bags: DataFrame, least: int, together: int = TOGETHER) -> DataFrame:
     """``(lang, term, docs)`` of the kept terms; ``term`` is binary."""
     length, before, going = FIRST, 0, None
     kept = None
     while True:
-        counted = _level(bags, length, before, going).where(F.col("docs") >= least)
+        counted = _level(bags, length, before, going, together).where(F.col("docs") >= least)
         counted = store(counted, f"prefixes-{length}")
         whole = counted.where(_complete("prefix")).select(
             "lang", F.expr("substring(prefix, 1, length(prefix) - 1)").alias("term"), "docs"
@@ -198,14 +242,14 @@ def _refined(bags: DataFrame, least: int) -> DataFrame:
         length, before = 2 * length, length
 
 
-def _cells(bags: DataFrame, kept: DataFrame) -> DataFrame:
+def _cells(bags: DataFrame, kept: DataFrame, together: int = TOGETHER) -> DataFrame:
     """``(lang, term, source, n, whole)``: occurrences of kept terms, by group and in all.
 
     Groups that do not hold a term have no row.
     """
     wanted = _filter(kept, "term", kept.count())
 
-    def run(batches):
+    def found_in(batches):
         for lang, terms, doc, term, (times, sources) in _rows(batches):
             if not len(terms):
                 continue
@@ -221,14 +265,35 @@ def _cells(bags: DataFrame, kept: DataFrame) -> DataFrame:
             code = code[order]
             starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
             code, total = code[starts], np.add.reduceat(times[stays][order], starts)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "lang": pa.array([lang] * len(code), pa.string()),
-                    "source": named.dictionary.take(pa.array(code // len(terms))),
-                    "term": terms.take(pa.array(code % len(terms))),
-                    "n": pa.array(total, pa.int64()),
-                }
-            )
+            used, at = np.unique(code % len(terms), return_inverse=True)
+            owner = (code // len(terms)).astype(np.int32)
+            own = (named.dictionary, owner, terms.take(pa.array(used)), at.astype(np.int32), total)
+            yield lang, len(code), own
+
+    def add(lang, parts):
+        names, name_at = _numbered([p[0] for p in parts])
+        terms, term_at = _numbered([p[2] for p in parts])
+        width = len(terms)
+        code = np.concatenate(
+            [n[p[1]] * width + t[p[3]] for p, n, t in zip(parts, name_at, term_at, strict=True)]
+        )
+        total = np.concatenate([p[4] for p in parts])
+        if len(parts) > 1:
+            order = np.argsort(code, kind="stable")
+            code = code[order]
+            starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            code, total = code[starts], np.add.reduceat(total[order], starts)
+        return pa.RecordBatch.from_pydict(
+            {
+                "lang": pa.array([lang] * len(code), pa.string()),
+                "source": names.take(pa.array(code // width)),
+                "term": terms.take(pa.array(code % width)),
+                "n": pa.array(total, pa.int64()),
+            }
+        )
+
+    def run(batches):
+        yield from _added(found_in(batches), add, together)
 
     read = bags.select("lang", "terms", "sizes", "term", "times", "sources")
     found = read.mapInArrow(run, "lang string, source string, term binary, n long")
@@ -341,6 +406,7 @@ def audit(
     chunk: int = CHUNK_BYTES,
     width: int = SOURCES,
     terms: int = TERMS,
+    together: int = TOGETHER,
 ) -> DataFrame:
     """``(lang, source, part, item, value, rank)`` of the groups of ``docs(text, lang, source)``.
 
@@ -355,7 +421,7 @@ def audit(
       q; ranks to ``top``.
     * Ranks go by value, descending, then by the item's UTF-8 bytes.
 
-    ``chunk``, ``width`` and ``terms`` bound what a task holds and change no result.
+    ``chunk``, ``width``, ``terms`` and ``together`` bound what a task holds and change no result.
 
     A null text, lang or source counts as empty. Each row is a document, repeated ones and
     null doc_ids too. A language without kept terms has pairs of value 0 and no terms.
@@ -367,8 +433,8 @@ def audit(
         "text",
     )
     bags = store(_bags(named, chunk), "bags")
-    kept = store(_refined(bags, least), "kept-terms")
-    cells = store(_cells(bags, kept), "cells")
+    kept = store(_refined(bags, least, together), "kept-terms")
+    cells = store(_cells(bags, kept, together), "cells")
 
     kinds = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagelens.llm import blooms, op11, op12, op13
@@ -313,6 +314,24 @@ def test_audit_with_a_full_filter(spark, monkeypatch):
     assert sorted(map(repr, map(tuple, op13.audit(frame).collect()))) == audited(rows, 3, 200)
 
 
+def test_chunks_of_a_task_are_added_up_before_they_are_sent(spark):
+    """Each bounded run of chunks sends a language's prefix or cell once."""
+    frame = spark.createDataFrame(audit_rows(), "text string, lang string, source string").coalesce(1)
+    bags = op13._bags(frame.fillna(""), 400).cache()
+    assert bags.count() > 40
+    kept = op13._refined(bags, 3).cache()
+    sent = []
+    for together in (op13.TOGETHER, 60, 1):
+        cells = sorted(map(tuple, op13._cells(bags, kept, together).collect()))
+        level = sorted(map(tuple, op13._level(bags, 4, 0, None, together).collect()))
+        sent.append((cells, level))
+    assert sent[0] == sent[1] == sent[2]
+    parts = [("en", 2, "x"), ("de", 1, "y"), ("en", 1, "z"), ("en", 1, "w")]
+    batch = lambda lang, own: pa.RecordBatch.from_pydict({"at": [lang + "".join(own)]})
+    for limit, want in ((9, ["dey", "enxzw"]), (3, ["dey", "enx", "enzw"]), (1, ["enx", "dey", "enz", "enw"])):
+        assert [b["at"][0].as_py() for b in op13._added(iter(parts), batch, limit)] == want
+
+
 def test_audit_of_nothing(spark):
     frame = spark.createDataFrame([], "text string, lang string, source string")
     assert op13.audit(frame).count() == 0
