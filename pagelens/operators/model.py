@@ -12,7 +12,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import ENGLISH_STOP_WORDS, ngrams, tokens
@@ -75,6 +75,14 @@ def vocabulary(counts: DataFrame, max_features: int | None = None) -> DataFrame:
     return terms.orderBy(F.desc("corpus_count"), "term").limit(max_features)
 
 
+def with_df(counts: DataFrame) -> DataFrame:
+    """``counts`` with each term's ``df``, as in the vocabulary of all terms.
+
+    A term's rows, one a category, meet in one shuffle; no vocabulary is joined to them.
+    """
+    return counts.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
+
+
 def with_idf(vocab: DataFrame, documents: Column) -> DataFrame:
     """Smoothed inverse document frequency, ``ln((1 + n) / (1 + df)) + 1``."""
     return vocab.withColumn("idf", F.log((documents + 1) / (F.col("df") + 1)) + 1)
@@ -90,7 +98,12 @@ def category_profiles(counts: DataFrame, idf: DataFrame) -> DataFrame:
     A category's length is a sum that combines before the shuffle; its terms, of any
     number, are never gathered. A zero vector has no rows.
     """
-    weighted = counts.join(idf.select("term", "idf"), "term").select(
+    return unit_vectors(counts.join(idf.select("term", "idf"), "term"))
+
+
+def unit_vectors(counted: DataFrame) -> DataFrame:
+    """The same of ``(cat_idx, term, tf, idf)``, which is read twice."""
+    weighted = counted.select(
         "cat_idx", "term", "idf", (sublinear(F.col("tf")) * F.col("idf")).alias("weight")
     )
     lengths = weighted.groupBy("cat_idx").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length"))
@@ -107,6 +120,7 @@ def fit_tables(
     """``(term, corpus_count, df, idf)`` and ``(cat_idx, term, weight)`` of a corpus.
 
     The corpus is read once, to count its terms; both tables come from the stored counts.
+    A limited vocabulary is stored too; otherwise each table is made as it is read.
     An empty term marks each text, so that categories without a term are counted too.
     """
     marked = F.concat(ngrams(tokens(F.col("text"), stop_words)), F.array(F.lit("")))
@@ -115,7 +129,10 @@ def fit_tables(
     counted = store(counted, "term-counts")
     documents = counted.where("term = '' AND cat_idx IS NOT NULL").agg(F.count(F.lit(1))).scalar()
     counts = counted.where("term <> ''")
-    idf = store(with_idf(vocabulary(counts, max_features), documents), "idf")
+    idf = with_idf(vocabulary(counts, max_features), documents)
+    if max_features is None:
+        return idf, unit_vectors(with_idf(with_df(counts), documents))
+    idf = store(idf, "idf")
     return idf, category_profiles(counts, idf)
 
 
@@ -181,6 +198,8 @@ def fit(
     """
     corpus = category_corpus(categories) if corpus is None else corpus
     idf, profiles = fit_tables(corpus, max_features, stop_words)
+    if max_features is None:
+        idf = store(idf, "idf")
     profiles = store(profiles, "profiles")
 
     sizes = categories.agg(

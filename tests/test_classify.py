@@ -251,3 +251,19 @@ def test_corpus_with_many_rows_per_category(spark):
     counts = {(r.cat_idx, r.term): r.tf for r in M.term_counts(corpus, "cat_idx").collect()}
     assert counts[(0, "apple")] == 2 and (0, "pear apple") not in counts
     assert fitted.vocabulary_size == 5
+
+
+def test_profiles_of_all_terms_join_no_vocabulary(spark):
+    """A term's ``idf`` comes with its counts, those of rows without a category too."""
+    rows = [(0, "red red blue"), (1, "blue"), (None, "blue green"), (0, None)]
+    corpus = spark.createDataFrame(rows, "cat_idx int, text string")
+    idf, profiles = M.fit_tables(corpus)
+    known = {r.term: (r.corpus_count, r.df, r.idf) for r in idf.collect()}
+    assert known["blue"][:2] == (3, 3) and known["green"][:2] == (1, 1)
+    found = profiles.collect()
+    assert {(r.cat_idx, r.term) for r in found} == {
+        (0, "red"), (0, "blue"), (0, "red red"), (0, "red blue"), (1, "blue"),
+    }
+    assert all(r.idf == pytest.approx(known[r.term][2]) for r in found)
+    plan = profiles._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # with the categories' lengths
