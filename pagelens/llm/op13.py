@@ -47,6 +47,16 @@ BYTES = bytes(
 STOP = b"\0"
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Numbers from 0, each in as few bytes as the largest asks for."""
+    return numbers.astype(np.min_scalar_type(numbers.max(initial=0))).tobytes()
+
+
+def _unpacked(packed: bytes, number: int) -> np.ndarray:
+    """The ``number`` numbers, as long as they are packed."""
+    return np.frombuffer(packed, f"u{len(packed) // number}" if number else np.uint8)
+
+
 class _Chunk:
     """Documents of one language."""
 
@@ -66,10 +76,11 @@ class _Chunk:
         width = max(1, len(order))
         code = docs * width + rank[terms.indices.to_numpy()]
         pair, times = np.unique(code, return_counts=True)
-        names = b"".join(terms.dictionary.take(order).to_pylist()).replace(b" ", STOP)
+        ends, names = blooms.flat(terms.dictionary.take(order))
+        names = names[: ends[-1]].tobytes().replace(b" ", STOP)
         # Packed, so that a row is a few long values for Spark. No text has 2^31 terms.
-        numbers = (np.bincount(pair // width, minlength=len(self.texts)), pair % width, times)
-        packed = (names[:-1], *(x.astype(np.int32).tobytes() for x in numbers))
+        sizes = np.bincount(pair // width, minlength=len(self.texts)).astype(np.int32)
+        packed = (names, sizes.tobytes(), _packed(pair % width), _packed(times))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([lang], pa.string()),
@@ -80,7 +91,8 @@ class _Chunk:
         )
 
 
-#: Of a bag: the terms, how many of them each document holds, which, and how often.
+#: Of a bag: the terms, each with ``STOP`` behind it, how many of them each document holds,
+#: which, and how often.
 PACKED = ("terms", "sizes", "term", "times")
 
 
@@ -110,27 +122,24 @@ def _bags(docs: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """``(lang, terms, doc, term, rest)`` of each row of ``lang, terms, sizes, term`` and more.
 
-    ``doc`` and ``term`` are parallel arrays, in order; ``rest`` are the other columns' values.
+    ``terms`` end in ``STOP``. ``doc`` and ``term`` are parallel arrays, in order; ``rest``
+    are the other columns' values.
     """
     for batch in batches:
         for i in range(batch.num_rows):
             lang, terms, sizes, term, *rest = (c[i] for c in batch.columns)
-            terms = terms.as_py()
-            terms = pa.array(terms.split(STOP) if terms else [], pa.binary())
-            sizes, term = (np.frombuffer(x.as_py(), np.int32) for x in (sizes, term))
-            yield lang.as_py(), terms, np.repeat(np.arange(len(sizes)), sizes), term, rest
+            names = terms.as_buffer()
+            stops = np.flatnonzero(np.frombuffer(names, np.uint8) == STOP[0])
+            ends = pa.py_buffer(np.append(0, stops + 1).astype(np.int32))
+            terms = pa.Array.from_buffers(pa.binary(), len(stops), [None, ends, names])
+            sizes = np.frombuffer(sizes.as_py(), np.int32)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            yield lang.as_py(), terms, doc, _unpacked(term.as_py(), len(doc)), rest
         pa.default_memory_pool().release_unused()
 
 
-def _keys(lang: str, parts: pa.Array) -> Iterator[bytes]:
-    """What the filters know a language's prefixes by."""
-    head = lang.encode("utf-8", "surrogatepass") + STOP
-    return (head + part for part in parts.to_pylist())
-
-
 def _prefixes(terms: pa.Array, length: int) -> pa.Array:
-    ended = pc.binary_join_element_wise(terms.cast(pa.binary()), STOP, b"")
-    return pc.binary_slice(ended, 0, length)
+    return pc.binary_slice(terms, 0, length)
 
 
 def _numbered(arrays: list[pa.Array]) -> tuple[pa.Array, list[np.ndarray]]:
@@ -176,10 +185,10 @@ def _level(
     def found_in(batches):
         for lang, terms, doc, term, _ in _rows(batches):
             if going is not None and len(terms):
-                last = _prefixes(terms, before)
-                wanted = going.may_hold(_keys(lang, last))
-                # Complete before, so decided, whatever the filter says.
-                wanted &= pc.binary_length(terms).to_numpy(False) >= before
+                # The others were complete before, so decided.
+                wanted = pc.binary_length(terms).to_numpy(False) > before
+                last = _prefixes(terms.filter(pa.array(wanted)), before)
+                wanted[wanted] = going.may_hold_hashes(blooms.hashes_of_parts(lang, last))
                 # Ranks of the terms that go on, which stay in order.
                 rank = np.cumsum(wanted) - 1
                 stays = wanted[term]
@@ -219,8 +228,7 @@ def _level(
 
 
 def _filter(frame: DataFrame, part: str, number: int) -> blooms.Blocked:
-    key = F.expr(f"concat(encode(lang, 'utf-8'), X'00', {part})")
-    return blooms.build(frame.select(key), number)
+    return blooms.build(frame.select("lang", F.expr(part).alias("part")), number)
 
 
 def _refined(bags: DataFrame, least: int, together: int = TOGETHER) -> DataFrame:
@@ -247,14 +255,14 @@ def _cells(bags: DataFrame, kept: DataFrame, together: int = TOGETHER) -> DataFr
 
     Groups that do not hold a term have no row.
     """
-    wanted = _filter(kept, "term", kept.count())
+    wanted = _filter(kept, "concat(term, X'00')", kept.count())
 
     def found_in(batches):
         for lang, terms, doc, term, (times, sources) in _rows(batches):
             if not len(terms):
                 continue
-            times = np.frombuffer(times.as_py(), np.int32).astype(np.int64)
-            may = wanted.may_hold(_keys(lang, terms))
+            times = _unpacked(times.as_py(), len(term)).astype(np.int64)
+            may = wanted.may_hold_hashes(blooms.hashes_of_parts(lang, terms))
             stays = may[term]
             if not stays.any():
                 continue
@@ -274,6 +282,7 @@ def _cells(bags: DataFrame, kept: DataFrame, together: int = TOGETHER) -> DataFr
         names, name_at = _numbered([p[0] for p in parts])
         terms, term_at = _numbered([p[2] for p in parts])
         width = len(terms)
+        terms = pc.binary_slice(terms, 0, -1)  # without its end
         code = np.concatenate(
             [n[p[1]] * width + t[p[3]] for p, n, t in zip(parts, name_at, term_at, strict=True)]
         )

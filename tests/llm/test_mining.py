@@ -332,6 +332,67 @@ def test_chunks_of_a_task_are_added_up_before_they_are_sent(spark):
         assert [b["at"][0].as_py() for b in op13._added(iter(parts), batch, limit)] == want
 
 
+def test_hashes_of_arrays_by_definition(monkeypatch):
+    """Values cut by the steps, longer than them or empty; the same with and without offsets."""
+
+    def plain(value, seed):
+        total = seed
+        for place, byte in enumerate(value, 1):
+            x = (place << 8 | byte) * int(blooms.MIXER) % 2**64
+            x = (x ^ x >> 32) * int(blooms.STIRRER) % 2**64
+            total += x ^ x >> 29
+        total %= 2**64
+        total = (total ^ total >> 32) * int(blooms.STIRRER) % 2**64
+        return total ^ total >> 29
+
+    rng = random.Random(3)
+    values = [b"", b"", b"\0", b"a", b"\0a", b"a\0", "Zoë".encode(), b"", b"ab" * 40, b"ba" * 40, b""]
+    values += [rng.randbytes(rng.randrange(20)) for _ in range(200)]
+    seeds = np.array([rng.randrange(2**64) for _ in values], np.uint64)
+    want = [plain(v, int(s)) for v, s in zip(values, seeds)]
+    for step in (blooms.STEP, 64, 7, 1):
+        monkeypatch.setattr(blooms, "STEP", step)
+        for kind in (pa.binary(), pa.large_binary()):
+            for low, high in ((0, len(values)), (1, 60), (9, 10), (5, 5)):
+                part = pa.array(values, kind)[low:high]
+                assert blooms.hashes_of_array(part, seeds[low:high]).tolist() == want[low:high]
+    same = blooms.hashes_of_array(pa.array(values, pa.binary()), seeds[:1]).tolist()
+    assert len(set(same)) == len(set(values))
+
+
+def test_prefixes_of_a_chunk_are_hashed_together(spark, monkeypatch):
+    """One look at the language, none at each prefix; the filter knows all its keys."""
+    keys = [(lang, b"%d" % i) for lang in ("en", "", "Zoë") for i in range(2000)]
+    frame = spark.createDataFrame([(x, bytearray(p)) for x, p in keys], "lang string, prefix binary")
+    known = op13._filter(frame.repartition(3), "prefix", len(keys))
+    calls = []
+    digest = blooms.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(blooms.xxhash, "xxh3_64_intdigest", lambda x: calls.append(x) or digest(x))
+    for lang in ("en", "", "Zoë"):
+        parts = pa.array([p for x, p in keys if x == lang], pa.binary())
+        assert known.may_hold_hashes(blooms.hashes_of_parts(lang, parts)).all()
+    strangers = [("de", pa.array([p for _, p in keys], pa.binary()))]
+    strangers += [("en", pa.array([b"%d" % i for i in range(2000, 8000)], pa.binary()))]
+    passed = [known.may_hold_hashes(blooms.hashes_of_parts(*s)).mean() for s in strangers]
+    assert max(passed) < 0.01
+    assert len(calls) == 5
+
+
+def test_numbers_of_a_bag_take_few_bytes(spark):
+    for largest, width in ((0, 1), (255, 1), (256, 2), (65535, 2), (65536, 4), (2**32 - 1, 4)):
+        numbers = np.array([0, largest, 3], np.int64)
+        packed = op13._packed(numbers)
+        assert len(packed) == 3 * width
+        assert op13._unpacked(packed, 3).tolist() == numbers.tolist()
+    assert op13._unpacked(op13._packed(numbers[:0]), 0).tolist() == []
+    rows = [("a " * 300 + "b", "en", "x")] + [(f"w{chr(97 + i % 26)}" * (i + 1), "en", "x") for i in range(300)]
+    frame = spark.createDataFrame(rows, "text string, lang string, source string").coalesce(1)
+    bag = op13._bags(frame).first()
+    assert bag["terms"].endswith(b"\0")
+    # 302 pairs of a document and a term; a text holds "a" 300 times.
+    assert (len(bag["term"]), len(bag["times"])) == (604, 604)
+
+
 def test_audit_of_nothing(spark):
     frame = spark.createDataFrame([], "text string, lang string, source string")
     assert op13.audit(frame).count() == 0
